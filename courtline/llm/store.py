@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -61,11 +62,13 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame,
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     split = checkpoint(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftright("_at", 33)
-    counts = sorted(split.groupBy(part.alias("p")).count().collect())
-    total, rows = 0, []
-    for p, n in counts:
-        rows.append((int(p), total))
-        total += n
-    starts = df.sparkSession.createDataFrame(rows or [(0, 0)], "_p long, _start long")
+    counts = split.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each partition
     out = split.join(F.broadcast(starts), part == F.col("_p")).withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    return out.drop("_at", "_p", "_start"), total
+    return out.drop("_at", "_p", "_start"), split.count()
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluates `value` once for each row, however often `use` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
