@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .store import documents
+from .store import checkpoint, documents
 
 GRAM = 8
 #: Segments for one automaton; one anchor's segments stay together.
@@ -154,13 +154,14 @@ def phrase_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     """
     texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.hash("text").alias("tid"))
     segs = texts.select("did", "tid", "text").mapInArrow(_scan(width), "did long, tid int, start int, n int, bucket long, seg long")
-    kinds = segs.groupBy("bucket", "seg").agg(F.min(F.struct("did", "tid", "start", "n")).alias("first"), F.max("did").alias("last_doc"))
-    shared = kinds.groupBy("bucket").agg(F.min("first.did").alias("a"), F.max("last_doc").alias("b")).where("a < b").select("bucket")
+    shared = segs.groupBy("bucket").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b").select("bucket")
+    live = checkpoint(segs.join(shared, "bucket"))
+    kinds = live.groupBy("bucket", "seg").agg(F.min(F.struct("did", "tid", "start", "n")).alias("first"), F.max("did").alias("last_doc"))
     part = F.struct("bucket", "seg", F.col("first.did").alias("first_doc"), "last_doc", F.col("first.start").alias("start"), F.col("first.n").alias("n"))
-    parts = kinds.join(shared, "bucket", "left_semi").select(F.col("first.did").alias("did"), F.col("first.tid").alias("tid"), part.alias("p")).groupBy("did", "tid").agg(F.collect_list("p").alias("parts"))
-    spread = texts.dropDuplicates(["did", "tid"]).join(parts, ["did", "tid"]).select("text", "parts").mapInArrow(_contents(width), "bucket long, seg long, first_doc long, last_doc long, content binary")
+    parts = kinds.select(F.col("first.did").alias("did"), F.col("first.tid").alias("tid"), part.alias("p")).groupBy("did", "tid").agg(F.collect_list("p").alias("parts"))
+    spread = texts.join(parts, ["did", "tid"]).select("doc_id", "text", "parts").mapInArrow(_contents(width), "bucket long, seg long, first_doc long, last_doc long, content binary")
     found = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_locate(width), f"bucket long, seg long, runs {_RUNS_SQL}")
-    hit = segs.join(found, ["bucket", "seg"]).select("did", "tid", "start", F.explode(F.filter("runs", lambda r: r["first_doc"] < F.col("did"))).alias("r"))
+    hit = live.join(found, ["bucket", "seg"]).select("did", "tid", "start", F.explode(F.filter("runs", lambda r: r["first_doc"] < F.col("did"))).alias("r"))
     removed = hit.select("did", "tid", F.struct((F.col("start") + F.col("r.at")).alias("start"), F.col("r.len").alias("len")).alias("s")).groupBy("did", "tid").agg(F.collect_list("s").alias("removed"))
     return texts.join(removed, ["did", "tid"], "left").select("doc_id", "text", "removed").mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 

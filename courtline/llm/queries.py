@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .feistel_shards import op4_feistel_shards
+from .mixing import op5_mixing
+from .phrase_automata import op3_phrase_automata
+from .quality import op8_quality_rules
 from .suffix_dedup import op6_suffix_dedup
+from .winnow import op2_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op6_suffix_dedup,)
+    every = (op2_winnowing, op3_phrase_automata, op4_feistel_shards, op5_mixing, op6_suffix_dedup, op8_quality_rules)
     return {q.__name__: q for q in every}
 
 

@@ -6,8 +6,8 @@ passes; suffixes that stay equal to the end are the repeated windows.
 * Pass 1 deals the suffixes by a digit that every window chooses from its own bytes: the
   least hash of its 24-byte grams. Equal windows choose the same digit, and neighbours that
   share it travel as one row (a segment), so the corpus is never exploded to a row a byte.
-* A segment that occurs twice as a whole settles all its suffixes. Buckets with one
-  occurrence hold no repeat and are dropped.
+* Buckets with one occurrence hold no repeat and are dropped. A segment that occurs twice as
+  a whole settles all its suffixes.
 * Segments left over in a bucket are ordered on by digits of 40 bytes, most significant
   first, dropping suffixes that stand alone after each pass (`_radix_groups`).
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .store import documents
+from .store import checkpoint, documents
 
 GRAM = 24
 DIGIT = 40
@@ -50,8 +50,9 @@ def _contents(width: int):
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                raw = (text or "").encode()
+            data, off = T.utf8_parts(batch.column("text"))
+            for i, parts in enumerate(batch.column("parts").to_pylist()):
+                raw = data[off[i] : off[i + 1]].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p["bucket"] for p in parts], pa.int64()), pa.array([p["seg"] for p in parts], pa.int64()), pa.array([p["copies"] for p in parts], pa.int64()), pa.array([raw[p["start"] : p["start"] + p["n"] + width - 1] for p in parts], pa.binary())],
                     names=["bucket", "seg", "copies", "content"],
@@ -143,17 +144,17 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
     """
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     segs = texts.select("rid", "text").mapInArrow(_scan(width), "rid long, start int, n int, bucket long, seg long")
-    whole = segs.groupBy("bucket", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("first"))
-    shared = whole.groupBy("bucket").agg(F.count("*").alias("kinds")).where("kinds > 1").select("bucket")
-    mixed = whole.join(shared, "bucket", "left_semi")
-    parts = mixed.select(F.col("first.rid").alias("rid"), F.struct("bucket", "seg", "copies", F.col("first.start").alias("start"), F.col("first.n").alias("n")).alias("p")).groupBy("rid").agg(F.collect_list("p").alias("parts"))
-    spread = texts.dropDuplicates(["rid"]).select("rid", "text").join(parts, "rid").select("text", "parts").mapInArrow(_contents(width), "bucket long, seg long, copies long, content binary")
+    shared = segs.groupBy("bucket").agg(F.count("*").alias("rows"), (F.min("seg") != F.max("seg")).alias("mixed")).where("rows > 1").select("bucket", "mixed")
+    live = checkpoint(segs.join(shared, "bucket"))
+    kinds = live.where("mixed").groupBy("bucket", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("first"))
+    parts = kinds.select(F.col("first.rid").alias("rid"), F.struct("bucket", "seg", "copies", F.col("first.start").alias("start"), F.col("first.n").alias("n")).alias("p")).groupBy("rid").agg(F.collect_list("p").alias("parts"))
+    spread = texts.join(parts, "rid").select("doc_id", "text", "parts").mapInArrow(_contents(width), "bucket long, seg long, copies long, content binary")
     partial = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(width), "bucket long, seg long, spans array<struct<at:int,len:int>>")
-    twice = whole.where("copies > 1").select("bucket", "seg", F.lit(None).cast("array<struct<at:int,len:int>>").alias("spans"))
-    hit = segs.join(twice.unionByName(partial), ["bucket", "seg"])
-    all_of_it = F.array(F.struct(F.lit(0).alias("at"), (F.col("n") + width - 1).alias("len")))
-    spans = F.transform(F.coalesce("spans", all_of_it), lambda s: F.struct((F.col("start") + s["at"]).alias("start"), s["len"].alias("len")))
-    removed = hit.select("rid", F.explode(spans).alias("s")).groupBy("rid").agg(F.collect_list("s").alias("removed"))
+    twice = kinds.where("copies > 1").select("bucket", "seg", F.lit(None).cast("array<struct<at:int,len:int>>").alias("spans"))
+    whole = F.array(F.struct(F.col("start").alias("start"), (F.col("n") + width - 1).alias("len")))
+    shifted = F.transform("spans", lambda s: F.struct((F.col("start") + s["at"]).alias("start"), s["len"].alias("len")))
+    hit = live.where("mixed").join(twice.unionByName(partial), ["bucket", "seg"]).select("rid", F.coalesce(shifted, whole).alias("spans")).unionByName(live.where("not mixed").select("rid", whole.alias("spans")))
+    removed = hit.select("rid", F.explode("spans").alias("s")).groupBy("rid").agg(F.collect_list("s").alias("removed"))
     return texts.join(removed, "rid", "left").select("doc_id", "text", "removed").mapInArrow(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
