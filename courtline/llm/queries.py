@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .feistel_shards import op4_feistel_shards
 from .mixing import op5_mixing
+from .ngram_join import op9_ngram_join
 from .phrase_automata import op3_phrase_automata
 from .quality import op8_quality_rules
 from .suffix_dedup import op6_suffix_dedup
@@ -15,7 +16,7 @@ from .winnow import op2_winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op2_winnowing, op3_phrase_automata, op4_feistel_shards, op5_mixing, op6_suffix_dedup, op8_quality_rules)
+    every = (op2_winnowing, op3_phrase_automata, op4_feistel_shards, op5_mixing, op6_suffix_dedup, op8_quality_rules, op9_ngram_join)
     return {q.__name__: q for q in every}
 
 

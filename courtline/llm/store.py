@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    Only a local session without that setting gets a folder of its own.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only a local session without that setting gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,9 +20,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="courtline-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stash(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """Writes df as Parquet into the checkpoint folder; returns the table and what deletes it."""
+    spark = df.sparkSession
+    path = f"{_checkpoint_folder(spark)}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def discard() -> None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    return spark.read.parquet(path), discard
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
