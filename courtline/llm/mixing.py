@@ -60,6 +60,12 @@ def mix(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
     )
 
 
+def emit(docs: DataFrame, **params) -> DataFrame:
+    """The mix itself: every row of docs as many times as it is taken."""
+    mixed = mix(docs, **params).where("_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"), F.col("_copies").alias("copies"))

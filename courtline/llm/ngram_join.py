@@ -315,5 +315,11 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     return sizes.join(ngram_components(docs, n, percent), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs without those that are linked, directly or not, with a smaller doc_id."""
+    extra = ngram_components(docs, n, percent).where("doc_id <> component_id").select("doc_id")
+    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir).select("doc_id", "text"))

@@ -48,7 +48,7 @@ def _repeated_words(hashes: Column) -> Column:
     return let(windows, total).cast("long")
 
 
-def signals(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def signals(docs: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
     """doc_id, keep..., n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed; a null text has no words."""
     text = F.coalesce("text", F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
@@ -62,7 +62,8 @@ def signals(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("_lines"),
         let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n"), _repeated_words(h).alias("repeat"))).alias("_words"),
     )
-    out = measured.select("doc_id", *keep, F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", F.col("_lines.dup").alias("n_dup_lines"), F.col("_lines.n").alias("n_lines"), F.col("_words.repeat").alias("n_repeat_words"))
+    kept = measured.columns[1 : 1 + len(keep)]
+    out = measured.select("doc_id", *kept, F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", F.col("_lines.dup").alias("n_dup_lines"), F.col("_lines.n").alias("n_lines"), F.col("_words.repeat").alias("n_repeat_words"))
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
 
 
@@ -99,7 +100,25 @@ def select_cutoffs(labelled: DataFrame, limit: float, level: float) -> DataFrame
     return proven.groupBy("stratum").agg(*(F.min(F.when((F.col("rule") == r) & F.col("holds"), F.col("cutoff"))).alias(f"cut{r}") for r in range(len(name))))
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, limit: float = 0.005, level: float = 0.05, keep: tuple[str, ...] = ()) -> DataFrame:
+def _cutoffs(rows: DataFrame, labels: DataFrame, limit: float, level: float) -> DataFrame:
+    """select_cutoffs over the labelled rows, marked for broadcast if a count proves it small."""
+    by_doc = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    cutoffs = checkpoint(select_cutoffs(rows.join(by_doc, "doc_id"), limit, level))
+    return F.broadcast(cutoffs) if cutoffs.count() <= BROADCAST_STRATA else cutoffs
+
+
+def _kept() -> Column:
+    rejected = F.lit(False)
+    for r, measure in enumerate(_measures().values()):
+        rejected = rejected | F.coalesce(measure > F.col(f"cut{r}"), F.lit(False))
+    return ~(F.col("base_failed") | rejected)
+
+
+def _with_stratum(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit("(none)")))
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, limit: float = 0.005, level: float = 0.05) -> DataFrame:
     """Signals of every row with base_failed and kept.
 
     docs (doc_id, text, lang, ...), labels (doc_id, quality). A null language is a stratum of
@@ -107,15 +126,17 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, limit: float = 0.005, l
     false rejections of each rule in each stratum, all bounds holding together with
     probability 1 - level.
     """
-    rows = checkpoint(signals(docs.withColumn("stratum", F.coalesce("lang", F.lit("(none)"))), keep=("stratum", *keep)))
-    cutoffs = checkpoint(select_cutoffs(rows.join(labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id"), limit, level))
-    if cutoffs.count() <= BROADCAST_STRATA:
-        cutoffs = F.broadcast(cutoffs)
-    measures = _measures()
-    rejected = F.lit(False)
-    for r, name in enumerate(CUTOFFS):
-        rejected = rejected | F.coalesce(measures[name] > F.col(f"cut{r}"), F.lit(False))
-    return rows.join(cutoffs, "stratum", "left").select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~(F.col("base_failed") | rejected)).alias("kept"))
+    rows = checkpoint(signals(_with_stratum(docs), keep=(F.col("_stratum").alias("stratum"),)))
+    judged = rows.join(_cutoffs(rows, labels, limit, level), "stratum", "left")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _kept().alias("kept"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, limit: float = 0.005, level: float = 0.05) -> DataFrame:
+    """The rows and columns of docs that quality_verdicts keeps; texts are measured in place and not shuffled."""
+    stratum = F.col("_stratum").alias("stratum")
+    cutoffs = _cutoffs(signals(_with_stratum(docs), keep=(stratum,)), labels, limit, level)
+    rows = signals(_with_stratum(docs).withColumn("_doc", F.struct(*docs.columns)), keep=(stratum, F.col("_doc")))
+    return rows.join(cutoffs, "stratum", "left").where(_kept()).select("_doc.*")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     )
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
+    """The rows and columns of docs that hold no window of the benchmark."""
+    found = _small(decontaminate(docs, benchmark, width).where("contaminated").select(F.col("rid").alias("_rid")).distinct())
+    return docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(found, "_rid", "left_anti").select(*docs.columns)
+
+
 def _spans(m: int) -> Column:
     return _positions(F.col("h"), m, lambda i: F.struct(i.alias("a"), (i + m).alias("b"), _window(F.col("h"), i, m).alias("w")), "struct<a:int,b:int,w:bigint>")
 
