@@ -58,6 +58,34 @@ VIEWS = {
 }
 
 
+def _bracket() -> str:
+    """The rows of a 64-team bracket of regions W, X, Y, Z: slot, stronger side, weaker side."""
+    rows = []
+    for r in "WXYZ":
+        rows += [(f"R1{r}{i}", f"{r}{i:02d}", f"{r}{17 - i:02d}") for i in range(1, 9)]
+        rows += [(f"R2{r}{i}", f"R1{r}{i}", f"R1{r}{9 - i}") for i in range(1, 5)]
+        rows += [(f"R3{r}{i}", f"R2{r}{i}", f"R2{r}{5 - i}") for i in range(1, 3)]
+        rows.append((f"R4{r}1", f"R3{r}1", f"R3{r}2"))
+    rows += [("R5WX", "R4W1", "R4X1"), ("R5YZ", "R4Y1", "R4Z1"), ("R6CH", "R5WX", "R5YZ")]
+    return ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows)
+
+
+def _box_log() -> str:
+    """The long log of box scores: a row for each side of a game."""
+    sides = []
+    for a, b in (("W", "L"), ("L", "W")):
+        poss = {s: f"greatest({s}FGA - {s}OR + {s}TO + {s}FTA * CAST(0.475 AS DOUBLE), CAST(1 AS DOUBLE))" for s in (a, b)}
+        own = [f"{a}{c} AS {c}" if c != "OR" else f"{a}OR AS Oreb" for c in ("FGM", "FGA", "FGM3", "FGA3", "FTM", "FTA", "OR", "DR", "Ast", "TO", "Stl", "Blk")]
+        other = [f"{b}{c} AS Opp{c}" for c in ("FGM", "FGA", "FGM3", "FTA", "OR", "DR", "TO")]
+        home = "H" if a == "W" else "A"
+        sides.append(f"SELECT GameID, Season, DayNum, {a}TeamID AS TeamID, {b}TeamID AS OppID, {a}Score AS Pts, {b}Score AS OppPts, CAST({int(a == 'W')} AS DOUBLE) AS Win, CASE WHEN WLoc = '{home}' THEN 1 ELSE 0 END AS IsHome, {poss[a]} AS Poss, {poss[b]} AS OppPoss, {', '.join(own + other)} FROM boxscore")
+    return " UNION ALL ".join(sides)
+
+
+VIEWS["boxlog"] = _box_log()
+VIEWS["slots"] = f"SELECT Slot, StrongSeed, WeakSeed FROM (VALUES {_bracket()}) AS t(Slot, StrongSeed, WeakSeed)"
+
+
 def _needed(names: tuple[str, ...]) -> list[str]:
     order: list[str] = []
 
