@@ -54,6 +54,16 @@ VIEWS = {
         SELECT GameID, League, Season, DayNum, WTeamID AS TeamID, LTeamID AS OppID, WScore AS Pts, LScore AS OppPts, CAST(1 AS DOUBLE) AS Win, CASE WHEN WLoc = 'H' THEN 1 ELSE 0 END AS IsHome, WScore - LScore AS Margin FROM regular
         UNION ALL
         SELECT GameID, League, Season, DayNum, LTeamID, WTeamID, LScore, WScore, CAST(0 AS DOUBLE), CASE WHEN WLoc = 'A' THEN 1 ELSE 0 END, LScore - WScore FROM regular""",
+    "lab": "SELECT GameID, League, Season, DayNum, least(WTeamID, LTeamID) AS T1, greatest(WTeamID, LTeamID) AS T2, CASE WHEN WTeamID < LTeamID THEN 1 ELSE 0 END AS Label, CASE WHEN WTeamID < LTeamID THEN WScore - LScore ELSE LScore - WScore END AS MarginLabel FROM tourney",
+    "mk": """
+        SELECT Season, least(T1, T2) AS T1, greatest(T1, T2) AS T2, avg(CASE WHEN T1 > T2 THEN 1 - q ELSE q END) AS MarketProb, avg(CASE WHEN T1 > T2 THEN -LastSpread ELSE LastSpread END) AS LastSpread
+        FROM (SELECT *, (1 / Team1DecimalOdds) / (1 / Team1DecimalOdds + 1 / Team2DecimalOdds) AS q FROM quotes WHERE Part % 3 <> 0) t GROUP BY 1, 2, 3""",
+    "seednum": "SELECT League, Season, TeamID, CAST(substr(Seed, 2) AS INT) AS SeedNum FROM seeds",
+    "scored": """
+        SELECT lab.GameID, lab.League, lab.Season, lab.T1, lab.T2, Label, MarginLabel, 1 / (1 + exp(-CAST(coalesce(a.Wins, 0) - coalesce(b.Wins, 0) AS DOUBLE) / 8)) AS RawProb, sa.SeedNum AS T1_SeedNum, sb.SeedNum AS T2_SeedNum, abs(sa.SeedNum - sb.SeedNum) AS AbsSeedDiff, MarketProb, LastSpread
+        FROM lab LEFT JOIN wins a ON a.Season = lab.Season AND a.TeamID = lab.T1 LEFT JOIN wins b ON b.Season = lab.Season AND b.TeamID = lab.T2
+        LEFT JOIN seednum sa ON sa.Season = lab.Season AND sa.TeamID = lab.T1 LEFT JOIN seednum sb ON sb.Season = lab.Season AND sb.TeamID = lab.T2
+        LEFT JOIN mk ON mk.Season = lab.Season AND mk.T1 = lab.T1 AND mk.T2 = lab.T2""",
     "rating": "SELECT Season, TeamID, avg(Win) AS Rating FROM glog GROUP BY Season, TeamID",
 }
 
