@@ -62,8 +62,9 @@ def mix(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
 
 def emit(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: every row of docs as many times as it is taken."""
-    mixed = mix(docs, **params).where("_copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc"))
+    mixed = mix(packed, **params).where("_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

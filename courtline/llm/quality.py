@@ -114,8 +114,8 @@ def _kept() -> Column:
     return ~(F.col("base_failed") | rejected)
 
 
-def _with_stratum(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_stratum", F.coalesce(F.col("lang").cast("string"), F.lit("(none)")))
+def _stratum() -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("stratum")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, limit: float = 0.005, level: float = 0.05) -> DataFrame:
@@ -126,16 +126,15 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, limit: float = 0.005, l
     false rejections of each rule in each stratum, all bounds holding together with
     probability 1 - level.
     """
-    rows = checkpoint(signals(_with_stratum(docs), keep=(F.col("_stratum").alias("stratum"),)))
+    rows = checkpoint(signals(docs, keep=(_stratum(),)))
     judged = rows.join(_cutoffs(rows, labels, limit, level), "stratum", "left")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", _kept().alias("kept"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, limit: float = 0.005, level: float = 0.05) -> DataFrame:
     """The rows and columns of docs that quality_verdicts keeps; texts are measured in place and not shuffled."""
-    stratum = F.col("_stratum").alias("stratum")
-    cutoffs = _cutoffs(signals(_with_stratum(docs), keep=(stratum,)), labels, limit, level)
-    rows = signals(_with_stratum(docs).withColumn("_doc", F.struct(*docs.columns)), keep=(stratum, F.col("_doc")))
+    cutoffs = _cutoffs(signals(docs, keep=(_stratum(),)), labels, limit, level)
+    rows = signals(docs, keep=(_stratum(), F.struct(*docs.columns).alias("_doc")))
     return rows.join(cutoffs, "stratum", "left").where(_kept()).select("_doc.*")
 
 

@@ -63,7 +63,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     items = checkpoint(benchmark.select(F.col("item_id").cast("string").alias("item"), _word_hashes(F.col("text")).alias("h")).where(F.size("h") > 0))
     short = sorted(r.n for r in items.where(F.size("h") < width).select(F.size("h").alias("n")).distinct().collect())  # fewer than `width` numbers
     keys = _fingerprints(F.col("h"), width)
-    tails = [_positions(F.col("h"), m, lambda i, m=m: _window(F.col("h"), i, m)) for m in short]
+    tails = [_tail(m) for m in short]
     marks = _small(items.where(F.size("h") >= width).select(F.explode(keys).alias("key")).union(items.where(F.size("h") < width).select(F.xxhash64(F.size("h"), "h"))).distinct())
     windows = checkpoint(
         items.select("item", F.explode(_positions(F.col("h"), width, lambda i: _window(F.col("h"), i, width))).alias("w"))
@@ -104,7 +104,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """The rows and columns of docs that hold no window of the benchmark."""
     found = _small(decontaminate(docs, benchmark, width).where("contaminated").select(F.col("rid").alias("_rid")).distinct())
-    return docs.withColumn("_rid", F.xxhash64("doc_id", "text")).join(found, "_rid", "left_anti").select(*docs.columns)
+    packed = docs.select(F.xxhash64("doc_id", "text").alias("_rid"), F.struct(*docs.columns).alias("_doc"))
+    return packed.join(found, "_rid", "left_anti").select("_doc.*")
+
+
+def _tail(m: int) -> Column:
+    return _positions(F.col("h"), m, lambda i: _window(F.col("h"), i, m))
 
 
 def _spans(m: int) -> Column:
