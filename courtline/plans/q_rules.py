@@ -13,7 +13,9 @@ from .q_features import rounded
 from .q_relational import FIELD, field
 from .registry import query, r6
 
-P0 = F.col("RawProb")
+def raw():
+    return F.col("RawProb")
+
 
 
 def scored(spark, sf_dir):
@@ -32,15 +34,15 @@ def _rule(name: str, sql: str, rule):
     query(name, S(f"GameID, round({sql}, 6) AS p FROM scored"))(lambda spark, sf_dir: scored(spark, sf_dir).select("GameID", r6(rule()).alias("p")))
 
 
-_rule("rule_seed_floor", "CASE WHEN T1_SeedNum <= 3 AND T2_SeedNum >= 8 THEN greatest(RawProb, 0.7) WHEN T2_SeedNum <= 3 AND T1_SeedNum >= 8 THEN least(RawProb, 0.3) ELSE RawProb END", lambda: P.seed_floor(P0, 3, 8, 0.7))
-_rule("rule_market_floor", "CASE WHEN AbsSeedDiff >= 2 AND MarketProb >= 0.55 THEN greatest(RawProb, 0.8) WHEN AbsSeedDiff >= 2 AND MarketProb <= 1 - 0.55 THEN least(RawProb, 0.2) ELSE RawProb END", lambda: P.market_floor(P0, 0.55, 0.8, gap=2))
-_rule("rule_spread_floor", "CASE WHEN LastSpread <= -2 THEN greatest(RawProb, 0.75) WHEN LastSpread >= 2 THEN least(RawProb, 0.25) ELSE RawProb END", lambda: P.spread_floor(P0, 2.0, 0.75))
+_rule("rule_seed_floor", "CASE WHEN T1_SeedNum <= 3 AND T2_SeedNum >= 8 THEN greatest(RawProb, 0.7) WHEN T2_SeedNum <= 3 AND T1_SeedNum >= 8 THEN least(RawProb, 0.3) ELSE RawProb END", lambda: P.seed_floor(raw(), 3, 8, 0.7))
+_rule("rule_market_floor", "CASE WHEN AbsSeedDiff >= 2 AND MarketProb >= 0.55 THEN greatest(RawProb, 0.8) WHEN AbsSeedDiff >= 2 AND MarketProb <= 1 - 0.55 THEN least(RawProb, 0.2) ELSE RawProb END", lambda: P.market_floor(raw(), 0.55, 0.8, gap=2))
+_rule("rule_spread_floor", "CASE WHEN LastSpread <= -2 THEN greatest(RawProb, 0.75) WHEN LastSpread >= 2 THEN least(RawProb, 0.25) ELSE RawProb END", lambda: P.spread_floor(raw(), 2.0, 0.75))
 WEIGHT = "CASE WHEN coalesce(AbsSeedDiff, 99) >= 6 THEN 0.1 WHEN AbsSeedDiff <= 2 THEN 0.6 ELSE 0.3 END"
-_rule("adaptive_market_blend", f"CASE WHEN MarketProb IS NOT NULL THEN (1 - {WEIGHT}) * RawProb + {WEIGHT} * MarketProb ELSE RawProb END", lambda: P.market_blend(P0, P.adaptive_weight(0.3, 2, 0.6, 6, 0.1)))
-_rule("asym_market_blend", "CASE WHEN AbsSeedDiff >= 2 AND T1_SeedNum < T2_SeedNum AND MarketProb >= 0.52 THEN greatest(RawProb, 0.6 * RawProb + 0.4 * MarketProb) WHEN AbsSeedDiff >= 2 AND T1_SeedNum >= T2_SeedNum AND MarketProb <= 0.48 THEN least(RawProb, 0.6 * RawProb + 0.4 * MarketProb) ELSE RawProb END", lambda: P.asym_market_blend(P0, 0.52, 2, 0.4))
+_rule("adaptive_market_blend", f"CASE WHEN MarketProb IS NOT NULL THEN (1 - {WEIGHT}) * RawProb + {WEIGHT} * MarketProb ELSE RawProb END", lambda: P.market_blend(raw(), P.adaptive_weight(0.3, 2, 0.6, 6, 0.1)))
+_rule("asym_market_blend", "CASE WHEN AbsSeedDiff >= 2 AND T1_SeedNum < T2_SeedNum AND MarketProb >= 0.52 THEN greatest(RawProb, 0.6 * RawProb + 0.4 * MarketProb) WHEN AbsSeedDiff >= 2 AND T1_SeedNum >= T2_SeedNum AND MarketProb <= 0.48 THEN least(RawProb, 0.6 * RawProb + 0.4 * MarketProb) ELSE RawProb END", lambda: P.asym_market_blend(raw(), 0.52, 2, 0.4))
 TARGET = "CASE WHEN {0} < 0.9 THEN ({0} - 0.85) * 0.8 + 0.92 WHEN {0} < 0.95 THEN ({0} - 0.9) * 0.6 + 0.96 WHEN {0} < 0.975 THEN ({0} - 0.95) * 0.2 + 0.99 ELSE 0.995 END"
-_rule("extreme_push", f"CASE WHEN RawProb >= 0.85 THEN RawProb + (({TARGET.format('RawProb')}) - RawProb) * 0.5 WHEN RawProb <= 1 - 0.85 THEN 1 - ((1 - RawProb) + (({TARGET.format('(1 - RawProb)')}) - (1 - RawProb)) * 0.5) ELSE RawProb END", lambda: P.extreme_push(P0, 0.5))
-_rule("tossup_control", "CASE WHEN RawProb BETWEEN 0.45 AND 0.55 THEN RawProb + 0.05 * tanh(-coalesce(LastSpread / 100, 0) / 0.03 * 0.75 + coalesce(AbsSeedDiff / 10.0, 0) * 0.25) ELSE RawProb END", lambda: P.tossup_control(P0, 0.05, F.col("LastSpread") / 100, F.col("AbsSeedDiff") / 10))
+_rule("extreme_push", f"CASE WHEN RawProb >= 0.85 THEN RawProb + (({TARGET.format('RawProb')}) - RawProb) * 0.5 WHEN RawProb <= 1 - 0.85 THEN 1 - ((1 - RawProb) + (({TARGET.format('(1 - RawProb)')}) - (1 - RawProb)) * 0.5) ELSE RawProb END", lambda: P.extreme_push(raw(), 0.5))
+_rule("tossup_control", "CASE WHEN RawProb BETWEEN 0.45 AND 0.55 THEN RawProb + 0.05 * tanh(-coalesce(LastSpread / 100, 0) / 0.03 * 0.75 + coalesce(AbsSeedDiff / 10.0, 0) * 0.25) ELSE RawProb END", lambda: P.tossup_control(raw(), 0.05, F.col("LastSpread") / 100, F.col("AbsSeedDiff") / 10))
 _rule("postrules_travel", "greatest(-0.35, least(0.35, (greatest(coalesce(T2_SeedNum * 90, 0) - 400, 0) - greatest(coalesce(T1_SeedNum * 90, 0) - 400, 0)) / 400.0 * 0.1))", lambda: P.travel_shift(F.col("T1_SeedNum") * 90.0, F.col("T2_SeedNum") * 90.0))
 
 AUTO = """, fav AS (SELECT *, coalesce(LastSpread, 0) AS s, coalesce(CASE WHEN LastSpread < 0 THEN MarketProb WHEN LastSpread > 0 THEN 1 - MarketProb END, 0) AS f FROM scored),
@@ -59,7 +61,7 @@ def postrules_spread_auto(spark, sf_dir):
 @query("apply_postprocess", S(f"GameID, round({clip('coalesce(OverrideProb, least(coalesce(ProbCeil, 9), greatest(coalesce(ProbFloor, -9), CASE WHEN sh <> 0 THEN 1 / (1 + exp(-(ln(RawProb / (1 - RawProb)) + sh))) ELSE RawProb END)))')}, 6) AS p FROM (SELECT *, CASE WHEN T1 % 4 = 0 THEN 0.2 ELSE 0 END AS sh FROM auto) t", AUTO))
 def apply_postprocess(spark, sf_dir):
     rows = scored(spark, sf_dir).withColumns(auto_rules() | {"LogitShift": F.when(F.col("T1") % 4 == 0, 0.2)})
-    return rows.select("GameID", r6(P.apply_postrules(P0)).alias("p"))
+    return rows.select("GameID", r6(P.apply_postrules(raw())).alias("p"))
 
 
 @query("rule_grid_search", with_views("scored", """, grid AS (SELECT a.range AS t, b.range AS f, a.range * 10 + b.range AS id FROM range(5) a CROSS JOIN range(5) b),
@@ -70,7 +72,7 @@ def rule_grid_search(spark, sf_dir):
     grid = spark.range(25).select((F.floor(F.col("id") / 5) * 10 + F.col("id") % 5).alias("id"), F.floor(F.col("id") / 5).alias("t"), (F.col("id") % 5).alias("f"))
     at, floor = F.lit(0.5) + F.col("t") * 0.02, F.lit(0.55) + F.col("f") * 0.05
     m = F.col("MarketProb")
-    out = P.grid_search(scored(spark, sf_dir), grid, "id", P.both_ways(P0, m >= at, m <= F.lit(1.0) - at, floor), min_rows=5)
+    out = P.grid_search(scored(spark, sf_dir), grid, "id", P.both_ways(raw(), m >= at, m <= F.lit(1.0) - at, floor), min_rows=5)
     return rounded(out)
 
 
@@ -107,7 +109,7 @@ FINAL = "CASE WHEN MarketProb IS NOT NULL THEN 0.7 * RawProb + 0.3 * MarketProb
 
 
 def final_rows(spark, sf_dir):
-    return scored(spark, sf_dir).withColumn("FinalProb", F.when(F.col("MarketProb").isNotNull(), P0 * 0.7 + F.col("MarketProb") * 0.3).otherwise(P0))
+    return scored(spark, sf_dir).withColumn("FinalProb", F.when(F.col("MarketProb").isNotNull(), raw() * 0.7 + F.col("MarketProb") * 0.3).otherwise(raw()))
 
 
 FIN = f", fin AS (SELECT *, {FINAL} AS FinalProb FROM scored)"
@@ -150,7 +152,7 @@ def prob_fallback(spark, sf_dir):
 
 @query("base_prob_features", S("GameID, round(RawProb, 6) AS BaseProb, round(greatest(RawProb, 1 - RawProb), 6) AS FavoriteProb, round(1 - 2 * abs(RawProb - 0.5), 6) AS Uncertainty FROM scored"))
 def base_prob_features(spark, sf_dir):
-    return rounded(scored(spark, sf_dir).select("GameID", P0.alias("BaseProb"), F.greatest(P0, F.lit(1.0) - P0).alias("FavoriteProb"), (F.lit(1.0) - F.abs(P0 - 0.5) * 2).alias("Uncertainty")))
+    return rounded(scored(spark, sf_dir).select("GameID", raw().alias("BaseProb"), F.greatest(raw(), F.lit(1.0) - raw()).alias("FavoriteProb"), (F.lit(1.0) - F.abs(raw() - 0.5) * 2).alias("Uncertainty")))
 
 
 BLEND = ", fin AS (SELECT *, coalesce(MarketProb, 0.5) AS m FROM scored), per AS (SELECT Season, sum(RawProb * RawProb) AS g00, sum(RawProb * m) AS g01, sum(m * m) AS g11, sum(RawProb * Label) AS y0, sum(m * Label) AS y1, sum(Label * Label) AS yy, count(*) AS n FROM fin GROUP BY 1), pr AS (SELECT Season, sum(g00) OVER w AS g00, sum(g01) OVER w AS g01, sum(g11) OVER w AS g11, sum(y0) OVER w AS y0, sum(y1) OVER w AS y1, sum(yy) OVER w AS yy, sum(n) OVER w AS n FROM per WINDOW w AS (ORDER BY Season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), tr AS (SELECT Season, range AS pt, CAST(range AS DOUBLE) / 10 AS w0, CAST(10 - range AS DOUBLE) / 10 AS w1 , (g00 * w0 * w0 + 2 * g01 * w0 * w1 + g11 * w1 * w1 - 2 * w0 * y0 - 2 * w1 * y1 + yy) / n AS Brier FROM pr CROSS JOIN range(11) WHERE n IS NOT NULL)"
@@ -217,13 +219,13 @@ def scored_table_check(spark, sf_dir):
 
 @query("review_checklist", S("GameID, CASE WHEN MarketProb IS NULL THEN 'no_market' WHEN abs(RawProb - MarketProb) - abs(FinalProb - MarketProb) > 0.03 THEN 'b_closer' WHEN abs(RawProb - MarketProb) - abs(FinalProb - MarketProb) < -0.03 THEN 'a_closer' ELSE 'similar' END AS Closer, concat_ws('|', CASE WHEN MarketProb IS NULL THEN 'no_market' END, CASE WHEN AbsSeedDiff >= 4 THEN 'wide_seeds' END, CASE WHEN abs(RawProb - 0.5) < 0.05 THEN 'tossup' END) AS Reasons FROM fin", FIN))
 def review_checklist(spark, sf_dir):
-    reasons = F.concat_ws("|", F.when(F.col("MarketProb").isNull(), "no_market"), F.when(F.col("AbsSeedDiff") >= 4, "wide_seeds"), F.when(F.abs(P0 - 0.5) < 0.05, "tossup"))
-    return final_rows(spark, sf_dir).select("GameID", L.market_closeness(P0, F.col("FinalProb"), F.col("MarketProb")).alias("Closer"), reasons.alias("Reasons"))
+    reasons = F.concat_ws("|", F.when(F.col("MarketProb").isNull(), "no_market"), F.when(F.col("AbsSeedDiff") >= 4, "wide_seeds"), F.when(F.abs(raw() - 0.5) < 0.05, "tossup"))
+    return final_rows(spark, sf_dir).select("GameID", L.market_closeness(raw(), F.col("FinalProb"), F.col("MarketProb")).alias("Closer"), reasons.alias("Reasons"))
 
 
 @query("recommend_candidate", S("CASE WHEN n_b > 2 * n_a THEN 'b' WHEN n_a > 2 * n_b THEN 'a' WHEN n_sim > n_a + n_b THEN 'either' ELSE 'review' END AS Choice, n_a, n_b, n_sim FROM (SELECT count(*) FILTER (WHERE d > 0.03) AS n_b, count(*) FILTER (WHERE d < -0.03) AS n_a, count(*) FILTER (WHERE abs(d) <= 0.03) AS n_sim FROM (SELECT abs(RawProb - MarketProb) - abs(FinalProb - MarketProb) AS d FROM fin) t) u", FIN))
 def recommend_candidate(spark, sf_dir):
-    closer = L.market_closeness(P0, F.col("FinalProb"), F.col("MarketProb"))
+    closer = L.market_closeness(raw(), F.col("FinalProb"), F.col("MarketProb"))
     n = lambda k: F.count(F.when(F.col("c") == k, 1))
     counts = final_rows(spark, sf_dir).select(closer.alias("c")).agg(n("a_closer").alias("n_a"), n("b_closer").alias("n_b"), n("similar").alias("n_sim"))
     a, b = F.col("n_a"), F.col("n_b")
