@@ -42,6 +42,21 @@ def stash(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.parquet(path), discard
 
 
+def sieve(df: DataFrame, key: str, wanted: DataFrame, bits: int = 24) -> DataFrame:
+    """Drops most rows of df whose key is not in `wanted`, before a join shuffles them.
+
+    The wanted keys set bits of a map of 2**bits bits, which is broadcast as at most
+    2**(bits - 6) words whatever the input's size. Other keys may pass, so the join still
+    decides; with very many wanted keys everything passes. `wanted` is evaluated once more
+    and should be cut from its lineage. Join inner with distinct keys afterwards: a semi join
+    would be planned below the map.
+    """
+    at = f"(xxhash64(`{key}`) & {(1 << bits) - 1}L)"
+    words = wanted.select(F.expr(f"{at} >> 6").alias("_word"), F.expr(f"shiftleft(1L, cast({at} & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    marked = df.withColumn("_word", F.expr(f"{at} >> 6")).join(F.broadcast(words), "_word")
+    return marked.where(F.expr(f"(shiftrightunsigned(_mask, cast({at} & 63 as int)) & 1L) = 1L")).drop("_word", "_mask")
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
