@@ -149,3 +149,31 @@ def test_partitioning_does_not_matter(spark, name):
         found.append(sorted(map(str, query(spark, SF).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert found[0] == found[1]
+
+
+def test_out_of_sample_scores_ignore_later_seasons(spark):
+    from courtline.operators import models as ML
+
+    rows = [(i, 2000 + i % 4, i % 2, float((i % 2) * 2 - 1) * (i % 7), float(i % 7) * (i % 2 * 2 - 1) + i % 3) for i in range(160)]
+    frame = spark.createDataFrame(rows, "GameID long, Season int, Label int, MarginLabel double, D_x double")
+    changed = frame.withColumn("Label", F.when(F.col("Season") == 2003, 1 - F.col("Label")).otherwise(F.col("Label")))
+    score = lambda df: sorted((r.GameID, round(r.Prob_lr, 9)) for r in ML.season_forward_oof(df, ["D_x"], {"lr": ML.linear}, 2).collect())
+    first = score(frame)
+    assert first == score(changed) and len(first) == 80  # 2002 and 2003 only; a season's own labels don't count
+
+
+def test_fuzzy_names(spark):
+    from courtline.operators import resolve as N
+
+    lookup = spark.createDataFrame([("north carolina", 1), ("south carolina", 2), ("duke", 3)], "alias string, id long")
+    names = spark.createDataFrame([("north carolinna",), ("duke",), ("duke blue devils",), ("gonzaga",), (None,)], "n string")
+    got = {r.n: (r.id, r.status) for r in N.resolution_audit(names, "n", lookup).collect()}
+    assert got == {"north carolinna": (1, "fuzzy"), "duke": (3, "exact"), "duke blue devils": (3, "prefix"), "gonzaga": (None, "unmatched")}
+    common = {r.n: r.id for r in N.resolve_fuzzy(names, "n", lookup, 60.0, common=1).collect()}  # "carolina" is too common alone
+    assert common["duke"] == 3 and common["gonzaga"] is None
+
+
+def test_missing_csv_is_an_empty_table(spark):
+    from courtline.sources import files
+
+    assert files.scan_csv(spark, "/tmp/no/such/file.csv", "a int, b string").count() == 0
