@@ -3,14 +3,16 @@
 The product of the incidence matrix with its transpose holds every pair's overlap. Only the
 parts of it that can pass are formed:
 
-* Columns (n-grams) are put in one global order, frequent ones last. A document enters only its
+* Columns (n-grams) are put in one global order, frequent ones last, so that a passage that many
+  documents share makes no pairs of them. A document enters only its
   first n - ceil(t * n) + 1 columns; two documents over the threshold share one of those, and
   at their first shared column the sizes and positions must still allow the needed overlap.
 * Columns are dealt into blocks by their hash. A block accumulates the overlap counts of each
   document with the first document of the column, and discards pairs below the size bounds.
 * Surviving pairs are verified with whole sets. Columns whose documents already are in one
   component need no more; the documents of the others are multiplied in blocks of bounded
-  size, across components only, and verified in the same way.
+  size, across components only, and verified likewise, after a bound from the smallest
+  quarter of their hashes has dropped most pairs.
 
 So a group of k near copies costs about k pairs, not k * k, and no link between different
 components is left out. The threshold is in percent, the comparison exact in whole numbers.
@@ -25,18 +27,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .store import checkpoint, components, documents, stash
-
-#: A column counts as frequent if more than one in this many documents has it (and MIN_FREQUENT of them do);
-#: so there are at most FREQUENT times the shingles of an average document.
-FREQUENT = 1000
-MIN_FREQUENT = 50
-#: Local counts held in a task before the rare ones are dropped; frequency only orders columns.
-COUNTS_HELD = 2_000_000
+from .store import checkpoint, components, documents, sieve, stash
+
+#: A column counts as frequent if this many documents enter it; of more than MOST_FREQUENT such
+#: columns, those with most documents count. Their list is broadcast, at most 8 bytes each.
+MIN_FREQUENT = 12
+MOST_FREQUENT = 1_000_000
 #: Documents of one column that are multiplied in a task at once.
 BLOCK = 2000
 #: Pairs that a task holds to add up their counts.
@@ -56,39 +57,11 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.unique(grams[a : b - n + 1]) if b - a >= n else short[i : i + (b > a)] for i, (a, b) in enumerate(zip(lo, hi, strict=True))]
 
 
-def _frequent_parts(n: int):
-    """Column counts of a task, the rare ones dropped whenever there are too many."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        held: list[np.ndarray] = []
-
-        def merge() -> None:
-            nonlocal keys, counts, held
-            own, own_counts = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
-            both, at = np.unique(np.concatenate((keys, own)), return_inverse=True)
-            keys, counts, held = both, np.bincount(at, np.concatenate((counts, own_counts)), len(both)).astype(np.int64), []
-
-        for rows, data, off in T.text_chunks(batches):
-            docs += rows.num_rows
-            held += shingle_sets(data, off, n)
-            if sum(map(len, held)) > COUNTS_HELD // 2:
-                merge()
-                floor = 1
-                while len(keys) > COUNTS_HELD // 2:
-                    floor += 1
-                    keys, counts = keys[counts >= floor], counts[counts >= floor]
-        merge()
-        often = counts >= max(3, docs // (2 * FREQUENT))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], names=["gram", "n"])
-
-    return count
-
-
-def _prefixes(n: int, percent: int, frequent: np.ndarray):
+def _prefixes(n: int, percent: int, sent: Broadcast | None = None):
     """The columns that each document enters: gram, doc_id, size of its set, position in the global order."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = sent.value if sent else ()
         for rows, data, off in T.text_chunks(batches):
             grams, sizes, places = [], [], []
             for s in shingle_sets(data, off, n):
@@ -242,49 +215,94 @@ def _unpack(raw: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _verify(percent: int):
+def _sets_of(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, grams, n) of the documents in the pairs."""
+    ids = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
+    packed = sieve(texts, "doc_id", ids).join(ids, "doc_id").mapInArrow(_sets(n), "doc_id long, grams binary")
+    return packed.withColumn("n", (F.octet_length("grams") / 5).cast("int"))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    both = np.concatenate((a, b))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
+def _reaches(n1: int, n2: int, shared: int, percent: int) -> bool:
+    return 100 * shared >= percent * (n1 + n2 - shared)
+
+
+def _whole(a: np.ndarray, n1: int, b: np.ndarray, n2: int, percent: int) -> bool:
+    """Whether whole sets reach the threshold."""
+    return 100 * min(n1, n2) >= percent * max(n1, n2) and _reaches(n1, n2, _common(a, b), percent)
+
+
+def _heads(a: np.ndarray, n1: int, b: np.ndarray, n2: int, percent: int) -> bool:
+    """Whether sets can reach the threshold, by their smallest hashes.
+
+    Up to the smaller of both last hashes the overlap is known; beyond it, it is at most what
+    is left of either set.
+    """
+    end = min(a[-1] if len(a) < n1 else T._NONE, b[-1] if len(b) < n2 else T._NONE)
+    a, b = a[: np.searchsorted(a, end, "right")], b[: np.searchsorted(b, end, "right")]
+    return _reaches(n1, n2, _common(a, b) + min(n1 - len(a), n2 - len(b)), percent)
+
+
+def _verify(percent: int, test):
+    """Tests pairs block by block; rows come sorted by block, a block's sets before its pairs."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets = None, {}
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                if a == b:
-                    keep.append(True)
-                    continue
-                n1, n2 = len(a) // 5, len(b) // 5
-                both = np.concatenate((_unpack(a), _unpack(b)))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (n1 + n2 - shared))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("u").filter(mask), batch.column("v").filter(mask)], names=["u", "v"])
+            names = ("g", "b1", "b2", "u", "v", "n", "grams")
+            for g, b1, b2, u, v, n, grams in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names), strict=True):
+                if block != (g, b1, b2):
+                    block, sets = (g, b1, b2), {}
+                if grams is not None:
+                    sets.setdefault(u, []).append((_unpack(grams), n))  # rows that share a doc_id are one node
+                elif any(test(*a, *b, percent) for a in sets.get(u, ()) for b in sets.get(v, ())):
+                    keep.append((u, v))
+            links = np.array(keep, np.int64).reshape(-1, 2)
+            yield _rows(links[:, 0], links[:, 1])
 
     return verify
 
 
-def jaccard_links(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of doc_ids whose shingle sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, grams binary")
-    with_v = pairs.select("u", "v").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
-    both = with_v.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(_verify(percent), "u long, v long")
+def _links(pairs: DataFrame, sets: DataFrame, percent: int, test) -> DataFrame:
+    """The pairs (u, v) whose sets (doc_id, n, grams) pass the test.
+
+    Candidate pairs are put together by the component of the candidate graph, large components
+    in pairs of blocks of about BLOCK documents, so a set travels once for each block, not
+    once for each pair.
+    """
+    groups = components(pairs)
+    parts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    placed = pairs.select("u", "v").join(groups, F.col("u") == F.col("node")).join(parts, "component")
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    keyed = checkpoint(placed.select(F.col("component").alias("g"), F.least(part("u"), part("v")).alias("b1"), F.greatest(part("u"), part("v")).alias("b2"), "u", "v"))
+    wanted = keyed.select("g", "b1", "b2", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    rows = wanted.join(sets, "doc_id").select("g", "b1", "b2", F.lit(0).alias("kind"), F.col("doc_id").alias("u"), F.col("doc_id").alias("v"), "n", "grams")
+    rows = rows.unionByName(keyed.withColumns({"kind": F.lit(1), "n": F.lit(0), "grams": F.lit(None).cast("binary")}))
+    return rows.repartition("g", "b1", "b2").sortWithinPartitions("g", "b1", "b2", "kind").mapInArrow(_verify(percent, test), "u long, v long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, component_id) of the documents that are linked with others; docs (doc_id, text, ...)."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    floor = max(MIN_FREQUENT, texts.count() // FREQUENT)
-    counted = texts.mapInArrow(_frequent_parts(n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= floor)
-    frequent = np.sort(np.array([r.gram for r in counted.collect()], np.int64).view(np.uint64))  # bounded, see FREQUENT
-    entered = texts.mapInArrow(_prefixes(n, percent, frequent), "gram long, doc_id long, size int, pos int").repartition("gram")
+    columns = "gram long, doc_id long, size int, pos int"
+    counted = texts.mapInArrow(_prefixes(n, percent), columns).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_FREQUENT)
+    listed = counted.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow().column("gram").to_numpy()  # bounded, and only orders columns
+    frequent = texts.sparkSession.sparkContext.broadcast(np.sort(listed.view(np.uint64)))
+    entered = texts.mapInArrow(_prefixes(n, percent, frequent), columns).repartition("gram")
     products, discard = stash(entered.sortWithinPartitions("gram", "doc_id").mapInArrow(_star_product(percent), "kind int, a long, b long, c int, d int"))
     pairs = products.where(F.col("kind") == PAIR).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("c").alias("hits"))
-    links = checkpoint(jaccard_links(texts, pairs, n, percent))
+    entries = products.where(F.col("kind") == ENTRY)
+    links = checkpoint(_links(pairs, _sets_of(texts, pairs, n), percent, _whole))
     comps = components(links)
 
     placed = (
-        products.where(F.col("kind") == ENTRY)
-        .select(F.col("a").alias("gram"), F.col("b").alias("doc_id"), F.col("c").alias("size"), F.col("d").alias("pos"))
+        entries.select(F.col("a").alias("gram"), F.col("b").alias("doc_id"), F.col("c").alias("size"), F.col("d").alias("pos"))
         .join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
     )
@@ -294,9 +312,13 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     across = blocks.mapInArrow(_block_product(percent), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
     across = checkpoint(across)
     if not across.isEmpty():
-        more = checkpoint(jaccard_links(texts, across, n, percent))
+        sets, discard_sets = stash(_sets_of(texts, across, n))
+        heads = sets.withColumn("grams", F.expr("substring(grams, 1, 5 * ((n + 3) div 4))"))
+        near = checkpoint(_links(across, heads, percent, _heads))
+        more = checkpoint(_links(near, sets, percent, _whole))
         if not more.isEmpty():
             comps = components(links.unionByName(more))
+        discard_sets()
     discard()
     return comps.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
