@@ -173,7 +173,7 @@ def test_cutoffs_are_the_strictest_proven(spark):
     assert row.cut1 == 0.12  # one good document in a hundred has a rate of 0.12: below it too many would go
 
 
-@pytest.mark.parametrize(("block", "frequent"), [(2000, 50), (3, 3)])
+@pytest.mark.parametrize(("block", "frequent"), [(2000, 50), (3, 3), (3, 1000)])
 def test_ngram_join(docs, empty, block, frequent, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "MIN_FREQUENT", frequent)
