@@ -195,6 +195,25 @@ def test_lines(docs, empty, spark):
     assert line_dedup.line_dedup(empty).count() == 0 and line_dedup.line_dedup(docs).count() == len(ROWS)
 
 
+def template_lines():
+    """Lines of one template, near pairs in large buckets where most other lines are not near."""
+    rng = random.Random(11)
+    words = lambda k: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(k))
+    shared, rows = words(60), []
+    for _ in range(150):
+        own = words(1)
+        rows += [(len(rows), f"{shared} {own}q"), (len(rows) + 1, f"{shared} {own}r")]
+    return rows
+
+
+@pytest.mark.parametrize("block", [2000, 20])
+def test_lines_of_one_template(spark, block, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
+    rows = template_lines()
+    out = line_dedup.line_dedup(frame(spark, rows), percent=99).drop("kept").collect()
+    assert ordered(out) == ordered(brute.lines(rows, percent=99))
+
+
 @pytest.mark.parametrize("rule", ["first", "last", "most"])
 def test_tokens(docs, empty, rule):
     encoder, lengths = token_counts.encoding(token_counts.RANKS)
