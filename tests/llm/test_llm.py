@@ -214,6 +214,21 @@ def test_lines_of_one_template(spark, block, monkeypatch):
     assert ordered(out) == ordered(brute.lines(rows, percent=99))
 
 
+def test_short_lines_with_one_changed_character(spark, tmp_path):
+    rng = random.Random(5)
+    rows = []
+    for size in (50, 60, 70):
+        for _ in range(10):
+            line = [rng.choice("abcdefghijklmnop ") for _ in range(size)]
+            copy = line[:]
+            copy[size // 2] = "z"
+            rows += [(len(rows), "".join(line)), (len(rows) + 1, "".join(copy))]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = line_dedup.op10_line_dedup(spark, str(tmp_path)).collect()
+    assert sum(r.n_removed for r in out) == 30
+    assert ordered(out) == ordered(brute.lines(rows, n=5))
+
+
 @pytest.mark.parametrize("rule", ["first", "last", "most"])
 def test_tokens(docs, empty, rule):
     encoder, lengths = token_counts.encoding(token_counts.RANKS)
