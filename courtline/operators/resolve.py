@@ -36,25 +36,18 @@ def token_set_score(a: Column, b: Column) -> Column:
 def resolve_fuzzy(names: DataFrame, name: str, lookup: DataFrame, threshold: float = 85.0, common: int = 1000) -> DataFrame:
     """For each distinct name the most similar alias that shares a token, if it scores enough.
 
-    Candidates meet on their tokens. A token of more than `common` aliases tells little and
-    would pair everything with everything, so names meet on it only together with a second
-    token; names that have no other token are compared by that token alone.
+    Candidates meet on their tokens, each pair on its least common one only. The aliases of a
+    token of more than `common` are dealt by salt, so no join group holds many more than that.
     """
     every = names.select(name).where(F.col(name).isNotNull()).distinct()
-    tokens = lambda df, c: df.withColumn("_t", F.explode(F.array_distinct(F.split(c, " ")))).where("_t <> ''")
-    alias_tokens = tokens(lookup, "alias")
-    frequent = alias_tokens.groupBy("_t").agg(F.count("*").alias("_n")).where(F.col("_n") > common).select("_t", F.lit(1).alias("_f"))
-
-    def keys(df: DataFrame, c: str) -> DataFrame:
-        marked = tokens(df, c).join(frequent, "_t", "left").groupBy(*df.columns).agg(F.array_sort(F.collect_set(F.when(F.col("_f").isNull(), F.col("_t")))).alias("_rare"), F.array_sort(F.collect_set(F.when(F.col("_f").isNotNull(), F.col("_t")))).alias("_often"))
-        pairs = F.flatten(F.transform("_often", lambda t: F.transform(F.filter(F.concat("_often", "_rare"), lambda u: u != t), lambda u: F.concat_ws(" ", F.least(t, u), F.greatest(t, u)))))
-        alone = F.when((F.size("_rare") == 0) & (F.size("_often") == 1), F.col("_often")).otherwise(F.array().cast("array<string>"))
-        return marked.select(*df.columns, F.explode(F.array_distinct(F.concat("_rare", pairs, alone))).alias("_k"))
-
-    met = keys(every, name).join(keys(lookup, "alias"), "_k").drop("_k").distinct().withColumn("score", token_set_score(F.col(name), F.col("alias")))
-    best = Window.partitionBy(name).orderBy(F.desc(F.round("score", 6)), "alias")
-    top = met.withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
-    return every.join(top.select(name, "alias", "id", "score"), name, "left").select(name, F.when(F.col("score") >= threshold, F.col("id")).alias("id"), F.when(F.col("score") >= threshold, F.col("alias")).alias("alias"), "score")
+    tokens = lambda df, c: df.withColumn("_all", F.array_remove(F.array_distinct(F.split(c, " ")), "")).withColumn("_t", F.explode("_all"))
+    alias_tokens = tokens(lookup, "alias").withColumnRenamed("_all", "_theirs")
+    salts = alias_tokens.groupBy("_t").agg(F.ceil(F.count("*") / common).cast("int").alias("_n"))
+    dealt = alias_tokens.join(salts, "_t").withColumn("_salt", F.pmod(F.xxhash64("alias"), F.col("_n")).cast("int")).drop("_n")
+    asked = tokens(every, name).join(salts, "_t").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
+    met = asked.join(dealt, ["_t", "_salt"]).where(F.col("_t") == F.array_min(F.array_intersect("_all", "_theirs"))).withColumn("score", token_set_score(F.col(name), F.col("alias")))
+    top = met.groupBy(name).agg(F.min(F.struct((-F.round("score", 6)).alias("_o"), "alias", "id", "score")).alias("_b")).select(name, "_b.alias", "_b.id", "_b.score")
+    return every.join(top, name, "left").select(name, F.when(F.col("score") >= threshold, F.col("id")).alias("id"), F.when(F.col("score") >= threshold, F.col("alias")).alias("alias"), "score")
 
 
 def resolution_audit(names: DataFrame, name: str, lookup: DataFrame, threshold: float = 85.0) -> DataFrame:

@@ -173,6 +173,15 @@ def test_fuzzy_names(spark):
     assert common["duke"] == 3 and common["gonzaga"] is None
 
 
+def test_fuzzy_names_meet_on_frequent_tokens(spark):
+    from courtline.operators import resolve as N
+
+    lookup = spark.createDataFrame([("texas tech", 1), ("texas state", 2), ("north state", 3), ("north dakota", 4)], "alias string, id long")
+    names = spark.createDataFrame([("texas",), ("north statee",), ("utah",)], "n string")
+    few, many = ({r.n: (r.id, r.alias, r.score) for r in N.resolve_fuzzy(names, "n", lookup, common=c).collect()} for c in (1, 1000))
+    assert few == many and few["texas"][:2] == (2, "texas state") and few["north statee"][0] == 3 and few["utah"] == (None, None, None)
+
+
 def test_missing_csv_is_an_empty_table(spark):
     from courtline.sources import files
 
