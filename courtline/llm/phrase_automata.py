@@ -41,8 +41,8 @@ def _scan(width: int):
             starts, ends, word_off = T.words_of(data, off)
             s = T.segments(T.word_hashes(data, starts, ends), word_off, width, GRAM)
             yield pa.RecordBatch.from_arrays(
-                [T.take_row(rows, "did", s["row"]), T.take_row(rows, "tid", s["row"]), pa.array((s["start"] - word_off[s["row"]]).astype(np.int32)), pa.array(s["n"].astype(np.int32)), pa.array(s["bucket"]), pa.array(s["seg"])],
-                names=["did", "tid", "start", "n", "bucket", "seg"],
+                [T.take_row(rows, "did", s["row"]), T.take_row(rows, "tid", s["row"]), T.take_row(rows, "size", s["row"]), pa.array((s["start"] - word_off[s["row"]]).astype(np.int32)), pa.array(s["n"].astype(np.int32)), pa.array(s["bucket"]), pa.array(s["seg"])],
+                names=["did", "tid", "size", "start", "n", "bucket", "seg"],
             )
 
     return scan
@@ -152,18 +152,18 @@ def phrase_dedup(docs: DataFrame, width: int = 50) -> DataFrame:
     Takes (doc_id, text, ...), returns doc_id, n_words, n_removed, kept_sha256 and kept (the
     words that stay, joined by one space).
     """
-    texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.hash("text").alias("tid"))
-    segs = texts.select("did", "tid", "text").mapInArrow(_scan(width), "did long, tid int, start int, n int, bucket long, seg long")
+    texts = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64("doc_id", "text").alias("tid"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"))
+    segs = texts.select("did", "tid", "size", "text").mapInArrow(_scan(width), "did long, tid long, size int, start int, n int, bucket long, seg long")
     shared = segs.groupBy("bucket").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b").select("bucket")
     live = checkpoint(segs.join(shared, "bucket"))
-    kinds = live.groupBy("bucket", "seg").agg(F.min(F.struct("did", "tid", "start", "n")).alias("first"), F.max("did").alias("last_doc"))
+    kinds = live.groupBy("bucket", "seg").agg(F.min(F.struct("did", "tid", "size", "start", "n")).alias("first"), F.max("did").alias("last_doc"))
     part = F.struct("bucket", "seg", F.col("first.did").alias("first_doc"), "last_doc", F.col("first.start").alias("start"), F.col("first.n").alias("n"))
-    parts = kinds.select(F.col("first.did").alias("did"), F.col("first.tid").alias("tid"), part.alias("p")).groupBy("did", "tid").agg(F.collect_list("p").alias("parts"))
-    spread = texts.join(parts, ["did", "tid"]).select("doc_id", "text", "parts").mapInArrow(_contents(width), "bucket long, seg long, first_doc long, last_doc long, content binary")
+    parts = kinds.select(F.col("first.did").alias("did"), F.col("first.tid").alias("tid"), F.col("first.size").alias("size"), part.alias("p")).groupBy("did", "tid", "size").agg(F.collect_list("p").alias("parts"))
+    spread = texts.join(parts, ["did", "tid", "size"]).select("doc_id", "text", "parts").mapInArrow(_contents(width), "bucket long, seg long, first_doc long, last_doc long, content binary")
     found = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_locate(width), f"bucket long, seg long, runs {_RUNS_SQL}")
-    hit = live.join(found, ["bucket", "seg"]).select("did", "tid", "start", F.explode(F.filter("runs", lambda r: r["first_doc"] < F.col("did"))).alias("r"))
-    removed = hit.select("did", "tid", F.struct((F.col("start") + F.col("r.at")).alias("start"), F.col("r.len").alias("len")).alias("s")).groupBy("did", "tid").agg(F.collect_list("s").alias("removed"))
-    return texts.join(removed, ["did", "tid"], "left").select("doc_id", "text", "removed").mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    hit = live.join(found, ["bucket", "seg"]).select("did", "tid", "size", "start", F.explode(F.filter("runs", lambda r: r["first_doc"] < F.col("did"))).alias("r"))
+    removed = hit.select("did", "tid", "size", F.struct((F.col("start") + F.col("r.at")).alias("start"), F.col("r.len").alias("len")).alias("s")).groupBy("did", "tid", "size").agg(F.collect_list("s").alias("removed"))
+    return texts.join(removed, ["did", "tid", "size"], "left").select("doc_id", "text", "removed").mapInArrow(_finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

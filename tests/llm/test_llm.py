@@ -229,6 +229,20 @@ def test_short_lines_with_one_changed_character(spark, tmp_path):
     assert ordered(out) == ordered(brute.lines(rows, n=5))
 
 
+def test_texts_of_one_short_hash_and_no_id_stay_apart(spark):
+    passage = " ".join(f"p{k}" for k in range(20))
+    text = F.concat(F.expr("repeat('pad ', cast(id % 7 as int))"), F.lit("u"), F.col("id").cast("string"), F.lit(f" {passage}\nthis line is in each of them"))
+    made = spark.range(400_000).select("id", text.alias("text")).withColumn("h", F.hash("text"))
+    pairs = made.groupBy("h").agg(F.collect_list("text").alias("t"), F.min(F.col("id") % 7).alias("a"), F.max(F.col("id") % 7).alias("b")).where("size(t) = 2 and a < b")
+    x, y = sorted(pairs.orderBy("h").first().t)
+    rows = [(None, x), (None, y)]
+    lines = line_dedup.line_dedup(frame(spark, rows)).collect()
+    assert sorted(r.n_removed for r in lines) == [0, 1]
+    rows.append((0, passage))
+    out = phrase_automata.phrase_dedup(frame(spark, rows), width=20).drop("kept").collect()
+    assert ordered(out) == ordered(brute.phrases(rows, 20)) and sum(r.n_removed for r in out) == 40
+
+
 @pytest.mark.parametrize("rule", ["first", "last", "most"])
 def test_tokens(docs, empty, rule):
     encoder, lengths = token_counts.encoding(token_counts.RANKS)
