@@ -7,8 +7,9 @@ parts of it that can pass are formed:
   documents share makes no pairs of them. A document enters only its
   first n - ceil(t * n) + 1 columns; two documents over the threshold share one of those, and
   at their first shared column the sizes and positions must still allow the needed overlap.
-* Columns are dealt into blocks by their hash. A block accumulates the overlap counts of each
-  document with the first document of the column, and discards pairs below the size bounds.
+* Columns are dealt into blocks by their hash. A block pairs each document with the first
+  document of the column and discards pairs by size and position at that column. The counts of
+  shared columns are not used: prefix filtering and whole-set verification decide.
 * Surviving pairs are verified with whole sets. Columns whose documents already are in one
   component need no more; the documents of the others are multiplied in blocks of bounded
   size, across components only, and verified likewise, after a bound from the smallest
