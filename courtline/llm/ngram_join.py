@@ -3,13 +3,15 @@
 The product of the incidence matrix with its transpose holds every pair's overlap. Only the
 parts of it that can pass are formed:
 
-* Columns (n-grams) are put in one global order, frequent ones last, so that a passage that many
-  documents share makes no pairs of them. A document enters only its
+* Every column (n-gram) is counted over all documents, in blocks of packed hashes. Columns are put
+  in one global order, frequent ones last, the most frequent at the end. A document enters only its
   first n - ceil(t * n) + 1 columns; two documents over the threshold share one of those, and
-  at their first shared column the sizes and positions must still allow the needed overlap.
-* Columns are dealt into blocks by their hash. A block pairs each document with the first
-  document of the column and discards pairs by size and position at that column. The counts of
-  shared columns are not used: prefix filtering and whole-set verification decide.
+  at their first shared column the sizes and positions must still allow the needed overlap. So
+  what many documents share, be it a passage or the original of many loose copies, makes pairs
+  only of documents that have little else.
+* Columns are dealt into blocks by their hash. A block pairs each document with the one document
+  of the column that has least before it and discards pairs by size and position at that column.
+  The counts of shared columns are not used: prefix filtering and whole-set verification decide.
 * Surviving pairs are verified with whole sets. Columns whose documents already are in one
   component need no more; the documents of the others are multiplied in blocks of bounded
   size, across components only, and verified likewise, after a bound from the smallest
@@ -19,7 +21,8 @@ So a group of k near copies costs about k pairs, not k * k, and no link between
 components is left out. The threshold is in percent, the comparison exact in whole numbers.
 
 Rows that share a doc_id are one node with the links of all its texts; rows with a null doc_id
-are linked with nothing and get a null component. Null or blank texts have no shingles.
+are linked with nothing and get a null component. Null or blank texts have no shingles. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,16 +38,23 @@ from pyspark.sql import functions as F
 from . import textcore as T
 from .store import checkpoint, components, documents, sieve, stash
 
-#: A column counts as frequent if this many documents enter it; of more than MOST_FREQUENT such
-#: columns, those with most documents count. Their list is broadcast, at most 8 bytes each.
+#: A column counts as frequent if this many documents hold it; of more than MOST_FREQUENT such
+#: columns, those with most documents count. Their list is broadcast, at most 12 bytes each. It
+#: only orders columns, so no pair depends on it.
 MIN_FREQUENT = 12
-MOST_FREQUENT = 1_000_000
+MOST_FREQUENT = 2_000_000
+#: Text bytes for one block of the columns when they are counted.
+COUNT_BYTES = 4 << 20
 #: Documents of one column that are multiplied in a task at once.
 BLOCK = 2000
-#: Pairs that a task holds to add up their counts.
+#: Pairs that a task holds to drop repeats.
 PAIRS_HELD = 500_000
 PAIR, ENTRY = 0, 1
-_KEEP_BITS = np.uint64((1 << 40) - 1)
+#: Columns are told apart by so many leading bits while they are counted and ordered.
+ORDER_BITS = 52
+_REST = np.uint64(64 - ORDER_BITS)
+#: Bytes that a column's remaining bits take within its block.
+_PACKED = 5
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
@@ -55,24 +65,104 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, n: int) -> list[np.ndarray]:
     grams = T.run_hash(sums, n)
     short = T.span_hash(sums, word_off[:-1], word_off[1:])
     lo, hi = word_off[:-1].tolist(), word_off[1:].tolist()
-    return [np.unique(grams[a : b - n + 1]) if b - a >= n else short[i : i + (b > a)] for i, (a, b) in enumerate(zip(lo, hi, strict=True))]
+    return [_distinct(grams[a : b - n + 1]) if b - a >= n else short[i : i + (b > a)] for i, (a, b) in enumerate(zip(lo, hi, strict=True))]
 
 
-def _prefixes(n: int, percent: int, sent: Broadcast | None = None):
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; np.unique hashes here, which takes many times longer."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
+
+
+def _column_blocks(n: int, bits: int):
+    """Every document's columns, packed by block: the leading `bits` bits, then _PACKED bytes a column."""
+    lead, drop = np.uint64(64 - bits), np.uint64(64 - bits - 8 * _PACKED)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            grams = np.sort(np.concatenate(held))
+            block = (grams >> lead).astype(np.int64)
+            cut = np.concatenate(([0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]))
+            raw = np.ascontiguousarray((grams >> drop).view(np.uint8).reshape(-1, 8)[:, :_PACKED]).ravel()
+            return pa.RecordBatch.from_arrays([pa.array(block[cut[:-1]]), pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut * _PACKED), pa.py_buffer(raw)]).cast(pa.binary())], names=["block", "columns"])
+
+        for _, data, off in T.text_chunks(batches):
+            held += [s for s in shingle_sets(data, off, n) if len(s)]
+            if sum(map(len, held)) > PAIRS_HELD * 4:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    return pack
+
+
+def _frequent(least: int, bits: int):
+    """(column, n) of the columns that `least` documents hold; rows come sorted by block."""
+
+    def solve(block: int, packed: list[bytes]) -> pa.RecordBatch:
+        raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, _PACKED)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :_PACKED] = raw
+        columns = np.sort(wide.view(np.uint64).ravel())
+        first = np.flatnonzero(np.concatenate(([True], columns[1:] != columns[:-1])))
+        count = np.diff(np.concatenate((first, [len(columns)])))
+        many = count >= least
+        whole = ((np.uint64(block) << np.uint64(8 * _PACKED)) | columns[first[many]]) >> np.uint64(bits + 8 * _PACKED - ORDER_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(count[many])], names=["column", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            for b, columns in zip(batch.column("block").to_pylist(), batch.column("columns").to_pylist(), strict=True):
+                if b != block and held:
+                    yield solve(block, held)
+                    held = []
+                block = b
+                held.append(columns)
+        if held:
+            yield solve(block, held)
+
+    return count
+
+
+def _column_order(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent columns, sorted, and the rank of each by its number of documents.
+
+    The number of blocks grows with the text, so that a block's columns fit a task.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max(ORDER_BITS - 8 * _PACKED, (size // COUNT_BYTES).bit_length()), 64 - 8 * _PACKED)
+    packed = texts.select("text").mapInArrow(_column_blocks(n, bits), "block long, columns binary")
+    counted = packed.repartition("block").sortWithinPartitions("block").mapInArrow(_frequent(MIN_FREQUENT, bits), "column long, n long")
+    listed = counted.orderBy(F.desc("n"), "column").limit(MOST_FREQUENT).toArrow()  # bounded, and only orders columns
+    column, count = listed.column("column").to_numpy().view(np.uint64), listed.column("n").to_numpy()
+    by_column = np.argsort(column)
+    rank = np.empty(len(column), np.int32)
+    rank[np.lexsort((column, count))] = np.arange(len(column), dtype=np.int32)
+    return column[by_column], rank[by_column]
+
+
+def _prefixes(n: int, percent: int, sent: Broadcast):
     """The columns that each document enters: gram, doc_id, size of its set, position in the global order."""
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = sent.value if sent else ()
+        frequent, rank = sent.value
         for rows, data, off in T.text_chunks(batches):
             grams, sizes, places = [], [], []
             for s in shingle_sets(data, off, n):
+                sizes.append(len(s))
                 k = len(s) + (-percent * len(s) // 100) + 1 if len(s) else 0
                 if len(frequent) and k:
-                    common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-                    if common[:k].any():
-                        s = np.concatenate((s[~common], s[common]))
+                    column = s >> _REST
+                    place = np.minimum(np.searchsorted(frequent, column), len(frequent) - 1)
+                    common = frequent[place] == column
+                    if common.any():
+                        rare = s[~common]
+                        s = rare if len(rare) >= k else np.concatenate((rare, s[common][np.argsort(rank[place[common]], kind="stable")]))
                 grams.append(s[:k])
-                sizes.append(len(s))
                 places.append(k)
             count = np.array(places)
             yield pa.RecordBatch.from_arrays(
@@ -99,9 +189,9 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 def _star_product(percent: int):
-    """Overlap counts of each document with the first one of its columns; rows come sorted by column and document.
+    """Pairs of each document with the first one of its columns; rows come sorted by column and position.
 
-    Gives PAIR rows (u, v, hits) and, for the second product, the ENTRY rows (gram, doc_id,
+    Gives PAIR rows (u, v) and, for the second product, the ENTRY rows (gram, doc_id,
     size, pos) of columns with more than two documents.
     """
 
@@ -125,7 +215,8 @@ def _star_product(percent: int):
             new = np.arange(len(gram)) >= carried
             pair = new & (rank > 0) & (doc != doc[top]) & _may_link(size, pos, size[top], pos[top], percent)
             if pair.any():
-                found.append(np.stack((doc[pair], doc[top][pair], np.ones(int(pair.sum()), np.int64)), 1))
+                u, v = doc[pair], doc[top][pair]
+                found.append(np.stack((np.maximum(u, v), np.minimum(u, v)), 1))
             long = np.zeros(len(gram), bool)
             third = np.flatnonzero(rank == 2)
             long[third - 1] = long[third - 2] = True
@@ -135,7 +226,7 @@ def _star_product(percent: int):
             if long.any():
                 yield _star_rows(ENTRY, *rows[long].T)
             if sum(map(len, found)) > PAIRS_HELD:
-                found = [_summed(found)]
+                found = [_pairs(found)]
                 if len(found[0]) > PAIRS_HELD // 2:
                     yield _star_rows(PAIR, *found[0].T)
                     found = []
@@ -145,20 +236,21 @@ def _star_product(percent: int):
             head = rows[last]
             second = rows[last + 1] if len(gram) > last + 1 else None
         if found:
-            yield _star_rows(PAIR, *_summed(found).T)
+            yield _star_rows(PAIR, *_pairs(found).T)
 
     return multiply
 
 
-def _summed(found: list[np.ndarray]) -> np.ndarray:
+def _pairs(found: list[np.ndarray]) -> np.ndarray:
+    """Distinct pairs."""
     rows = np.concatenate(found)
-    uv, at = np.unique(rows[:, :2], axis=0, return_inverse=True)
-    return np.column_stack((uv, np.bincount(at.ravel(), rows[:, 2], len(uv)).astype(np.int64)))
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(1)))] if len(rows) else rows
 
 
-def _star_rows(kind: int, a, b, c, d=None) -> pa.RecordBatch:
-    d = np.zeros(len(a), np.int64) if d is None else d
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b)), *(pa.array(x.astype(np.int32)) for x in (c, d))], names=["kind", "a", "b", "c", "d"])
+def _star_rows(kind: int, a, b, c=None, d=None) -> pa.RecordBatch:
+    zero = np.zeros(len(a), np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x, pa.int64()) for x in (a, b)), *(pa.array(zero if x is None else x.astype(np.int32)) for x in (c, d))], names=["kind", "a", "b", "c", "d"])
 
 
 def _rows(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -178,7 +270,7 @@ def _block_product(percent: int):
                 ok &= part[i, None] != part[None]
             x, y = np.nonzero(ok)
             out.append(np.stack((doc[x + a], doc[y]), 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
+        pairs = _pairs(out)
         return _rows(pairs[:, 0], pairs[:, 1])
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,27 +292,20 @@ def _block_product(percent: int):
 
 
 def _sets(n: int):
-    """Each row's set as 5 bytes a shingle."""
+    """Each row's set, 8 bytes a shingle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in T.text_chunks(batches):
-            packed = [np.unique(s & _KEEP_BITS).view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for s in shingle_sets(data, off, n)]
-            yield pa.RecordBatch.from_arrays([T.take_row(rows, "doc_id", np.arange(rows.num_rows)), pa.array(packed, pa.binary())], names=["doc_id", "grams"])
+            yield pa.RecordBatch.from_arrays([T.take_row(rows, "doc_id", np.arange(rows.num_rows)), pa.array([s.tobytes() for s in shingle_sets(data, off, n)], pa.binary())], names=["doc_id", "grams"])
 
     return pack
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view(np.uint64).ravel()
-
-
 def _sets_of(texts: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """(doc_id, grams, n) of the documents in the pairs."""
     ids = checkpoint(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
     packed = sieve(texts, "doc_id", ids).join(ids, "doc_id").mapInArrow(_sets(n), "doc_id long, grams binary")
-    return packed.withColumn("n", (F.octet_length("grams") / 5).cast("int"))
+    return packed.withColumn("n", (F.octet_length("grams") / 8).cast("int"))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -261,7 +346,7 @@ def _verify(percent: int, test):
                 if block != (g, b1, b2):
                     block, sets = (g, b1, b2), {}
                 if grams is not None:
-                    sets.setdefault(u, []).append((_unpack(grams), n))  # rows that share a doc_id are one node
+                    sets.setdefault(u, []).append((np.frombuffer(grams, np.uint64), n))  # rows that share a doc_id are one node
                 elif any(test(*a, *b, percent) for a in sets.get(u, ()) for b in sets.get(v, ())):
                     keep.append((u, v))
             links = np.array(keep, np.int64).reshape(-1, 2)
@@ -291,17 +376,32 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, test) -> DataFrame:
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, component_id) of the documents that are linked with others; docs (doc_id, text, ...)."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    columns = "gram long, doc_id long, size int, pos int"
-    counted = texts.mapInArrow(_prefixes(n, percent), columns).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_FREQUENT)
-    listed = counted.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow().column("gram").to_numpy()  # bounded, and only orders columns
-    frequent = texts.sparkSession.sparkContext.broadcast(np.sort(listed.view(np.uint64)))
-    entered = texts.mapInArrow(_prefixes(n, percent, frequent), columns).repartition("gram")
-    products, discard = stash(entered.sortWithinPartitions("gram", "doc_id").mapInArrow(_star_product(percent), "kind int, a long, b long, c int, d int"))
-    pairs = products.where(F.col("kind") == PAIR).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("c").alias("hits"))
+    order = texts.sparkSession.sparkContext.broadcast(_column_order(texts, n))
+    entered = texts.mapInArrow(_prefixes(n, percent, order), "gram long, doc_id long, size int, pos int").repartition("gram")
+    products, discard = stash(entered.sortWithinPartitions("gram", "pos", "doc_id").mapInArrow(_star_product(percent), "kind int, a long, b long, c int, d int"))
+    pairs = checkpoint(products.where(F.col("kind") == PAIR).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     entries = products.where(F.col("kind") == ENTRY)
-    links = checkpoint(_links(pairs, _sets_of(texts, pairs, n), percent, _whole))
-    comps = components(links)
+    try:
+        links = checkpoint(_links(pairs, _sets_of(texts, pairs, n), percent, _whole))
+        comps = components(links)
+        across = checkpoint(_across(entries, comps, percent).join(pairs, ["u", "v"], "left_anti"))
+    finally:
+        discard()
+    if not across.isEmpty():
+        sets, discard = stash(_sets_of(texts, across, n))
+        try:
+            heads = sets.withColumn("grams", F.expr("substring(grams, 1, 8 * ((n + 3) div 4))"))
+            near = checkpoint(_links(across, heads, percent, _heads))
+            more = checkpoint(_links(near, sets, percent, _whole))
+        finally:
+            discard()
+        if not more.isEmpty():
+            comps = components(links.unionByName(more))
+    return comps.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
 
+def _across(entries: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) across components that share a column and may link by size and position."""
     placed = (
         entries.select(F.col("a").alias("gram"), F.col("b").alias("doc_id"), F.col("c").alias("size"), F.col("d").alias("pos"))
         .join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -310,18 +410,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     open_columns = placed.groupBy("gram").agg(F.count("*").alias("m"), (F.min("component") != F.max("component")).alias("open")).where("open").select("gram", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = placed.join(open_columns, "gram").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = dealt.select("gram", F.least("part", "other").alias("b1"), F.greatest("part", "other").alias("b2"), "doc_id", "size", "pos", "part", "component").repartition("gram", "b1", "b2").sortWithinPartitions("gram", "b1", "b2")
-    across = blocks.mapInArrow(_block_product(percent), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
-    across = checkpoint(across)
-    if not across.isEmpty():
-        sets, discard_sets = stash(_sets_of(texts, across, n))
-        heads = sets.withColumn("grams", F.expr("substring(grams, 1, 5 * ((n + 3) div 4))"))
-        near = checkpoint(_links(across, heads, percent, _heads))
-        more = checkpoint(_links(near, sets, percent, _whole))
-        if not more.isEmpty():
-            comps = components(links.unionByName(more))
-        discard_sets()
-    discard()
-    return comps.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    return blocks.mapInArrow(_block_product(percent), "u long, v long").distinct()
 
 
 def _count_shingles(n: int):
