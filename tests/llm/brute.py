@@ -127,14 +127,27 @@ def ngram_join(rows, n=5, percent=75):
     return [(i, len(s), comp.get(i)) for (i, _), s in zip(rows, sets, strict=True)]
 
 
-def lines(rows, percent=80, n=8):
+def near_pairs(sets, percent):
+    """All pairs over the threshold: two such sets share one of their rarest n - ceil(t * n) + 1 elements."""
+    often = Counter(g for s in sets for g in s)
+    found, at = set(), defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in sorted(s, key=lambda g: (often[g], g))[: len(s) + (-percent * len(s) // 100) + 1]:
+            found.update((j, i) for j in at[g])
+            at[g].append(i)
+    return [(j, i) for j, i in found if 100 * (o := len(sets[i] & sets[j])) >= percent * (len(sets[i]) + len(sets[j]) - o)]
+
+
+def line_sets(distinct, n=5):
+    raw = [x.translate(LOWER).encode() for x in distinct]
+    return [frozenset(b[p : p + n] for p in range(len(b) - n + 1)) if len(b) >= n else frozenset([b]) for b in raw]
+
+
+def lines(rows, percent=80, n=5):
     last = float("inf")
     every = sorted((last if i is None else i, k, x) for i, t in rows if t is not None for k, x in enumerate(t.split("\n")) if WORD.search(x))
     distinct = list(dict.fromkeys(x for _, _, x in every))
-    raw = [x.translate(LOWER).encode() for x in distinct]
-    sets = [frozenset(b[p : p + n] for p in range(len(b) - n + 1)) if len(b) >= n else frozenset([b]) for b in raw]
-    links = [(a, b) for (a, b), o in overlaps(sets).items() if 100 * o >= percent * (len(sets[a]) + len(sets[b]) - o)]
-    comp = union_find(range(len(distinct)), links)
+    comp = union_find(range(len(distinct)), near_pairs(line_sets(distinct, n), percent))
     at = {x: comp[i] for i, x in enumerate(distinct)}
     head = {}
     for i, k, x in every:
