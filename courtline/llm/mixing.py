@@ -2,18 +2,22 @@
 
 Sizes are summed for each source; targets share a budget by weight, no source above `most`
 times its size. A source's repetition rate is its target over its size: every document is
-emitted floor(rate) times, and once more if a hash of its doc_id falls below the fraction.
+emitted floor(rate) times, and once more if a seeded hash of it falls below the fraction. The
+fraction counts words, not documents: the cut lies where the words of the documents below it come
+nearest to what the source still needs, so that long documents don't carry a small source away.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import checkpoint, documents, numbered
 
 #: Sources up to which their table is broadcast, after counting them.
 BROADCAST_SOURCES = 100_000
+#: Bits of a draw that are settled at once, and series of draws that are tried.
+DIGIT, TURNS = 12, 8
 
 
 def word_count(text: Column) -> Column:
@@ -41,22 +45,64 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return table.select("source", "source_size", F.least("cap", F.lit(level) * F.col("w")).alias("target"))
 
 
+def _draw(seed: int, turn: Column, row: Column) -> Column:
+    """A uniform draw of 3 * DIGIT bits for a row's hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), turn.cast("int"), row), 64 - 3 * DIGIT)
+
+
+def _marked(table: DataFrame) -> DataFrame:
+    """table, marked for broadcast if a count proves it small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+
+
+def draw_cuts(keys: DataFrame, needs: DataFrame, seed: int) -> DataFrame:
+    """source, _turn and _cut: of each source, documents whose draw is below _cut hold about `need` words.
+
+    keys (source, size, row), needs (source, need). The sum of sizes below a draw is found digit
+    by digit from sums for each value of a digit, so no source is ordered in one task. Of TURNS
+    series of draws the one whose sum comes nearest is taken, the first of equals.
+    """
+    turns = keys.join(_marked(needs), "source").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1)))).withColumn("draw", _draw(seed, F.col("turn"), F.col("row")))
+    rows = turns.select("source", "turn", "need", "size", "draw")
+    state = None
+    for digit in (2, 1, 0):
+        part = F.shiftright("draw", digit * DIGIT)
+        if state is None:
+            inside = rows.withColumn("below", F.lit(0).cast("long"))
+        else:
+            inside = rows.join(_marked(state), ["source", "turn"]).where(F.shiftright("draw", (digit + 1) * DIGIT) == F.col("prefix"))
+        summed = inside.groupBy("source", "turn", "need", "below", part.alias("prefix")).agg(F.sum("size").alias("size"))
+        order = Window.partitionBy("source", "turn").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**DIGIT rows
+        run = summed.withColumn("above", F.col("below") + F.sum("size").over(order))
+        at = F.when(F.col("above") >= F.col("need"), F.col("prefix"))
+        first = run.withColumn("at", F.coalesce(F.min(at).over(Window.partitionBy("source", "turn")), F.max("prefix").over(Window.partitionBy("source", "turn")))).where("prefix = at")
+        state = checkpoint(first.select("source", "turn", F.col("need").alias("_need"), "prefix", (F.col("above") - F.col("size")).alias("below"), "above"))
+    take_less = F.col("_need") - F.col("below") <= F.col("above") - F.col("_need")
+    found = state.select("source", F.struct(F.when(take_less, F.col("_need") - F.col("below")).otherwise(F.abs(F.col("above") - F.col("_need"))).alias("off"), "turn", F.when(take_less, F.col("prefix")).otherwise(F.col("prefix") + 1).alias("cut")).alias("best"))
+    return found.groupBy("source").agg(F.min("best").alias("best")).select("source", F.col("best.turn").alias("_turn"), F.col("best.cut").alias("_cut"))
+
+
 def mix(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
-    """All rows and columns of docs (doc_id, text, source, ...) with _size, _source_size, _target and _copies.
+    """All rows and columns of docs (doc_id, text, source, ...) with _size, _source_size, _target and _copies (columns of these names are replaced).
 
-    A null text has no words. The draw depends on seed and doc_id alone, so reruns agree.
+    Every document is taken floor(rate) times and once more if its draw is below its source's
+    cut. A null text has no words; a source without words is not taken. The draw depends on seed,
+    doc_id and text alone, so reruns agree and repeated rows are taken alike. An empty table
+    gives no rows.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    targets = checkpoint(source_targets(sized.select("source", F.col("_size").alias("size")), **params)).select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) * F.lit(2.0**-53)
+    sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_row", F.xxhash64("doc_id", "text"))
+    name = F.struct("source").alias("source")  # a struct is never null, so a null source joins like any other
+    keys = checkpoint(sized.select(name, F.col("_size").alias("size"), F.col("_row").alias("row")))
+    targets = checkpoint(source_targets(keys.select("source.source", "size"), **params))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rated = targets.select(name, "source_size", "target", F.floor(rate).cast("int").alias("whole"), ((rate - F.floor(rate)) * F.col("source_size")).alias("need"))
+    cuts = draw_cuts(keys, rated.select("source", "need"), seed)
+    table = checkpoint(rated.join(cuts, "source", "left").select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "whole", "_turn", "_cut"))
+    drawn = _draw(seed, F.col("_turn"), F.col("_row")) < F.col("_cut")
     return (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left")
-        .withColumn("_rate", rate)
-        .withColumn("_copies", (F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int"))
-        .drop("_source", "_rate")
+        sized.join(_marked(table), F.struct("source") == F.col("_source"), "left")
+        .withColumn("_copies", F.when(F.col("_source_size") > 0, F.col("whole") + F.when(drawn, 1).otherwise(0)).otherwise(0).cast("int"))
+        .drop("_source", "_row", "whole", "_turn", "_cut")
     )
 
 

@@ -88,7 +88,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 def select_cutoffs(labelled: DataFrame, limit: float, level: float) -> DataFrame:
     """One row a stratum with an array of cutoffs in the order of CUTOFFS, null where none holds."""
-    good = labelled.where("quality = 1 and not base_failed")
+    good = labelled.where(F.when(F.col("base_failed"), F.lit(False)).otherwise(F.col("quality") == 1))  # one condition: a part of it would be measured anew at the scan
     measures = _measures()
     tries = [(r, i, c) for r, cuts in enumerate(CUTOFFS.items()) for i, c in enumerate(cuts[1])]
     name = list(CUTOFFS)
@@ -111,7 +111,7 @@ def _kept() -> Column:
     rejected = F.lit(False)
     for r, measure in enumerate(_measures().values()):
         rejected = rejected | F.coalesce(measure > F.col(f"cut{r}"), F.lit(False))
-    return ~(F.col("base_failed") | rejected)
+    return F.when(F.col("base_failed"), F.lit(False)).otherwise(~rejected)  # one condition: a part of it would be measured anew at the scan
 
 
 def _stratum() -> Column:
@@ -124,7 +124,8 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, limit: float = 0.005, l
     docs (doc_id, text, lang, ...), labels (doc_id, quality). A null language is a stratum of
     its own; without labels every row that passes the base rules is kept. `limit` bounds the
     false rejections of each rule in each stratum, all bounds holding together with
-    probability 1 - level.
+    probability 1 - level. Repeated rows get one verdict each; rows with a null doc_id meet no
+    label; a document with several labels counts as its best one. Null texts fail the base rules.
     """
     rows = checkpoint(signals(docs, keep=(_stratum(),)))
     judged = rows.join(_cutoffs(rows, labels, limit, level), "stratum", "left")
@@ -133,7 +134,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, limit: float = 0.005, l
 
 def quality_filter(docs: DataFrame, labels: DataFrame, limit: float = 0.005, level: float = 0.05) -> DataFrame:
     """The rows and columns of docs that quality_verdicts keeps; texts are measured in place and not shuffled."""
-    cutoffs = _cutoffs(signals(docs, keep=(_stratum(),)), labels, limit, level)
+    cutoffs = _cutoffs(checkpoint(signals(docs, keep=(_stratum(),))), labels, limit, level)
     rows = signals(docs, keep=(_stratum(), F.struct(*docs.columns).alias("_doc")))
     return rows.join(cutoffs, "stratum", "left").where(_kept()).select("_doc.*")
 

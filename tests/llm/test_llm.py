@@ -141,12 +141,25 @@ def test_mixing(docs, empty):
         assert r._target == pytest.approx(target[r.source]) and r._copies <= 2
         if r._source_size:
             assert r._copies in (int(r._target / r._source_size), int(r._target / r._source_size) + 1)
+        else:
+            assert r._copies == 0
     assert ordered((r.doc_id, r.text, r._copies) for r in mixing.mix(docs.repartition(6)).collect()) == ordered((r.doc_id, r.text, r._copies) for r in out)
     emitted = mixing.emit(docs)
     assert emitted.columns == docs.columns and emitted.count() == sum(r._copies for r in out)
     assert mixing.mix(empty).count() == 0
 
 
+def test_taken_words_are_near_the_target(spark):
+    out = mixing.op5_mixing(spark, "/root/testdata/sf0.01").collect()
+    taken, target = {}, {}
+    for r in out:
+        key = (r.source_size, r.target)
+        taken[key] = taken.get(key, 0) + r.taken
+    assert len(taken) > 5
+    for (_, target), words in taken.items():
+        assert abs(words - target) <= 0.05 * target
+
+
 def test_quality_signals(docs, empty, spark):
     labels = spark.createDataFrame([(3, 1), (6, 0), (None, 1)], "doc_id long, quality int")
     out = quality.quality_verdicts(docs, labels).collect()
