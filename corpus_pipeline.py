@@ -1,7 +1,10 @@
 """A training corpus from `documents`: filter, deduplicate, decontaminate, mix, shard.
 
 Each stage takes (spark, docs, sf_dir) and decides on all that the stage before kept; all but
-the last return the columns of documents.
+the last return the columns of documents, and other columns that docs has. In every stage a null
+text counts as empty, repeated rows are decided alike (the join keeps one row of a group unless
+they share its smallest doc_id), and an empty table gives no rows; a null doc_id is linked with
+nothing and meets no label.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Gives every row of the mix its shard and slot."""
-    return shard_rows(docs, keep=("source", "lang", "n_chars"))
+    return shard_rows(docs, keep=("text", "source", "lang", "n_chars"))
 
 
 STAGES = [
@@ -54,7 +57,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over documents; a stage's table is dropped when the next one's is written."""
+    docs, drop = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs, _ = stash(stage(spark, docs, sf_dir))
+        docs, discard = stash(stage(spark, docs, sf_dir))
+        if drop:
+            drop()
+        drop = discard
     return STAGES[-1][1](spark, docs, sf_dir)
