@@ -48,13 +48,14 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 20_240_601, keep:
     """Deals all rows into shards whose counts differ by one at most.
 
     Row numbers follow doc_id (null first), then checksum and size, so the result does not
-    depend on how the table is stored; rows that are equal in all three are interchangeable.
+    depend on how the table is stored; rows that are equal in all three are told apart by a hash
+    of the columns in `keep`, or else interchangeable. An empty table gives no rows.
     A null text has no bytes. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard
     and the columns in `keep`.
     """
     text = F.coalesce("text", F.lit(""))
     base = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *keep)
-    rows, n = numbered(base, [F.col("doc_id"), F.col("text_crc32"), F.col("size"), *(F.col(c) for c in keep)], "_number")
+    rows, n = numbered(base, [F.col("doc_id"), F.col("text_crc32"), F.col("size"), *([F.xxhash64(*keep)] if keep else [])], "_number")  # texts are no sort keys: samples of these go to the driver
     return rows.withColumn("_place", feistel_place(F.col("_number"), n, seed)).select(
         "doc_id",
         "size",
