@@ -96,7 +96,11 @@ def full_fit_and_score(train: DataFrame, new: DataFrame, features: list[str], ma
 
 
 def binned_margin_curve(rows: DataFrame, margin: str, bins: int = 24, least: int = 8) -> DataFrame:
-    """Mean margin and label of up to `bins` quantile bins with enough rows: a curve for interpolate()."""
-    edges = rows.agg(F.percentile(margin, [i / bins for i in range(1, bins)]).alias("_e"))
+    """Mean margin and label of up to `bins` quantile bins with enough rows: a curve for interpolate().
+
+    Small tables get fewer bins, so that a bin can hold `least` rows.
+    """
+    bins = max(1, min(bins, rows.where(F.col(margin).isNotNull()).count() // (2 * least)))
+    edges = rows.agg(F.percentile(margin, [i / bins for i in range(1, bins)] or [1.0]).alias("_e"))
     placed = rows.crossJoin(F.broadcast(edges)).withColumn("Bin", F.size(F.filter("_e", lambda e: e < F.col(margin))))
     return placed.groupBy("Bin").agg(F.avg(margin).alias("Margin"), F.avg("Label").alias("Rate"), F.count("*").alias("n")).where(F.col("n") >= least)

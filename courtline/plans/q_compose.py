@@ -36,11 +36,11 @@ def odds_prepare(spark, sf_dir):
     return rounded(C.odds_prepare(view(spark, sf_dir, "quotes"), ODDS, "SnapshotTime"))
 
 
-MH = ", mq AS (SELECT Season, least(T1, T2) AS T1, greatest(T1, T2) AS T2, CASE WHEN T1 > T2 THEN 1 - q ELSE q END AS MarketProb FROM (SELECT *, (1 / Team1DecimalOdds) / (1 / Team1DecimalOdds + 1 / Team2DecimalOdds) AS q FROM quotes WHERE Part % 5 = 0) t), ok AS (SELECT Season, T1, T2, avg(MarketProb) AS p, count(*) AS n FROM mq WHERE MarketProb > 0 AND MarketProb < 1 GROUP BY 1, 2, 3), real AS (SELECT DISTINCT Season, T1, T2 FROM lab)"
+MH = ", mq AS (SELECT Season, least(T1, T2) AS T1, greatest(T1, T2) AS T2, CASE WHEN T1 > T2 THEN 1 - q ELSE q END AS MarketProb FROM (SELECT *, (1 / Team1DecimalOdds) / (1 / Team1DecimalOdds + 1 / Team2DecimalOdds) AS q FROM quotes) t), ok AS (SELECT Season, T1, T2, avg(MarketProb) AS p, count(*) AS n FROM mq WHERE MarketProb > 0 AND MarketProb < 1 GROUP BY 1, 2, 3), real AS (SELECT DISTINCT Season, T1, T2 FROM lab)"
 
 
 def history(spark, sf_dir):
-    rows = view(spark, sf_dir, "quotes").where("Part % 5 = 0")
+    rows = view(spark, sf_dir, "quotes")
     a, b = (X.decimal_to_prob(c) for c in ODDS)
     rows = M.canonicalize_pairs(rows.select(*M.PAIR, F.try_divide(a, a + b).alias("MarketProb")), complement=("MarketProb",))
     return C.market_history(rows, view(spark, sf_dir, "lab"))

@@ -98,10 +98,10 @@ def _scratch(spark, name: str) -> str:
     return f"{IO.checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("scan_csv", with_views("regular", "SELECT Season, DayNum, WTeamID, LTeamID, WScore, LScore, CAST(NULL AS VARCHAR) AS Missing FROM regular WHERE Season < 1998"))
+@query("scan_csv", with_views("regular", "SELECT Season, DayNum, WTeamID, LTeamID, WScore, LScore, CAST(NULL AS VARCHAR) AS Missing FROM regular"))
 def scan_csv(spark, sf_dir):
     path = _scratch(spark, "csv")
-    view(spark, sf_dir, "regular").where("Season < 1998").select("Season", "DayNum", "WTeamID", "LTeamID", "WScore", "LScore").write.csv(path, header=True)
+    view(spark, sf_dir, "regular").select("Season", "DayNum", "WTeamID", "LTeamID", "WScore", "LScore").write.csv(path, header=True)
     return IO.scan_csv(spark, path, "Season int, DayNum int, WTeamID bigint, LTeamID bigint, WScore double, LScore double").withColumn("Missing", F.lit(None).cast("string"))
 
 

@@ -190,10 +190,10 @@ def pairs(spark, sf_dir):
     return rows.select(X.pair_id(F.col("Season"), F.col("T1"), F.col("T2")).alias("ID"), "Season", "T1", "T2", X.sigmoid(gap / 8).alias("Pred"))
 
 
-@query("candidate_diff", with_views("tourney wins", PAIRS + " SELECT ID, round(Pred, 6) AS PredA, round(0.5 + (Pred - 0.5) * 0.9, 6) AS PredB, round(0.5 + (Pred - 0.5) * 0.9 - Pred, 6) AS Diff, round(abs(0.5 + (Pred - 0.5) * 0.9 - Pred), 6) AS AbsDiff FROM pairs WHERE T1 % 2 = 0"))
+@query("candidate_diff", with_views("tourney wins", PAIRS + " SELECT ID, round(Pred, 6) AS PredA, round(0.5 + (Pred - 0.5) * 0.9, 6) AS PredB, round(0.5 + (Pred - 0.5) * 0.9 - Pred, 6) AS Diff, round(abs(0.5 + (Pred - 0.5) * 0.9 - Pred), 6) AS AbsDiff FROM pairs"))
 def candidate_diff(spark, sf_dir):
     a = pairs(spark, sf_dir)
-    b = a.where("T1 % 2 = 0").select("ID", ((F.col("Pred") - 0.5) * 0.9 + 0.5).alias("Pred"))
+    b = a.select("ID", ((F.col("Pred") - 0.5) * 0.9 + 0.5).alias("Pred"))
     return rounded(L.candidate_diff(a, b))
 
 
