@@ -341,13 +341,13 @@ def _verify(percent: int, test):
         block, sets = None, {}
         for batch in batches:
             keep = []
-            names = ("g", "b1", "b2", "u", "v", "n", "grams")
-            for g, b1, b2, u, v, n, grams in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names), strict=True):
-                if block != (g, b1, b2):
-                    block, sets = (g, b1, b2), {}
+            names = ("g", "b", "u", "v", "n", "grams")
+            for g, b, u, v, n, grams in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in names), strict=True):
+                if block != (g, b):
+                    block, sets = (g, b), {}
                 if grams is not None:
                     sets.setdefault(u, []).append((np.frombuffer(grams, np.uint64), n))  # rows that share a doc_id are one node
-                elif any(test(*a, *b, percent) for a in sets.get(u, ()) for b in sets.get(v, ())):
+                elif any(test(*x, *y, percent) for x in sets.get(u, ()) for y in sets.get(v, ())):
                     keep.append((u, v))
             links = np.array(keep, np.int64).reshape(-1, 2)
             yield _rows(links[:, 0], links[:, 1])
@@ -358,19 +358,15 @@ def _verify(percent: int, test):
 def _links(pairs: DataFrame, sets: DataFrame, percent: int, test) -> DataFrame:
     """The pairs (u, v) whose sets (doc_id, n, grams) pass the test.
 
-    Candidate pairs are put together by the component of the candidate graph, large components
-    in pairs of blocks of about BLOCK documents, so a set travels once for each block, not
-    once for each pair.
+    Pairs are put together by v, those of a v with many pairs in blocks of about BLOCK, so v's
+    set travels once for each block, not once for each pair.
     """
-    groups = components(pairs)
-    parts = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    placed = pairs.select("u", "v").join(groups, F.col("u") == F.col("node")).join(parts, "component")
-    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
-    keyed = checkpoint(placed.select(F.col("component").alias("g"), F.least(part("u"), part("v")).alias("b1"), F.greatest(part("u"), part("v")).alias("b2"), "u", "v"))
-    wanted = keyed.select("g", "b1", "b2", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    rows = wanted.join(sets, "doc_id").select("g", "b1", "b2", F.lit(0).alias("kind"), F.col("doc_id").alias("u"), F.col("doc_id").alias("v"), "n", "grams")
+    parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    keyed = checkpoint(pairs.join(parts, "v").select(F.col("v").alias("g"), F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("b"), "u", "v"))
+    wanted = keyed.select("g", "b", F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    rows = wanted.join(sets, "doc_id").select("g", "b", F.lit(0).alias("kind"), F.col("doc_id").alias("u"), F.col("doc_id").alias("v"), "n", "grams")
     rows = rows.unionByName(keyed.withColumns({"kind": F.lit(1), "n": F.lit(0), "grams": F.lit(None).cast("binary")}))
-    return rows.repartition("g", "b1", "b2").sortWithinPartitions("g", "b1", "b2", "kind").mapInArrow(_verify(percent, test), "u long, v long")
+    return rows.repartition("g", "b").sortWithinPartitions("g", "b", "kind").mapInArrow(_verify(percent, test), "u long, v long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
