@@ -177,3 +177,23 @@ def bracket_reach(slots: DataFrame, seeds: DataFrame, win: DataFrame, by: list[s
     for d in done[1:]:
         out = out.unionByName(d)
     return out.withColumnRenamed("Node", "Slot")
+
+
+def bracket_resolve(slots: DataFrame, seeds: DataFrame, win: DataFrame, by: list[str], rounds: int = 6) -> DataFrame:
+    """The winner of every slot: the stronger side if its probability is 0.5 or more, or unknown; a side without team lets the other through.
+
+    win: by..., TeamID, OppID, p for ordered pairs.
+    """
+    teams = seeds.select(*by, F.col("Seed").alias("Node"), "Seed", "TeamID")
+    level = slots.withColumn("_round", F.regexp_extract("Slot", r"^R(\d)", 1).cast("int"))
+    done = None
+    for r in range(1, rounds + 1):
+        here = F.broadcast(level.where(F.col("_round") == r).select("Slot", "StrongSeed", "WeakSeed"))  # a bracket has 67 slots at most
+        strong = here.join(teams.select(*by, F.col("Node").alias("StrongSeed"), F.col("Seed").alias("_s"), "TeamID"), "StrongSeed").select(*by, "Slot", "_s", "TeamID")
+        weak = here.join(teams.select(*by, F.col("Node").alias("WeakSeed"), F.col("Seed").alias("_w"), F.col("TeamID").alias("OppID")), "WeakSeed").select(*by, "Slot", "_w", "OppID")
+        met = strong.join(weak, [*by, "Slot"], "full").join(win, [*by, "TeamID", "OppID"], "left")
+        first = F.col("TeamID").isNotNull() & (F.col("OppID").isNull() | (F.coalesce("p", F.lit(0.5)) >= 0.5))
+        won = checkpoint(met.select(*by, "Slot", F.when(first, F.col("_s")).otherwise(F.col("_w")).alias("Seed"), F.when(first, F.col("TeamID")).otherwise(F.col("OppID")).alias("TeamID")))
+        teams = won.withColumnRenamed("Slot", "Node")
+        done = won.withColumn("Round", F.lit(r)) if done is None else done.unionByName(won.withColumn("Round", F.lit(r)))
+    return done
