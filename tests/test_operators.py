@@ -186,3 +186,48 @@ def test_missing_csv_is_an_empty_table(spark):
     from courtline.sources import files
 
     assert files.scan_csv(spark, "/tmp/no/such/file.csv", "a int, b string").count() == 0
+
+
+def _forward_rows(spark):
+    rows = [(i, 2000 + i % 4, i % 2, 0.3 + 0.4 * (i % 2), 0.5 + 0.01 * (i % 9), float(i % 7) * (i % 2 * 2 - 1) + i % 3, None if i % 11 == 0 else 0.5) for i in range(240)]
+    frame = spark.createDataFrame(rows, "GameID long, Season int, Label int, good double, dull double, D_x double, MarketProb double")
+    return frame, frame.withColumn("Label", F.when(F.col("Season") == 2003, 1 - F.col("Label")).otherwise(F.col("Label")))
+
+
+@pytest.mark.parametrize("name", ["strategy", "residual", "gated"])
+def test_choices_and_specialists_ignore_the_scored_season(spark, name):
+    from courtline.operators import fusion as FU
+
+    run, column = {
+        "strategy": (lambda df: FU.strategy_oof(df, ["good", "dull"]), "FinalProb"),
+        "residual": (lambda df: FU.market_residual_model(df, ["D_x"], since=2000, coverage=0.5), "Prob_residual"),
+        "gated": (lambda df: FU.gated_expert_blend(df, "dull", ["D_x"], F.col("D_x") > -4, least_rows=20), "Prob_gated"),
+    }[name]
+    frame, changed = _forward_rows(spark)
+    score = lambda df: sorted((r.GameID, r[column] is not None and round(r[column], 9)) for r in run(df).collect())
+    first = score(frame)
+    assert first == score(changed) and len(first) == 180  # all but the first season
+
+
+def test_strategy_prefers_the_better_column(spark):
+    from courtline.operators import fusion as FU
+
+    frame, _ = _forward_rows(spark)
+    assert {r.Strategy for r in FU.strategy_oof(frame, ["good", "dull"]).select("Strategy").distinct().collect()} == {"good"}
+    row = FU.strict_holdout(frame, ["good", "dull"], 1).first()
+    assert row.Strategy == "good" and row.OptimismGap == pytest.approx(row.HoldoutBrier - row.TuneBrier)
+
+
+def test_bracket_resolve_lets_single_sides_through(spark):
+    slots = spark.createDataFrame([("R1W1", "W01", "W04"), ("R1W2", "W02", "W03"), ("R2W1", "R1W1", "R1W2")], "Slot string, StrongSeed string, WeakSeed string")
+    seeds = spark.createDataFrame([(1, "W01", 11), (1, "W02", 12), (1, "W03", 13)], "g int, Seed string, TeamID long")
+    win = spark.createDataFrame([(1, 12, 13, 0.4), (1, 11, 13, 0.5)], "g int, TeamID long, OppID long, p double")
+    got = {r.Slot: (r.Seed, r.TeamID, r.Round) for r in R.bracket_resolve(slots, seeds, win, ["g"], 2).collect()}
+    assert got == {"R1W1": ("W01", 11, 1), "R1W2": ("W03", 13, 1), "R2W1": ("W01", 11, 2)}  # no fourth seed; half a chance is the stronger side's
+
+
+def test_market_residual_without_active_seasons(spark):
+    from courtline.operators import fusion as FU
+
+    out = FU.market_residual_model(_forward_rows(spark)[0], ["D_x"])
+    assert out.count() == 0 and "Prob_residual" in out.columns
