@@ -24,13 +24,15 @@ def calibration_bins(df: DataFrame, columns: list[str], bins: int = 10) -> DataF
 
 
 def calibration_slices(df: DataFrame, raw: str, final: str) -> DataFrame:
-    """Scores by seed gap, favourite's probability and conference: one pass over exploded slice names."""
+    """Scores by seed gap, favourite's probability and, if SameConference is there, conference: one pass over exploded slice names."""
     gap, fav = F.col("AbsSeedDiff"), F.greatest(F.col(final), F.lit(1.0) - F.col(final))
-    slices = F.array(
+    slices = [
         F.struct(F.lit("AbsSeedDiff").alias("SliceType"), F.when(gap <= 1, "seed_0_1").when(gap <= 4, "seed_2_4").when(gap <= 8, "seed_5_8").when(gap > 8, "seed_9_plus").otherwise("nan").alias("SliceValue")),
         F.struct(F.lit("FavoriteProb").alias("SliceType"), F.when(fav <= 0.6, "fav_50_60").when(fav <= 0.7, "fav_60_70").when(fav <= 0.8, "fav_70_80").otherwise("fav_80_100").alias("SliceValue")),
-    )
-    rows = df.select("Label", F.col(raw).alias("_raw"), F.col(final).alias("_final"), F.inline(slices))
+    ]
+    if "SameConference" in df.columns:
+        slices.append(F.struct(F.lit("Conference").alias("SliceType"), F.when(F.col("SameConference") == 1, "same_conf").otherwise("cross_conf").alias("SliceValue")))
+    rows = df.select("Label", F.col(raw).alias("_raw"), F.col(final).alias("_final"), F.inline(F.array(*slices)))
     return rows.groupBy("SliceType", "SliceValue").agg(F.count("*").alias("Count"), F.avg(squared_loss("_raw")).alias("RawBrier"), F.avg(squared_loss("_final")).alias("FinalBrier"), F.avg("Label").alias("FinalActualRate"), F.avg("_final").alias("FinalPredMean"))
 
 

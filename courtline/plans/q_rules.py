@@ -134,9 +134,13 @@ def calibration_bins(spark, sf_dir):
 FAV = "greatest(FinalProb, 1 - FinalProb)"
 
 
-@query("calibration_slices", S(f"SliceType, SliceValue, count(*) AS Count, round(avg((RawProb - Label) ** 2), 6) AS RawBrier, round(avg((FinalProb - Label) ** 2), 6) AS FinalBrier, round(avg(Label), 6) AS FinalActualRate, round(avg(FinalProb), 6) AS FinalPredMean FROM (SELECT *, 'AbsSeedDiff' AS SliceType, CASE WHEN AbsSeedDiff <= 1 THEN 'seed_0_1' WHEN AbsSeedDiff <= 4 THEN 'seed_2_4' WHEN AbsSeedDiff <= 8 THEN 'seed_5_8' WHEN AbsSeedDiff > 8 THEN 'seed_9_plus' ELSE 'nan' END AS SliceValue FROM fin UNION ALL SELECT *, 'FavoriteProb', CASE WHEN {FAV} <= 0.6 THEN 'fav_50_60' WHEN {FAV} <= 0.7 THEN 'fav_60_70' WHEN {FAV} <= 0.8 THEN 'fav_70_80' ELSE 'fav_80_100' END FROM fin) t GROUP BY 1, 2", FIN))
+@query("calibration_slices", with_views("scored conferences", f"{FIN} SELECT SliceType, SliceValue, count(*) AS Count, round(avg((RawProb - Label) ** 2), 6) AS RawBrier, round(avg((FinalProb - Label) ** 2), 6) AS FinalBrier, round(avg(Label), 6) AS FinalActualRate, round(avg(FinalProb), 6) AS FinalPredMean FROM (SELECT *, 'AbsSeedDiff' AS SliceType, CASE WHEN AbsSeedDiff <= 1 THEN 'seed_0_1' WHEN AbsSeedDiff <= 4 THEN 'seed_2_4' WHEN AbsSeedDiff <= 8 THEN 'seed_5_8' WHEN AbsSeedDiff > 8 THEN 'seed_9_plus' ELSE 'nan' END AS SliceValue FROM fin UNION ALL SELECT *, 'FavoriteProb', CASE WHEN {FAV} <= 0.6 THEN 'fav_50_60' WHEN {FAV} <= 0.7 THEN 'fav_60_70' WHEN {FAV} <= 0.8 THEN 'fav_70_80' ELSE 'fav_80_100' END FROM fin UNION ALL SELECT fin.*, 'Conference', CASE WHEN x.ConfAbbrev = y.ConfAbbrev THEN 'same_conf' ELSE 'cross_conf' END FROM fin LEFT JOIN conferences x ON x.Season = fin.Season AND x.TeamID = T1 LEFT JOIN conferences y ON y.Season = fin.Season AND y.TeamID = T2) t GROUP BY 1, 2"))
 def calibration_slices(spark, sf_dir):
-    return rounded(E.calibration_slices(final_rows(spark, sf_dir), "RawProb", "FinalProb"))
+    rows, conf = final_rows(spark, sf_dir), view(spark, sf_dir, "conferences")
+    for side in ("T1", "T2"):
+        rows = rows.join(conf.withColumnsRenamed({"TeamID": side, "ConfAbbrev": f"_{side}"}), ["Season", side], "left")
+    same = rows.withColumn("SameConference", F.coalesce((F.col("_T1") == F.col("_T2")).cast("int"), F.lit(0)))
+    return rounded(E.calibration_slices(same, "RawProb", "FinalProb"))
 
 
 @query("strategy_grid", S("Strategy, Shrinkage, round(Brier, 6) AS Brier, CASE WHEN row_number() OVER (ORDER BY round(Brier, 9), Strategy, Shrinkage) = 1 THEN 1 ELSE 0 END AS Best FROM (SELECT Strategy, Shrinkage, avg(b) AS Brier FROM (SELECT n.Strategy, CAST(k.s AS DOUBLE) AS Shrinkage, Season, avg(((CASE n.Strategy WHEN 'RawProb' THEN RawProb ELSE FinalProb END - 0.5) * (1 - k.s) + 0.5 - Label) ** 2) AS b FROM fin CROSS JOIN (VALUES ('RawProb'), ('FinalProb')) n(Strategy) CROSS JOIN (VALUES (0.0::DOUBLE), (0.03::DOUBLE), (0.06::DOUBLE), (0.1::DOUBLE)) k(s) GROUP BY 1, 2, 3) t GROUP BY 1, 2) u", FIN))
