@@ -62,9 +62,9 @@ WEIGHTS = [i / 10 for i in range(11)]
 TRIED = " UNION ALL ".join(f"SELECT Season, Label, CAST({w} AS DOUBLE) AS Weight, CASE WHEN a THEN {clip(f'(1 - {w}) * RawProb + {w} * ModelMatchupProb')} ELSE RawProb END AS p, a FROM act" for w in WEIGHTS)
 
 
-@query("residual_overlay_search", with_views("live", f", act AS (SELECT *, MarketProb IS NOT NULL AND ModelMatchupProb IS NOT NULL AS a FROM live WHERE Season > (SELECT max(Season) - 5 FROM live)), tried AS ({TRIED}), s AS (SELECT Weight, Season, avg((p - Label) ** 2) AS b, sum(CASE WHEN a THEN 1 ELSE 0 END) AS n FROM tried GROUP BY 1, 2), w AS (SELECT Weight, CASE WHEN sum(n) >= 10 THEN avg(b) END AS Brier, CAST(sum(n) AS BIGINT) AS ActiveRows FROM s GROUP BY 1) SELECT Weight, round(Brier, 6) AS Brier, ActiveRows, CASE WHEN Brier IS NOT NULL AND row_number() OVER (ORDER BY round(Brier, 9) NULLS LAST, Weight) = 1 THEN 1 ELSE 0 END AS Best FROM w"))
+@query("residual_overlay_search", with_views("live", f", act AS (SELECT *, MarketProb IS NOT NULL AND ModelMatchupProb IS NOT NULL AS a FROM live WHERE Season > (SELECT max(Season) - 5 FROM live)), tried AS ({TRIED}), s AS (SELECT Weight, Season, avg((p - Label) ** 2) AS b, sum(CASE WHEN a THEN 1 ELSE 0 END) AS n FROM tried GROUP BY 1, 2), w AS (SELECT Weight, CASE WHEN sum(n) >= 60 THEN avg(b) END AS Brier, CAST(sum(n) AS BIGINT) AS ActiveRows FROM s GROUP BY 1) SELECT Weight, round(Brier, 6) AS Brier, ActiveRows, CASE WHEN Brier IS NOT NULL AND row_number() OVER (ORDER BY round(Brier, 9) NULLS LAST, Weight) = 1 THEN 1 ELSE 0 END AS Best FROM w"))
 def residual_overlay_search(spark, sf_dir):
-    return rounded(U.residual_overlay_search(live(spark, sf_dir), "RawProb", "ModelMatchupProb", WEIGHTS, least_rows=10), "Weight")
+    return rounded(U.residual_overlay_search(live(spark, sf_dir), "RawProb", "ModelMatchupProb", WEIGHTS), "Weight")
 
 
 def _priced(spark, sf_dir):
@@ -73,14 +73,14 @@ def _priced(spark, sf_dir):
 
 @query("market_residual_model")
 def market_residual_model(spark, sf_dir):
-    out = U.market_residual_model(_priced(spark, sf_dir), FEATURES, since=1992, coverage=0.1, least_rows=10)
+    out = U.market_residual_model(_priced(spark, sf_dir), FEATURES, since=1992)
     return rounded(out.select("GameID", "Season", "MarketProb", "Prob_residual"))
 
 
 @query("gated_expert_blend")
 def gated_expert_blend(spark, sf_dir):
     rows = matchups(spark, sf_dir).withColumn("BaseProb", X.clip_prob(X.margin_to_prob("D_AvgMargin")))
-    out = U.gated_expert_blend(rows, "BaseProb", FEATURES, F.abs(F.col("BaseProb") - 0.5) <= 0.3, least_rows=10)
+    out = U.gated_expert_blend(rows, "BaseProb", FEATURES, F.abs(F.col("BaseProb") - 0.5) <= 0.3)
     return rounded(out.select("GameID", "Season", "Gated", "BaseProb", "Prob_gated"))
 
 
