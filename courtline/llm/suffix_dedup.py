@@ -10,6 +10,8 @@ passes; suffixes that stay equal to the end are the repeated windows.
   a whole settles all its suffixes.
 * Segments left over in a bucket are ordered on by digits of 40 bytes, most significant
   first, dropping suffixes that stand alone after each pass (`_radix_groups`).
+* A bucket of more rows than a task takes is not held by one task: its suffixes are dealt out
+  by the rest of the window as one digit and grouped by Spark (`_deal_out`).
 
 Rows that share a doc_id are told apart by their text. A null text counts as empty.
 """
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textcore as T
@@ -29,7 +31,7 @@ from .store import checkpoint, documents
 
 GRAM = 24
 DIGIT = 40
-#: Segments that a task orders at once; one bucket's segments stay together.
+#: Segments that a task orders at once; a bucket of no more rows stays together, larger ones are dealt out.
 TASK_SEGMENTS = 20_000
 
 
@@ -54,8 +56,8 @@ def _contents(width: int):
             for i, parts in enumerate(batch.column("parts").to_pylist()):
                 raw = data[off[i] : off[i + 1]].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p["bucket"] for p in parts], pa.int64()), pa.array([p["seg"] for p in parts], pa.int64()), pa.array([p["copies"] for p in parts], pa.int64()), pa.array([raw[p["start"] : p["start"] + p["n"] + width - 1] for p in parts], pa.binary())],
-                    names=["bucket", "seg", "copies", "content"],
+                    [pa.array([p["bucket"] for p in parts], pa.int64()), pa.array([p["seg"] for p in parts], pa.int64()), pa.array([p["copies"] for p in parts], pa.int64()), pa.array([p["hot"] for p in parts], pa.bool_()), pa.array([raw[p["start"] : p["start"] + p["n"] + width - 1] for p in parts], pa.binary())],
+                    names=["bucket", "seg", "copies", "hot", "content"],
                 )
 
     return contents
@@ -81,17 +83,23 @@ def _radix_groups(bucket: np.ndarray, sums: np.ndarray, start: np.ndarray, width
     return repeated
 
 
+def _suffixes(content: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of the joined segments; the segment, the place in it and the start of every suffix."""
+    data, off = np.frombuffer(b"".join(content), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in content])))
+    sums = T.prefix_sums(data.astype(np.uint64) + np.uint64(1))
+    n = np.diff(off) - width + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    return sums, owner, inner, off[owner] + inner
+
+
 def _refine(width: int):
     """Orders the suffixes of segments that share a bucket; rows come sorted by bucket."""
 
     def solve(part: pa.Table) -> pa.RecordBatch:
-        data, off = np.frombuffer(b"".join(part.column("content").to_pylist()), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in part.column("content").to_pylist()])))
-        sums = T.prefix_sums(data.astype(np.uint64) + np.uint64(1))
-        n = np.diff(off) - width + 1
-        owner = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        sums, owner, inner, start = _suffixes(part.column("content").to_pylist(), width)
         bucket = part.column("bucket").to_numpy()
-        repeated = _radix_groups(bucket[owner], sums, off[owner] + inner, width) & (part.column("copies").to_numpy() == 1)[owner]
+        repeated = _radix_groups(bucket[owner], sums, start, width) & (part.column("copies").to_numpy() == 1)[owner]
         edge = np.flatnonzero(repeated & ~np.concatenate(([False], repeated[:-1] & (owner[1:] == owner[:-1]))))
         stop = np.flatnonzero(repeated & ~np.concatenate((repeated[1:] & (owner[1:] == owner[:-1]), [False]))) + 1
         spans: dict[int, list] = {}
@@ -118,6 +126,34 @@ def _refine(width: int):
     return refine
 
 
+def _windows(width: int):
+    """Every suffix of the segments with the digit that is the rest of its window."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                sums, owner, inner, start = _suffixes(part.column("content").to_pylist(), width)
+                bucket, seg, copies = (part.column(c).to_numpy()[owner] for c in ("bucket", "seg", "copies"))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(seg), pa.array(copies), pa.array(inner.astype(np.int32)), pa.array(T.span_hash(sums, start, start + width).view(np.int64))], names=["bucket", "seg", "copies", "at", "digit"])
+
+    return windows
+
+
+def _deal_out(spread: DataFrame, width: int) -> DataFrame:
+    """(bucket, seg, spans) of the segments whose bucket is too large for a task.
+
+    Digits that occur twice are counted before the shuffle and written, so that adaptive
+    execution can split a frequent one when the suffixes meet them.
+    """
+    rows = spread.mapInArrow(_windows(width), "bucket long, seg long, copies long, at int, digit long")
+    again = checkpoint(rows.groupBy("bucket", "digit").agg(F.count("*").alias("rows")).where("rows > 1").select("bucket", "digit"))
+    place = F.row_number().over(Window.partitionBy("bucket", "seg").orderBy("at"))
+    runs = rows.where("copies = 1").join(again, ["bucket", "digit"]).withColumn("run", F.col("at") - place)
+    spans = runs.groupBy("bucket", "seg", "run").agg(F.min("at").alias("at"), (F.count("*") + width - 1).cast("int").alias("len"))
+    return spans.groupBy("bucket", "seg").agg(F.collect_list(F.struct("at", "len")).alias("spans"))
+
+
 _SPANS = pa.list_(pa.struct([("at", pa.int32()), ("len", pa.int32())]))
 
 
@@ -136,7 +172,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
+def suffix_dedup(docs: DataFrame, width: int = 200, task_segments: int = TASK_SEGMENTS) -> DataFrame:
     """Removes every byte covered by a `width`-byte string that also starts anywhere else.
 
     Takes (doc_id, text, ...), returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and
@@ -144,12 +180,18 @@ def suffix_dedup(docs: DataFrame, width: int = 200) -> DataFrame:
     """
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     segs = texts.select("rid", "text").mapInArrow(_scan(width), "rid long, start int, n int, bucket long, seg long")
-    shared = segs.groupBy("bucket").agg(F.count("*").alias("rows"), (F.min("seg") != F.max("seg")).alias("mixed")).where("rows > 1").select("bucket", "mixed")
+    counted = segs.groupBy("bucket").agg(F.count("*").alias("rows"), (F.min("seg") != F.max("seg")).alias("mixed")).where("rows > 1")
+    shared = checkpoint(counted.select("bucket", "mixed", (F.col("mixed") & (F.col("rows") > task_segments)).alias("hot")))
     live = checkpoint(segs.join(shared, "bucket"))
-    kinds = live.where("mixed").groupBy("bucket", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("first"))
-    parts = kinds.select(F.col("first.rid").alias("rid"), F.struct("bucket", "seg", "copies", F.col("first.start").alias("start"), F.col("first.n").alias("n")).alias("p")).groupBy("rid").agg(F.collect_list("p").alias("parts"))
-    spread = texts.join(parts, "rid").select("doc_id", "text", "parts").mapInArrow(_contents(width), "bucket long, seg long, copies long, content binary")
-    partial = spread.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(width), "bucket long, seg long, spans array<struct<at:int,len:int>>")
+    kinds = live.where("mixed").groupBy("bucket", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("first"), F.first("hot").alias("hot"))
+    parts = kinds.select(F.col("first.rid").alias("rid"), F.struct("bucket", "seg", "copies", "hot", F.col("first.start").alias("start"), F.col("first.n").alias("n")).alias("p")).groupBy("rid").agg(F.collect_list("p").alias("parts"))
+    spread = texts.join(parts, "rid").select("doc_id", "text", "parts").mapInArrow(_contents(width), "bucket long, seg long, copies long, hot boolean, content binary")
+    some_hot = not shared.where("hot").isEmpty()
+    if some_hot:
+        spread = checkpoint(spread)
+    partial = spread.where("not hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(width), "bucket long, seg long, spans array<struct<at:int,len:int>>")
+    if some_hot:
+        partial = partial.unionByName(_deal_out(spread.where("hot"), width))
     twice = kinds.where("copies > 1").select("bucket", "seg", F.lit(None).cast("array<struct<at:int,len:int>>").alias("spans"))
     whole = F.array(F.struct(F.col("start").alias("start"), (F.col("n") + width - 1).alias("len")))
     shifted = F.transform("spans", lambda s: F.struct((F.col("start") + s["at"]).alias("start"), s["len"].alias("len")))

@@ -98,7 +98,7 @@ def test_winnowing_broadcast_bound(spark, docs, monkeypatch):
     assert ordered(out) == ordered(brute.winnowing(ROWS, items))
 
 
-@pytest.mark.parametrize("shard", [1, 10_000])
+@pytest.mark.parametrize("shard", [1, 7, 10_000])
 def test_phrases(docs, empty, shard, monkeypatch):
     monkeypatch.setattr(phrase_automata, "SHARD_SEGMENTS", shard)
     out = phrase_automata.phrase_dedup(docs, width=20).drop("kept").collect()
@@ -112,6 +112,12 @@ def test_suffixes(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 5])
+def test_suffixes_of_large_buckets_are_dealt_out(docs, most):
+    out = suffix_dedup.suffix_dedup(docs, width=60, task_segments=most).drop("kept").collect()
+    assert ordered(out) == ordered(brute.suffixes(ROWS, 60))
+
+
 def test_feistel(docs, empty):
     out = feistel_shards.shard_rows(docs, shards=7).collect()
     sizes = {}
