@@ -10,8 +10,9 @@ passes; suffixes that stay equal to the end are the repeated windows.
   a whole settles all its suffixes.
 * Segments left over in a bucket are ordered on by digits of 40 bytes, most significant
   first, dropping suffixes that stand alone after each pass (`_radix_groups`).
-* A bucket of more rows than a task takes is not held by one task: its suffixes are dealt out
-  by the rest of the window as one digit and grouped by Spark (`_deal_out`).
+* If a bucket has more distinct segments than a task takes, the buckets with so many rows are
+  not held by one task each: their suffixes are dealt out by the rest of the window as one
+  digit and grouped by Spark (`_deal_out`).
 
 Rows that share a doc_id are told apart by their text. A null text counts as empty.
 """
@@ -31,7 +32,7 @@ from .store import checkpoint, documents
 
 GRAM = 24
 DIGIT = 40
-#: Segments that a task orders at once; a bucket of no more rows stays together, larger ones are dealt out.
+#: Segments that a task orders at once; a bucket of no more distinct segments stays together, larger ones are dealt out.
 TASK_SEGMENTS = 20_000
 
 
@@ -186,10 +187,12 @@ def suffix_dedup(docs: DataFrame, width: int = 200, task_segments: int = TASK_SE
     kinds = live.where("mixed").groupBy("bucket", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "start", "n")).alias("first"), F.first("hot").alias("hot"))
     parts = kinds.select(F.col("first.rid").alias("rid"), F.struct("bucket", "seg", "copies", "hot", F.col("first.start").alias("start"), F.col("first.n").alias("n")).alias("p")).groupBy("rid").agg(F.collect_list("p").alias("parts"))
     spread = texts.join(parts, "rid").select("doc_id", "text", "parts").mapInArrow(_contents(width), "bucket long, seg long, copies long, hot boolean, content binary")
-    some_hot = not shared.where("hot").isEmpty()
+    # many rows may be copies of few segments, which a task takes easily
+    distinct = live.where("hot").select("bucket", "seg").distinct().groupBy("bucket").agg(F.count("*").alias("segments"))
+    some_hot = not distinct.where(F.col("segments") > task_segments).isEmpty()
     if some_hot:
         spread = checkpoint(spread)
-    partial = spread.where("not hot").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(width), "bucket long, seg long, spans array<struct<at:int,len:int>>")
+    partial = (spread.where("not hot") if some_hot else spread).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refine(width), "bucket long, seg long, spans array<struct<at:int,len:int>>")
     if some_hot:
         partial = partial.unionByName(_deal_out(spread.where("hot"), width))
     twice = kinds.where("copies > 1").select("bucket", "seg", F.lit(None).cast("array<struct<at:int,len:int>>").alias("spans"))
