@@ -32,8 +32,10 @@ from .store import checkpoint, documents
 
 GRAM = 24
 DIGIT = 40
-#: Segments that a task orders at once; a bucket of no more distinct segments stays together, larger ones are dealt out.
+#: A bucket of no more distinct segments stays together in a task, larger ones are dealt out.
 TASK_SEGMENTS = 20_000
+#: Segments of several buckets that are collected before they are ordered.
+HELD_SEGMENTS = 5_000
 
 
 def _scan(width: int):
@@ -113,7 +115,7 @@ def _refine(width: int):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < TASK_SEGMENTS:
+            if sum(b.num_rows for b in held) < HELD_SEGMENTS:
                 continue
             table = pa.Table.from_batches(held)
             bucket = table.column("bucket").to_numpy()
