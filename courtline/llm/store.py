@@ -10,36 +10,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only a local session without that setting gets one of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="courtline-checkpoint-")
-        sc.setCheckpointDir(folder)
+            path = tempfile.mkdtemp(prefix="courtline-checkpoint-")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint."""
-    _checkpoint_folder(df.sparkSession)
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
 def stash(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     """Writes df as Parquet into the checkpoint folder; returns the table and what deletes it."""
     spark = df.sparkSession
-    path = f"{_checkpoint_folder(spark)}/stash-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return spark.read.parquet(path), lambda: remove(spark, path)
 
-    def discard() -> None:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    return spark.read.parquet(path), discard
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def sieve(df: DataFrame, key: str, wanted: DataFrame, bits: int = 24) -> DataFrame:
