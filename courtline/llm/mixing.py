@@ -82,6 +82,21 @@ def draw_cuts(keys: DataFrame, needs: DataFrame, seed: int) -> DataFrame:
     return found.groupBy("source").agg(F.min("best").alias("best")).select("source", F.col("best.turn").alias("_turn"), F.col("best.cut").alias("_cut"))
 
 
+def _mixed(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
+    """(_doc, _size, _source_size, _target, _copies): the rows packed, so that no column of theirs can clash."""
+    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc"))
+    sized = packed.select("_doc", F.struct("source").alias("_name"), word_count(F.col("text")).alias("_size"), F.xxhash64("doc_id", "text").alias("_row"))  # a struct is never null, so a null source joins like any other
+    keys = checkpoint(sized.select(F.col("_name").alias("source"), F.col("_size").alias("size"), F.col("_row").alias("row")))
+    targets = checkpoint(source_targets(keys.select("source.source", "size"), **params))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rated = targets.select(F.struct("source").alias("source"), "source_size", "target", F.floor(rate).cast("int").alias("whole"), ((rate - F.floor(rate)) * F.col("source_size")).alias("need"))
+    cuts = draw_cuts(keys, rated.select("source", "need"), seed)
+    table = checkpoint(rated.join(cuts, "source", "left").select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "whole", "_turn", "_cut"))
+    drawn = _draw(seed, F.col("_turn"), F.col("_row")) < F.col("_cut")
+    copies = F.when(F.col("_source_size") > 0, F.col("whole") + F.when(drawn, 1).otherwise(0)).otherwise(0).cast("int")
+    return sized.join(_marked(table), F.col("_name") == F.col("_source"), "left").select("_doc", "_size", "_source_size", "_target", copies.alias("_copies"))
+
+
 def mix(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
     """All rows and columns of docs (doc_id, text, source, ...) with _size, _source_size, _target and _copies (columns of these names are replaced).
 
@@ -90,26 +105,13 @@ def mix(docs: DataFrame, seed: int = 17, **params) -> DataFrame:
     doc_id and text alone, so reruns agree and repeated rows are taken alike. An empty table
     gives no rows.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_row", F.xxhash64("doc_id", "text"))
-    name = F.struct("source").alias("source")  # a struct is never null, so a null source joins like any other
-    keys = checkpoint(sized.select(name, F.col("_size").alias("size"), F.col("_row").alias("row")))
-    targets = checkpoint(source_targets(keys.select("source.source", "size"), **params))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rated = targets.select(name, "source_size", "target", F.floor(rate).cast("int").alias("whole"), ((rate - F.floor(rate)) * F.col("source_size")).alias("need"))
-    cuts = draw_cuts(keys, rated.select("source", "need"), seed)
-    table = checkpoint(rated.join(cuts, "source", "left").select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), "whole", "_turn", "_cut"))
-    drawn = _draw(seed, F.col("_turn"), F.col("_row")) < F.col("_cut")
-    return (
-        sized.join(_marked(table), F.struct("source") == F.col("_source"), "left")
-        .withColumn("_copies", F.when(F.col("_source_size") > 0, F.col("whole") + F.when(drawn, 1).otherwise(0)).otherwise(0).cast("int"))
-        .drop("_source", "_row", "whole", "_turn", "_cut")
-    )
+    new = ("_size", "_source_size", "_target", "_copies")
+    return _mixed(docs, seed, **params).select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
 def emit(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: every row of docs as many times as it is taken."""
-    packed = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_doc"))
-    mixed = mix(packed, **params).where("_copies > 0")
+    mixed = _mixed(docs, **params).where("_copies > 0")
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
