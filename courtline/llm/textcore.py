@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are worked on at once (a longer document is worked on alone).
 CHUNK_BYTES = 2 << 20
@@ -20,6 +21,9 @@ _C1, _C2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _powers: list[np.ndarray] = []
+#: Blocks of 8 bytes that are hashed for all words at once; longer words are rare.
+BLOCKS = 4
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -74,7 +78,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_sums(units: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums modulo 2**64; span_hash takes the hash of any span from them."""
+    """Polynomial prefix sums modulo 2**64; span_hash takes the hash of any span from them.
+
+    For spans of up to 512 units: from 1,024 on two spans can be built that cancel out.
+    """
     out = np.zeros(len(units) + 1, np.uint64)
     np.cumsum(units * powers(len(units))[0], out=out[1:])
     return out
@@ -117,7 +124,25 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(prefix_sums(data.astype(np.uint64) + np.uint64(1)), starts, ends)
+    """64-bit hash of each word: blocks of 8 bytes mixed one after another, words beyond BLOCKS of these by xxh3.
+
+    Not a polynomial of the bytes: modulo 2**64 some long words would cancel out. Words of one length
+    up to 8 bytes never share a hash.
+    """
+    sizes = ends - starts
+    out = mix((sizes.astype(np.uint64) + np.uint64(1)) * _BASE)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    for block in range(BLOCKS):
+        at = np.flatnonzero(sizes > 8 * block) if block else np.flatnonzero(sizes > 0)
+        if not len(at):
+            break
+        left = np.minimum(sizes[at] - 8 * block, 8)
+        bytes_ = np.ascontiguousarray(padded[(starts[at] + 8 * block)[:, None] + np.arange(8)]).view("<u8")[:, 0]
+        out[at] = mix(out[at] ^ (bytes_ & _FIRST[left]))
+    raw = data.tobytes() if (sizes > 8 * BLOCKS).any() else b""
+    for i in np.flatnonzero(sizes > 8 * BLOCKS):
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return out
 
 
 def segments(units: np.ndarray, off: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
