@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,11 +66,29 @@ def host_pod_match(seed_a: Column, seed_b: Column) -> Column:
     return F.when(F.substring(seed_a, 1, 1) == F.substring(seed_b, 1, 1), out)
 
 
-def route_group_features(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
-    """Mean, deviation and count of each group of probability columns; disagreement and range of all of them."""
-    every = [c for cols in groups.values() for c in cols]
-    cols = {f"{g}_{k}": f(*c) for g, c in groups.items() for k, f in (("mean", X.row_mean), ("std", X.row_std), ("count", X.row_count))}
-    return df.withColumns(cols | {"disagreement": X.row_std(*every), "range": X.row_max(*every) - X.row_min(*every), "confidence": F.abs(X.row_mean(*every) - 0.5) * 2})
+def average(columns: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a + b, map(F.col, columns)) / len(columns)
+
+
+def spread(columns: Sequence[str]) -> Column:
+    """Sample deviation of columns without nulls; 0 for one column."""
+    if len(columns) < 2:
+        return F.lit(0.0)
+    return F.sqrt(reduce(lambda a, b: a + b, (F.pow(F.col(c) - average(columns), 2) for c in columns)) / (len(columns) - 1))
+
+
+def fill_routes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A missing route takes the row's mean over the others, 0.5 if there is none; <column>_avail tells which were there."""
+    mean = F.coalesce(X.row_mean(*columns), F.lit(0.5))
+    return df.withColumns({f"{c}_avail": F.col(c).isNotNull().cast("int") for c in columns} | {c: F.coalesce(F.col(c), mean) for c in columns})
+
+
+def route_group_features(filled: DataFrame, groups: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
+    """Mean, sample deviation and number of available routes of each group of filled routes; 0.5, 0 and 0 for an empty group."""
+    add: dict[str, Column] = {}
+    for g, cols in groups.items():
+        add |= {f"{g}_mean": average(cols) if cols else F.lit(0.5), f"{g}_std": spread(cols), f"{g}_count": reduce(lambda a, b: a + b, (F.col(f"{c}_avail") for c in cols), F.lit(0))}
+    return filled.withColumns(add), list(add)
 
 
 def simple_candidates(df: DataFrame, blends: dict[str, dict[str, float]], label: str = "Label") -> DataFrame:

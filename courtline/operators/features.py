@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -242,20 +243,22 @@ def external_composite(tables: list[DataFrame], negative: tuple[str, ...] = ("ra
     return out.withColumn("ExtCompositeStrength", F.try_divide(total, count))
 
 
-def recent_vectors(docs: DataFrame, dim: int, short: int = 3, long: int = 5) -> DataFrame:
-    """Per team: documents, mean vector of the last `short` and `long`, and a mean weighted 1 to 2 towards the latest.
+def recent_vectors(docs: DataFrame, short: int = 3, long: int = 5) -> DataFrame:
+    """Per team: documents, those in the window, mean vector of the last `short` and `long`, and a mean weighted 1 to 2 towards the latest.
 
-    docs: Season, TeamID, vec_id (the order), vector (array of `dim` doubles). Vectors are pooled
-    dimension by dimension and put together in order.
+    docs: Season, TeamID, vec_id (the order), vector (doubles; its length is the data's, shorter ones
+    count as zeros at the end). Only the last `long` vectors of a team are put together; null vectors are left out.
     """
     w = Window.partitionBy(*KEY).orderBy(F.desc("vec_id"))
-    ranked = docs.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*KEY))).where(F.col("_rn") <= long)
+    known = docs.where("vector is not null").select(*KEY, "vec_id", "vector")
+    ranked = known.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(*KEY))).where(F.col("_rn") <= long)
     size = F.least("_n", F.lit(long))
     weight = F.when(size > 1, F.lit(2.0) - (F.col("_rn") - 1) / (size - 1)).otherwise(1.0)
-    mean = lambda i, cond: F.avg(F.when(cond, F.get("vector", F.lit(i))))
-    return ranked.withColumn("_w", weight).groupBy(*KEY).agg(
-        F.max("_n").alias("DocCount"),
-        F.array(*(mean(i, F.col("_rn") <= short) for i in range(dim))).alias(f"Mean{short}"),
-        F.array(*(mean(i, F.lit(True)) for i in range(dim))).alias(f"Mean{long}"),
-        F.array(*(F.sum(F.get("vector", F.lit(i)) * F.col("_w")) / F.sum("_w") for i in range(dim))).alias(f"Weighted{long}"),
-    )
+    rows = ranked.groupBy(*KEY).agg(F.max("_n").alias("DocCount"), F.count("*").alias("WindowDocCount"), F.array_sort(F.collect_list(F.struct("_rn", weight.alias("w"), "vector"))).alias("_v"))
+
+    def mean(some: Column, use: Callable[[Column], Column]) -> Column:
+        total = F.aggregate(some, F.array().cast("array<double>"), lambda a, x: F.zip_with(a, x["vector"], lambda s, v: F.coalesce(s, F.lit(0.0)) + F.coalesce(v, F.lit(0.0)) * use(x)))
+        return F.transform(total, lambda s: s / F.aggregate(some, F.lit(0.0), lambda a, x: a + use(x)))
+
+    one = lambda _: F.lit(1.0)
+    return rows.select(*KEY, "DocCount", "WindowDocCount", mean(F.slice("_v", 1, short), one).alias(f"Mean{short}"), mean(F.col("_v"), one).alias(f"Mean{long}"), mean(F.col("_v"), lambda x: x["w"]).alias(f"Weighted{long}"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import relational as R
@@ -66,11 +66,25 @@ def signal_merge(df: DataFrame, signals: DataFrame) -> DataFrame:
     return out.select("*", *((zero(f"T1_{c}") - zero(f"T2_{c}")).alias(f"D_{c}") for c in names))
 
 
-def vector_matchup(df: DataFrame, vectors: DataFrame, column: str) -> DataFrame:
-    """Difference, absolute difference and mean of both teams' vectors; the component's name stays in the columns'."""
-    out = R.join_twice_prefixed(df, vectors.select("Season", "TeamID", column))
-    a, b = F.col(f"T1_{column}"), F.col(f"T2_{column}")
-    return out.withColumns({f"D_{column}": F.zip_with(a, b, lambda x, y: x - y), f"AbsD_{column}": F.zip_with(a, b, lambda x, y: F.abs(x - y)), f"Mean_{column}": F.zip_with(a, b, lambda x, y: (x + y) / 2)}).drop(f"T1_{column}", f"T2_{column}")
+def text_matchup_features(df: DataFrame, pooled: DataFrame, components: list[str]) -> tuple[DataFrame, list[str]]:
+    """Differences, absolute differences and means of both teams' vectors, and how many documents they rest on.
+
+    pooled: Season, TeamID, the vector columns `components`, and DocCount and WindowDocCount if there are any. A team without vectors
+    counts as zeros, as long as the longest vector of its component. Returns the rows and the new columns.
+    """
+    counts = [c for c in ("DocCount", "WindowDocCount") if c in pooled.columns]
+    lengths = pooled.agg(*(F.coalesce(F.max(F.size(c)), F.lit(0)).alias(f"_{c}") for c in components))  # one row
+    out = R.join_twice_prefixed(df, pooled.select("Season", "TeamID", *components, *counts)).crossJoin(F.broadcast(lengths))
+    new: dict[str, Column] = {}
+    for c in components:
+        a, b = (F.coalesce(F.col(f"{t}_{c}"), F.array_repeat(F.lit(0.0), F.col(f"_{c}"))) for t in ("T1", "T2"))
+        zero = lambda x: F.coalesce(x, F.lit(0.0))
+        new |= {f"D_{c}": F.zip_with(a, b, lambda x, y: zero(x) - zero(y)), f"AbsD_{c}": F.zip_with(a, b, lambda x, y: F.abs(zero(x) - zero(y))), f"Mean_{c}": F.zip_with(a, b, lambda x, y: (zero(x) + zero(y)) / 2)}
+    side = lambda c: [F.coalesce(F.col(f"{t}_{c}"), F.lit(0)) for t in ("T1", "T2")]
+    for c in counts:
+        a, b = side(c)
+        new |= {f"D_{c}": a - b} | ({f"{c}Total": a + b, f"{c}Min": F.least(a, b)} if c == "DocCount" else {})
+    return out.withColumns(new).drop(*(f"_{c}" for c in components), *(f"{t}_{c}" for t in ("T1", "T2") for c in [*components, *counts])), list(new)
 
 
 def field_profile(pairs: DataFrame, features: DataFrame, floor: float = 0.1) -> DataFrame:
@@ -82,12 +96,35 @@ def field_profile(pairs: DataFrame, features: DataFrame, floor: float = 0.1) ->
     return long.groupBy("Season", "Feature").agg(F.avg("d").alias("FieldMean"), F.when(sd.isNotNull(), F.greatest(sd, F.lit(floor))).alias("FieldStd"))
 
 
-def field_kernel_weights(rows: DataFrame, profile: DataFrame, names: list[str], strength: float = 1.0, clip: float = 6.0) -> DataFrame:
-    """Weight 1 + s * exp(-mean(z^2) / 2) of every training row, scaled to mean 1; profile: one row of <name>_m and <name>_s."""
-    wide = rows.crossJoin(F.broadcast(profile))  # one row
-    z = [F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.col(f"D_{c}") - F.col(f"{c}_m")) / F.col(f"{c}_s"))) for c in names]
-    square = reduce(add, (F.coalesce(x * x, F.lit(0.0)) for x in z))
-    count = reduce(add, (x.isNotNull().cast("int") for x in z))
-    raw = wide.withColumn("_w", F.exp(F.coalesce(F.try_divide(square, count), F.lit(0.0)) * -0.5) * strength + 1)
-    mean = raw.agg(F.avg("_w").alias("_mean"))
-    return raw.crossJoin(F.broadcast(mean)).withColumn("Weight", F.col("_w") / F.col("_mean")).drop("_w", "_mean", *(f"{c}_{k}" for c in names for k in "ms"))
+def kernel_profile(pairs: DataFrame, features: DataFrame, least: int = 12) -> DataFrame:
+    """Per season and feature: mean of the absolute differences over all pairs of the field, and a scale for them.
+
+    The scale is the deviation, a tenth of the mean or 0.15, whichever is largest; features with fewer than `least` pairs are left out.
+    """
+    names = [c for c in features.columns if c not in ("Season", "TeamID")]
+    rows = matchup_diffs(R.join_twice_prefixed(pairs, features), names)
+    long = rows.select("Season", F.inline(F.array(*(F.struct(F.lit(c).alias("Feature"), F.abs(F.col(f"D_{c}")).alias("d")) for c in names))))
+    wide = long.groupBy("Season", "Feature").agg(F.count("d").alias("_n"), F.avg("d").alias("Mean"), F.stddev_samp("d").alias("_sd")).where(F.col("_n") >= least)
+    return wide.select("Season", "Feature", "Mean", F.greatest("_sd", F.abs("Mean") * 0.10, F.lit(0.15)).alias("Scale"))
+
+
+def field_kernel_weights(rows: DataFrame, profile: DataFrame, names: list[str], strength: float = 1.0, clip: float = 6.0, least_rows: int = 50, least_features: int = 4) -> DataFrame:
+    """Weights of every season's earlier rows by how much they resemble the pairs of its field.
+
+    rows: Season and D_<name>. profile: Season, Feature, Mean, Scale (kernel_profile). Each row comes once for each later season of
+    the profile, with TargetSeason and Weight: 1 + strength * exp(-mean(z^2) / 2) over the features that at
+    least `least_rows` earlier rows have, scaled to mean 1. A missing value counts as the field's mean; with fewer
+    than `least_features` features every weight is 1.
+    """
+    pick = lambda c, v: F.max(F.when(F.col("Feature") == c, F.col(v)))
+    wide = profile.groupBy(F.col("Season").alias("TargetSeason")).agg(*(pick(c, v).alias(f"_{v[0]}{i}") for i, c in enumerate(names) for v in ("Mean", "Scale")))
+    tried = rows.join(F.broadcast(wide), F.col("Season") < F.col("TargetSeason"))  # a row for each season
+    z = {f"_z{i}": F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.abs(F.col(f"D_{c}")) - F.col(f"_M{i}")) / F.greatest(F.col(f"_S{i}"), F.lit(0.15)))) for i, c in enumerate(names)}
+    tried = tried.withColumns(z)
+    usable = tried.groupBy("TargetSeason").agg(*((F.count(k) >= least_rows).alias(f"_u{k[2:]}") for k in z))
+    marked = tried.join(F.broadcast(usable), "TargetSeason")  # a row for each season
+    square = reduce(add, (F.when(F.col(f"_u{k[2:]}"), F.coalesce(F.col(k) * F.col(k), F.lit(0.0))).otherwise(0.0) for k in z))
+    used = reduce(add, (F.col(f"_u{k[2:]}").cast("int") for k in z))
+    raw = marked.withColumn("_w", F.when(used >= least_features, F.exp(square / used * -0.5) * strength + 1).otherwise(1.0))
+    mean = raw.groupBy("TargetSeason").agg(F.avg("_w").alias("_mean"))
+    return raw.join(F.broadcast(mean), "TargetSeason").select(*rows.columns, "TargetSeason", (F.col("_w") / F.col("_mean")).alias("Weight"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml import Pipeline
@@ -61,11 +62,58 @@ def season_forward_oof(matchups: DataFrame, features: list[str], models: dict[st
     return out
 
 
-def calibrate(oof: DataFrame, column: str, method: str, min_prior: int = 1) -> DataFrame:
-    """Season-forward Platt or isotonic calibration of a probability column."""
+@dataclass(frozen=True)
+class Route:
+    """A model with rows of its own: which are eligible, and what it takes to be switched on.
+
+    A route is on in a season if at least `coverage` of the season's rows are eligible and `least_rows`
+    eligible rows lie before it.
+    """
+
+    name: str
+    make: Callable[[list[str]], Pipeline]
+    features: tuple[str, ...]
+    eligible: Column | None = None
+    coverage: float = 0.0
+    least_rows: int = 0
+
+
+def season_routes_oof(matchups: DataFrame, routes: list[Route], min_prior: int = 3) -> DataFrame:
+    """Season-forward Prob_<route> for every row of the later seasons, null where the route is off or the row not eligible.
+
+    One pass counts eligible rows by season, so no fold is counted by itself. Missing features are 0; a route whose
+    eligible rows all have one label is off.
+    """
+    names = sorted({f for r in routes for f in r.features})
+    eligible = {f"_e{i}": F.coalesce(r.eligible if r.eligible is not None else F.lit(True), F.lit(False)) for i, r in enumerate(routes)}
+    rows = checkpoint(matchups.withColumns(eligible).fillna(0.0, names))
+    counts = rows.groupBy("Season").agg(F.count("*").alias("n"), *(F.sum(F.col(e).cast("long")).alias(e) for e in eligible), *(F.sum((F.col(e) & (F.col("Label") == 1)).cast("long")).alias(f"{e}l") for e in eligible))
+    per = {r["Season"]: r for r in counts.collect()}  # a row for each season
+    seasons, parts = sorted(per), []
+    for s in seasons[min_prior:]:
+        test = rows.where(F.col("Season") == s)
+        for i, r in enumerate(routes):
+            e = f"_e{i}"
+            before, ones = (sum(per[q][c] or 0 for q in seasons if q < s) for c in (e, f"{e}l"))
+            on = per[s][e] >= max(1, r.coverage * per[s]["n"]) and before >= max(1, r.least_rows) and 0 < ones < before
+            if not on:
+                test = test.withColumn(f"Prob_{r.name}", F.lit(None).cast("double"))
+                continue
+            keep = test.columns
+            scored = r.make(list(r.features)).fit(rows.where((F.col("Season") < s) & F.col(e))).transform(test)
+            test = scored.select(*keep, F.when(F.col(e), X.clip_prob(probability(scored))).alias(f"Prob_{r.name}"))
+        parts.append(test.select(*KEY, "Label", *(f"Prob_{r.name}" for r in routes)))
+    return reduce(DataFrame.unionByName, parts, rows.limit(0).select(*KEY, "Label", *(F.lit(None).cast("double").alias(f"Prob_{r.name}") for r in routes)))
+
+
+def calibrate(oof: DataFrame, column: str, method: str, min_prior: int = 1, least_rows: int = 300) -> DataFrame:
+    """Season-forward Platt or isotonic calibration of a probability column; with fewer earlier rows it stays as it is."""
     rows = checkpoint(oof.select(*KEY, "Label", F.col(column).alias("_p"), X.logit(column).alias("_logit")))
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
+        train = train.where("_p is not null")
+        if train.count() < least_rows:
+            return test.select(*KEY, "Label", "_p", X.clip_prob("_p").alias("Calibrated"))
         if method == "platt":
             assembler = VectorAssembler(inputCols=["_logit"], outputCol="_x")
             scored = Pipeline(stages=[assembler, LogisticRegression(featuresCol="_x", labelCol="Label", maxIter=50)]).fit(train).transform(test)
@@ -78,9 +126,10 @@ def calibrate(oof: DataFrame, column: str, method: str, min_prior: int = 1) -> D
 
 
 def stack_meta(oof: DataFrame, columns: list[str], min_prior: int = 1) -> DataFrame:
-    """Season-forward logistic regression on logits and the row's mean, deviation and range of all models."""
-    inputs = {f"_l{i}": X.logit(F.coalesce(F.col(c), F.lit(0.5))) for i, c in enumerate(columns)} | {"_mean": X.row_mean(*columns), "_std": X.row_std(*columns), "_range": X.row_max(*columns) - X.row_min(*columns)}
-    rows = checkpoint(oof.withColumns(inputs).fillna(0.0, list(inputs)))
+    """Season-forward logistic regression on logits and the row's mean, deviation and range of all models; a missing model takes the row's mean."""
+    inputs = {f"_l{i}": X.logit(f"_f{i}") for i in range(len(columns))} | {"_mean": X.row_mean(*columns), "_std": X.row_std(*(f"_f{i}" for i in range(len(columns)))), "_range": X.row_max(*columns) - X.row_min(*columns)}
+    filled = oof.withColumns({f"_f{i}": F.coalesce(F.col(c), X.row_mean(*columns), F.lit(0.5)) for i, c in enumerate(columns)})
+    rows = checkpoint(filled.withColumns(inputs).fillna({"_mean": 0.5, "_range": 0.0}))
 
     def run(train: DataFrame, test: DataFrame) -> DataFrame:
         scored = linear(list(inputs)).fit(train).transform(test)

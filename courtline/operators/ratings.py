@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,41 +60,79 @@ def elo_ratings(games: DataFrame, **params) -> DataFrame:
     return out.select("League", "Season", "TeamID", "Elo", "EloPeak", (F.col("EloPeak") - F.col("Elo")).alias("EloPeakDrop"), (F.col("_late") - F.col("_early")).alias("EloTrend"))
 
 
-def elo_by_period(games: DataFrame, days: int = 7, k: float = 20.0, initial: float = 1500.0, carry: float = 0.75) -> DataFrame:
-    """Ratings where all games of a period read the ratings at its start, and changes are summed by team.
+SETS = "Set string, k double, initial double, carry double"
+
+
+def elo_sweep(games: DataFrame, sets: DataFrame, days: int = 7, every: int = 4) -> DataFrame:
+    """Ratings by period under many parameter sets at once: (Set, League, Season, TeamID, Elo) at each season's end.
 
-    Equals elo_ratings if no team plays twice in a period. One step a period for all leagues
-    and teams: two joins and a sum; a season's last ratings go to the result.
+    sets: a row of Set, k, initial and carry for each; the set is one more key of the state, so all sets, leagues and
+    teams take a period in one step. All games of a period read the ratings at its start, and changes
+    are summed by team. A step is a join of teams with their games, one grouping by game and one by team; it
+    reads the state once, so lineage grows by a line and is cut every few steps.
     """
-    periods = games.select("League", "Season", F.floor(F.col("DayNum") / days).cast("int").alias("_p"), "WTeamID", "LTeamID", F.ln(F.abs(F.col("WScore") - F.col("LScore")) + 1).alias("_g"))
-    steps = sorted((r["Season"], r["_p"]) for r in periods.select("Season", "_p").distinct().collect())  # at most 366 / days a season
-    every = checkpoint(periods.select("League", F.explode(F.array("WTeamID", "LTeamID")).alias("TeamID")).distinct())
-    state = every.withColumn("Elo", F.lit(initial))
+    growth = F.ln(F.abs(F.col("WScore") - F.col("LScore")) + 1)
+    played = games.select("League", "Season", F.floor(F.col("DayNum") / days).cast("int").alias("_p"), F.xxhash64("GameID", "WTeamID", "LTeamID", "DayNum").alias("_game"), growth.alias("_g"), "WTeamID", "LTeamID")
+    sides = checkpoint(played.select("League", "Season", "_p", "_game", "_g", stacked(("TeamID", "_won"), (F.col("WTeamID"), F.lit(True)), (F.col("LTeamID"), F.lit(False)))))
+    teams = checkpoint(sides.groupBy("League", "Season", "_p", "TeamID").agg(F.collect_list(F.struct("_game", "_g", "_won")).alias("_games")))  # a team's games of one period
+    steps = sorted((r["Season"], r["_p"]) for r in teams.select("Season", "_p").distinct().collect())  # at most 366 / days a season
+    last = {s: p for s, p in steps}
+    state = checkpoint(teams.select("League", "TeamID").distinct().crossJoin(F.broadcast(sets)).withColumn("Elo", F.col("initial")))  # a row for each parameter set
+    key = ["Set", "k", "initial", "carry", "League"]
     finals, season = [], None
-    gap = F.col("w") - F.col("l")
-    gain = F.col("_g") * 2.2 * k / (F.abs(gap) * 0.001 + 2.2) * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), -gap / 400)))
-    for s, p in steps:
-        if season is not None and s != season:
-            state = state.withColumn("Elo", (F.col("Elo") - initial) * carry + initial)
+    rating = lambda won: F.max(F.when(F.col("_side._won") == won, F.col("Elo")))
+    team = lambda won: F.max(F.when(F.col("_side._won") == won, F.col("TeamID")))
+    gap = F.col("_w") - F.col("_l")
+    gain = F.col("_g") * 2.2 * F.col("k") / (F.abs(gap) * 0.001 + 2.2) * (F.lit(1.0) - F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), -gap / 400)))
+    for i, (s, p) in enumerate(steps):
+        start = F.col("Elo") if season in (None, s) else (F.col("Elo") - F.col("initial")) * F.col("carry") + F.col("initial")
         season = s
-        now = periods.where((F.col("Season") == s) & (F.col("_p") == p))
-        met = now.join(state.select("League", F.col("TeamID").alias("WTeamID"), F.col("Elo").alias("w")), ["League", "WTeamID"]).join(state.select("League", F.col("TeamID").alias("LTeamID"), F.col("Elo").alias("l")), ["League", "LTeamID"])
-        delta = met.select("League", stacked(("TeamID", "d"), (F.col("WTeamID"), gain), (F.col("LTeamID"), -gain))).groupBy("League", "TeamID").agg(F.sum("d").alias("d"))
-        state = checkpoint(state.join(delta, ["League", "TeamID"], "left").select("League", "TeamID", (F.col("Elo") + F.coalesce("d", F.lit(0.0))).alias("Elo")))
-        if (s, p) == max(x for x in steps if x[0] == s):
-            finals.append(state.withColumn("Season", F.lit(s)))
-    out = finals[0]
-    for f in finals[1:]:
-        out = out.unionByName(f)
-    played = games.select("League", "Season", F.explode(F.array("WTeamID", "LTeamID")).alias("TeamID")).distinct()
-    return out.join(played, ["League", "Season", "TeamID"], "left_semi").select("League", "Season", "TeamID", "Elo")
-
-
-def pagerank_strength(games: DataFrame, damping: float = 0.85, iterations: int = 80, every: int = 5) -> DataFrame:
+        now = teams.where((F.col("Season") == s) & (F.col("_p") == p)).select("League", "TeamID", "_games")
+        own = F.struct(F.lit(None).cast("long").alias("_game"), F.lit(None).cast("double").alias("_g"), F.lit(None).cast("boolean").alias("_won"))
+        spread = state.select(*key, "TeamID", start.alias("Elo")).join(now, ["League", "TeamID"], "left").select(*key, "TeamID", "Elo", F.explode(F.concat(F.array(own), F.coalesce("_games", F.array().cast("array<struct<_game:bigint,_g:double,_won:boolean>>")))).alias("_side"))
+        alone = F.when(F.col("_side._game").isNull(), F.col("TeamID"))  # the row that carries a team's rating on
+        met = spread.groupBy(*key, F.col("_side._game").alias("_game"), alone.alias("_own")).agg(F.max("Elo").alias("Elo"), F.max("_side._g").alias("_g"), rating(True).alias("_w"), rating(False).alias("_l"), team(True).alias("_tw"), team(False).alias("_tl"))
+        parts = F.when(F.col("_own").isNotNull(), F.array(F.struct(F.col("_own").alias("TeamID"), F.col("Elo").alias("d")))).otherwise(F.array(F.struct(F.col("_tw").alias("TeamID"), gain.alias("d")), F.struct(F.col("_tl").alias("TeamID"), (-gain).alias("d"))))
+        state = met.select(*key, F.inline(parts)).groupBy(*key, "TeamID").agg(F.sum("d").alias("Elo"))
+        ends = last[s] == p
+        if ends or i % every == every - 1:
+            state = checkpoint(state)
+        if ends:
+            finals.append(state.select("Set", "League", F.lit(s).alias("Season"), "TeamID", "Elo"))
+    seen = teams.select("League", "Season", "TeamID").distinct()
+    return reduce(DataFrame.unionByName, finals, state.limit(0).select("Set", "League", F.lit(0).alias("Season"), "TeamID", "Elo")).join(seen, ["League", "Season", "TeamID"], "left_semi").select("Set", "League", "Season", "TeamID", "Elo")
+
+
+def elo_by_period(games: DataFrame, days: int = 7, k: float = 20.0, initial: float = 1500.0, carry: float = 0.75) -> DataFrame:
+    """elo_sweep with one parameter set; equals elo_ratings if no team plays twice in a period."""
+    return elo_sweep(games, games.sparkSession.createDataFrame([("only", k, initial, carry)], SETS), days).drop("Set")
+
+
+def elo_param_sweep(games: DataFrame, results: DataFrame, sets: DataFrame, days: int = 7, seasons: int = 7) -> DataFrame:
+    """Brier score of the ratings of every parameter set over the last seasons' results, the best marked in each league.
+
+    results: League, Season, T1, T2, Label. The probability is the rating difference on the rating's own scale; a team
+    without rating has the set's initial one. Ties go to the first name.
+    """
+    elo = elo_sweep(games, sets, days)
+    cut = results.groupBy("League").agg((F.max("Season") - seasons).alias("_cut"))  # a row for each league
+    rows = results.join(F.broadcast(cut), "League").where(F.col("Season") > F.col("_cut")).select("League", "Season", "T1", "T2", "Label")
+    side = lambda t: elo.select("Set", "League", "Season", F.col("TeamID").alias(t), F.col("Elo").alias(f"_{t}"))
+    tried = rows.crossJoin(F.broadcast(sets.select("Set", "initial")))  # a row for each parameter set
+    both = tried.join(side("T1"), ["Set", "League", "Season", "T1"], "left").join(side("T2"), ["Set", "League", "Season", "T2"], "left")
+    gap = F.coalesce("_T1", "initial") - F.coalesce("_T2", "initial")
+    p = F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), -gap / 400))
+    season = both.groupBy("Set", "League", "Season").agg(F.avg(F.pow(p - F.col("Label"), 2)).alias("b"))
+    scores = season.groupBy("Set", "League").agg(F.avg("b").alias("Brier"), F.count("*").alias("Seasons"))
+    first = F.row_number().over(Window.partitionBy("League").orderBy(F.round("Brier", 9), "Set"))  # a row for each parameter set
+    return scores.withColumn("Best", (first == 1).cast("int"))
+
+
+def pagerank_strength(games: DataFrame, damping: float = 0.85, iterations: int = 80, tolerance: float = 1e-12, look: int = 10) -> DataFrame:
     """Weighted PageRank from loser to winner within each season, all seasons in each step.
 
-    A fixed number of steps; teams without losses spread their mass evenly. Lineage is cut
-    every few steps.
+    Runs until no season's ranks change by more than `tolerance` in sum, looked at every few steps, or
+    `iterations` are done. Teams without losses spread their mass evenly. Lineage is cut at every step.
     """
     weight = F.least(F.greatest(F.col("WScore") - F.col("LScore"), F.lit(0.0)), F.lit(30.0)) / 20 + 1
     if "WLoc" in games.columns:
@@ -104,16 +143,18 @@ def pagerank_strength(games: DataFrame, damping: float = 0.85, iterations: int =
     nodes = games.select("Season", F.explode(F.array("WTeamID", "LTeamID")).alias("TeamID")).distinct()
     counted = nodes.join(nodes.groupBy("Season").agg(F.count("*").alias("n")), "Season")
     sinks = counted.join(edges.select("Season", F.col("src").alias("TeamID")).distinct().withColumn("_o", F.lit(1)), ["Season", "TeamID"], "left").select("Season", "TeamID", "n", F.col("_o").isNull().alias("sink"))
-    rank = checkpoint(sinks.withColumn("r", F.lit(1.0) / F.col("n")))
+    rank = checkpoint(sinks.withColumn("r", F.lit(1.0) / F.col("n")).withColumn("off", F.lit(1.0)))
+    by = Window.partitionBy("Season")
     for i in range(iterations):
         inflow = edges.join(rank.select("Season", F.col("TeamID").alias("src"), "r"), ["Season", "src"]).groupBy("Season", F.col("dst").alias("TeamID")).agg(F.sum(F.col("r") * F.col("share")).alias("c"))
-        lost = rank.groupBy("Season").agg(F.sum(F.when(F.col("sink"), F.col("r")).otherwise(0.0)).alias("m"))
-        new = (F.lit(1 - damping) + F.col("m") * damping) / F.col("n") + F.coalesce("c", F.lit(0.0)) * damping
-        rank = rank.join(inflow, ["Season", "TeamID"], "left").join(lost, "Season").select("Season", "TeamID", "n", "sink", new.alias("r"))
-        if i % every == every - 1:
-            rank = checkpoint(rank)
-    w = Window.partitionBy("Season")
-    z = (F.col("r") - F.avg("r").over(w)) / F.greatest(F.stddev_pop("r").over(w), F.lit(1e-12))
+        lost = F.sum(F.when(F.col("sink"), F.col("r")).otherwise(0.0)).over(by)
+        new = (F.lit(1 - damping) + lost * damping) / F.col("n") + F.coalesce("c", F.lit(0.0)) * damping
+        rank = checkpoint(rank.join(inflow, ["Season", "TeamID"], "left").select("Season", "TeamID", "n", "sink", new.alias("r"), F.abs(new - F.col("r")).alias("off")))
+        if i % look == look - 1:
+            most = rank.groupBy("Season").agg(F.sum("off").alias("d")).agg(F.max("d")).first()[0]  # one number
+            if most is None or most <= tolerance:
+                break
+    z = (F.col("r") - F.avg("r").over(by)) / F.greatest(F.stddev_pop("r").over(by), F.lit(1e-12))
     scored = rank.select("Season", "TeamID", F.col("r").alias("PageRank"), z.alias("PageRank_z"))
     sides = games.select("Season", stacked(("TeamID", "OppID"), (F.col("WTeamID"), F.col("LTeamID")), (F.col("LTeamID"), F.col("WTeamID"))))
     sos = sides.join(scored.select("Season", F.col("TeamID").alias("OppID"), "PageRank"), ["Season", "OppID"]).groupBy("Season", "TeamID").agg(F.avg("PageRank").alias("PageRankSOS"))

@@ -57,7 +57,7 @@ VIEWS = {
     "lab": "SELECT GameID, League, Season, DayNum, least(WTeamID, LTeamID) AS T1, greatest(WTeamID, LTeamID) AS T2, CASE WHEN WTeamID < LTeamID THEN 1 ELSE 0 END AS Label, CASE WHEN WTeamID < LTeamID THEN WScore - LScore ELSE LScore - WScore END AS MarginLabel FROM tourney",
     "mk": """
         SELECT Season, least(T1, T2) AS T1, greatest(T1, T2) AS T2, avg(CASE WHEN T1 > T2 THEN 1 - q ELSE q END) AS MarketProb, avg(CASE WHEN T1 > T2 THEN -LastSpread ELSE LastSpread END) AS LastSpread
-        FROM (SELECT *, (1 / Team1DecimalOdds) / (1 / Team1DecimalOdds + 1 / Team2DecimalOdds) AS q FROM quotes WHERE Part % 3 <> 0) t GROUP BY 1, 2, 3""",
+        FROM (SELECT *, CASE WHEN Book NOT LIKE 'R%' THEN (1 / Team1DecimalOdds) / (1 / Team1DecimalOdds + 1 / Team2DecimalOdds) END AS q FROM quotes) t GROUP BY 1, 2, 3""",
     "seednum": "SELECT League, Season, TeamID, CAST(substr(Seed, 2) AS INT) AS SeedNum FROM seeds",
     "scored": """
         SELECT lab.GameID, lab.League, lab.Season, lab.T1, lab.T2, Label, MarginLabel, 1 / (1 + exp(-CAST(coalesce(a.Wins, 0) - coalesce(b.Wins, 0) AS DOUBLE) / 8)) AS RawProb, sa.SeedNum AS T1_SeedNum, sb.SeedNum AS T2_SeedNum, abs(sa.SeedNum - sb.SeedNum) AS AbsSeedDiff, MarketProb, LastSpread

@@ -10,6 +10,7 @@ from ..operators import features as FE
 from ..operators import market as M
 from ..operators import ratings as RT
 from ..operators import relational as R
+from . import q_live  # noqa: F401
 from .inputs import table, view, with_views
 from .q_features import log_of, rounded
 from .q_rules import FINAL, S, final_rows
@@ -96,10 +97,14 @@ def host_pod_match(spark, sf_dir):
     return both.select("League", "Season", "A", "B", C.host_pod_match(F.col("sa"), F.col("sb")).alias("Pod"))
 
 
-@query("route_group_features", S("GameID, round((RawProb + coalesce(MarketProb, 0)) / (1 + (MarketProb IS NOT NULL)::INT), 6) AS all_mean, 1 + (MarketProb IS NOT NULL)::INT AS all_count, round(greatest(RawProb, coalesce(MarketProb, RawProb), FinalProb) - least(RawProb, coalesce(MarketProb, RawProb), FinalProb), 6) AS range FROM fin", FIN))
+FILL = "coalesce((coalesce(RawProb, 0) + coalesce(MarketProb, 0) + coalesce(ModelMatchupProb, 0)) / nullif((RawProb IS NOT NULL)::INT + (MarketProb IS NOT NULL)::INT + (ModelMatchupProb IS NOT NULL)::INT, 0), 0.5)"
+
+
+@query("route_group_features", with_views("live", f", g AS (SELECT *, {FILL} AS mm FROM live), h AS (SELECT *, coalesce(RawProb, mm) AS r, coalesce(MarketProb, mm) AS m, coalesce(ModelMatchupProb, mm) AS d FROM g) SELECT GameID, round((m + d) / 2, 6) AS market_mean, round(sqrt((m - (m + d) / 2) ** 2 + (d - (m + d) / 2) ** 2), 6) AS market_std, (MarketProb IS NOT NULL)::INT + (ModelMatchupProb IS NOT NULL)::INT AS market_count, round(r, 6) AS stats_mean, round(0, 6) AS stats_std, CAST(1 AS INT) AS stats_count, round(0.5, 6) AS text_mean, round(0, 6) AS text_std, CAST(0 AS INT) AS text_count FROM h".replace("round(0, 6)", "CAST(0 AS DOUBLE)").replace("round(0.5, 6)", "CAST(0.5 AS DOUBLE)")))
 def route_group_features(spark, sf_dir):
-    out = C.route_group_features(final_rows(spark, sf_dir), {"all": ["RawProb", "MarketProb"], "final": ["FinalProb"]})
-    return rounded(out.select("GameID", "all_mean", "all_count", "range"))
+    groups = {"market": ["MarketProb", "ModelMatchupProb"], "stats": ["RawProb"], "text": []}
+    out, names = C.route_group_features(C.fill_routes(view(spark, sf_dir, "live"), [c for g in groups.values() for c in g]), groups)
+    return rounded(out.select("GameID", *names), "text_mean", "text_std", "stats_std")
 
 
 @query("simple_candidates", S("Candidate, round(Brier, 6) AS Brier, CASE WHEN row_number() OVER (ORDER BY round(Brier, 9), Candidate) = 1 THEN 1 ELSE 0 END AS Best FROM (SELECT 'raw' AS Candidate, avg((RawProb - Label) ** 2) AS Brier FROM fin UNION ALL SELECT 'half', avg((0.5 * RawProb + 0.5 * coalesce(MarketProb, RawProb) - Label) ** 2) FROM fin) t", FIN))

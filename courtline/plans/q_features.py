@@ -179,15 +179,19 @@ def external_composite(spark, sf_dir):
     return rounded(X.external_composite([power, defense]))
 
 
-DIM = 8
+#: Vectors of documents by team, whole; the SQL takes their length from the data too.
+POOL = """d AS (SELECT vec_id % 10 AS TeamID, CAST(1995 + label % 7 AS INT) AS Season, vec_id, embedding FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY Season, TeamID ORDER BY vec_id DESC) AS rn, count(*) OVER (PARTITION BY Season, TeamID) AS n FROM d),
+w AS (SELECT *, CASE WHEN least(n, 5) > 1 THEN 2.0 - (rn - 1) / (least(n, 5) - 1) ELSE 1.0 END AS w FROM r WHERE rn <= 5), e AS (SELECT Season, TeamID, n, rn, CAST(w AS DOUBLE) AS w, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM w),
+g AS (SELECT Season, TeamID, i, max(n) AS n, count(*) AS k, avg(x) FILTER (WHERE rn <= 3) AS m3, avg(x) AS m5, sum(x * w) / sum(w) AS w5 FROM e GROUP BY 1, 2, 3),
+pool AS (SELECT Season, TeamID, max(n) AS DocCount, max(k) AS WindowDocCount, list(m3 ORDER BY i) AS Mean3, list(m5 ORDER BY i) AS Mean5, list(w5 ORDER BY i) AS Weighted5 FROM g GROUP BY 1, 2)"""
+VECTORS = ("Mean3", "Mean5", "Weighted5")
 
 
-@query("recent_vector_pool", "WITH d AS (SELECT vec_id % 10 AS TeamID, CAST(1995 + label % 7 AS INT) AS Season, vec_id, embedding FROM embeddings), r AS (SELECT *, row_number() OVER (PARTITION BY Season, TeamID ORDER BY vec_id DESC) AS rn, count(*) OVER (PARTITION BY Season, TeamID) AS n FROM d), w AS (SELECT *, CASE WHEN least(n, 5) > 1 THEN 2.0 - (rn - 1) / (least(n, 5) - 1) ELSE 1.0 END AS w FROM r WHERE rn <= 5) SELECT Season, TeamID, max(n) AS DocCount, "
-       + ", ".join(f"[{', '.join(cols)}] AS {name}" for name, cols in (
-           ("Mean3", [f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)) FILTER (WHERE rn <= 3), 6) + 0" for i in range(DIM)]),
-           ("Mean5", [f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 6) + 0" for i in range(DIM)]),
-           ("Weighted5", [f"round(sum(CAST(embedding[{i + 1}] AS DOUBLE) * w) / sum(w), 6) + 0" for i in range(DIM)]))) + " FROM w GROUP BY 1, 2")
+def pooled(spark, sf_dir):
+    docs = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("TeamID"), (F.col("label") % 7 + 1995).cast("int").alias("Season"), "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    return X.recent_vectors(docs)
+
+
+@query("recent_vector_pool", f"WITH {POOL} SELECT Season, TeamID, DocCount, WindowDocCount, {', '.join(f'list_transform({v}, lambda x: round(x, 6)) AS {v}' for v in VECTORS)} FROM pool")
 def recent_vector_pool(spark, sf_dir):
-    docs = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("TeamID"), (F.col("label") % 7 + 1995).alias("Season"), "vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-    out = X.recent_vectors(docs, DIM)
-    return out.select(*KEY, "DocCount", *(F.transform(c, lambda x: r6(x)).alias(c) for c in ("Mean3", "Mean5", "Weighted5")))
+    return pooled(spark, sf_dir).select(*KEY, "DocCount", "WindowDocCount", *(F.transform(c, lambda x: r6(x)).alias(c) for c in VECTORS))

@@ -11,7 +11,7 @@ from ..operators import matchup as U
 from ..operators import relational as R
 from .inputs import table, view, with_views
 from .q_expressions import BIAS
-from .q_features import rounded
+from .q_features import POOL, VECTORS, pooled, rounded
 from .q_relational import COMMON, FIELD, field
 from .registry import query, r6
 
@@ -215,9 +215,16 @@ def field_profile(spark, sf_dir):
     return rounded(U.field_profile(R.join_pairs(field(spark, sf_dir)), team_rows(spark, sf_dir).select("Season", "TeamID", "WinRate", "AvgMargin")))
 
 
-@query("text_matchup_features", with_views("tourney", LAB + ", v AS (SELECT CAST(1995 + label % 7 AS INT) AS Season, vec_id % 10 AS TeamID, " + ", ".join(f"avg(CAST(embedding[{i}] AS DOUBLE)) AS e{i}" for i in (1, 2, 3)) + " FROM embeddings GROUP BY 1, 2) SELECT GameID, " + ", ".join(f"[{', '.join(e.format(i=i) for i in (1, 2, 3))}] AS {n}" for n, e in (("D_Vec", "round(a.e{i} - b.e{i}, 6)"), ("AbsD_Vec", "round(abs(a.e{i} - b.e{i}), 6)"), ("Mean_Vec", "round((a.e{i} + b.e{i}) / 2, 6)"))) + " FROM lab JOIN v a ON a.Season = lab.Season AND a.TeamID = T1 JOIN v b ON b.Season = lab.Season AND b.TeamID = T2"))
+def _text_sql() -> str:
+    side = lambda t, v: f"coalesce({t}.{v}, list_resize(CAST([] AS DOUBLE[]), (SELECT max(len({v})) FROM pool), CAST(0 AS DOUBLE)))"
+    three = [f"list_transform(list_zip({side('a', v)}, {side('b', v)}), lambda x: round({e}, 6)) AS {n}_{v}" for v in VECTORS for n, e in (("D", "x[1] - x[2]"), ("AbsD", "abs(x[1] - x[2])"), ("Mean", "(x[1] + x[2]) / 2"))]
+    n = lambda t, c: f"coalesce({t}.{c}, 0)"
+    counts = [f"{n('a', c)} - {n('b', c)} AS D_{c}" for c in ("DocCount", "WindowDocCount")] + [f"{n('a', 'DocCount')} + {n('b', 'DocCount')} AS DocCountTotal", f"least({n('a', 'DocCount')}, {n('b', 'DocCount')}) AS DocCountMin"]
+    return f"{LAB}, {POOL} SELECT GameID, {', '.join(three + counts)} FROM lab LEFT JOIN pool a ON a.Season = lab.Season AND a.TeamID = T1 LEFT JOIN pool b ON b.Season = lab.Season AND b.TeamID = T2"
+
+
+@query("text_matchup_features", with_views("tourney", _text_sql()))
 def text_matchup_features(spark, sf_dir):
-    docs = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("TeamID"), (F.col("label") % 7 + 1995).alias("Season"), "embedding")
-    pooled = docs.groupBy("Season", "TeamID").agg(F.array(*(F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(3))).alias("Vec"))
-    out = U.vector_matchup(U.matchup_labels(view(spark, sf_dir, "tourney")), pooled, "Vec").where("D_Vec is not null")
-    return out.select("GameID", *(F.transform(c, lambda x: r6(x)).alias(c) for c in ("D_Vec", "AbsD_Vec", "Mean_Vec")))
+    out, names = U.text_matchup_features(U.matchup_labels(view(spark, sf_dir, "tourney")), pooled(spark, sf_dir), list(VECTORS))
+    lists = {c for c, t in out.dtypes if t == "array<double>"}
+    return out.select("GameID", *(F.transform(c, lambda x: r6(x)).alias(c) if c in lists else F.col(c) for c in names))

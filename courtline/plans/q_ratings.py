@@ -20,31 +20,47 @@ def elo_ratings(spark, sf_dir):
     return rounded(R.elo_ratings(view(spark, sf_dir, "regular")))
 
 
-@query("elo_ratings_by_period", with_views("regular", """, g AS (SELECT League, Season, CAST(floor(DayNum / 183.0) AS INT) AS p, WTeamID, LTeamID, ln(abs(WScore - LScore) + 1) AS g FROM regular),
+def _elo_sql(sets: list[tuple[str, float, float]], days: int = 7) -> str:
+    """Ratings of every parameter set and period by recursion over the periods; each step reads the games of its period."""
+    rows = ", ".join(f"('{n}', CAST({k} AS DOUBLE), CAST({c} AS DOUBLE))" for n, k, c in sets)
+    return f""", g AS (SELECT League, Season, CAST(floor(DayNum / {days}.0) AS INT) AS p, WTeamID, LTeamID, ln(abs(WScore - LScore) + 1) AS g FROM regular),
+sets AS (SELECT * FROM (VALUES {rows}) t(Set, k, carry)),
 steps AS (SELECT Season, p, row_number() OVER (ORDER BY Season, p) AS i, lag(Season) OVER (ORDER BY Season, p) AS prev FROM (SELECT DISTINCT Season, p FROM g) t),
+gi AS (SELECT s.i, g.League, WTeamID, LTeamID, g FROM g JOIN steps s ON s.Season = g.Season AND s.p = g.p),
 teams AS (SELECT DISTINCT League, TeamID FROM (SELECT League, WTeamID AS TeamID FROM g UNION ALL SELECT League, LTeamID FROM g) t),
-st AS (SELECT CAST(0 AS BIGINT) AS i, League, TeamID, CAST(1500 AS DOUBLE) AS Elo FROM teams
+st AS (SELECT CAST(0 AS BIGINT) AS i, Set, k, carry, League, TeamID, CAST(1500 AS DOUBLE) AS Elo FROM teams, sets
   UNION ALL
-  SELECT x.i, x.League, x.TeamID, x.base + coalesce(sum(CASE WHEN m.WTeamID = x.TeamID THEN m.gain WHEN m.LTeamID = x.TeamID THEN -m.gain END), 0) AS Elo
-  FROM (SELECT s.i, st.League, st.TeamID, CASE WHEN s.prev IS NOT NULL AND s.prev <> s.Season THEN (Elo - 1500) * 0.75 + 1500 ELSE Elo END AS base FROM st JOIN steps s ON s.i = st.i + 1) x
-  LEFT JOIN (SELECT s.i, g.League, g.WTeamID, g.LTeamID, g.g * 2.2 * 20 / (abs(w - l) * 0.001 + 2.2) * (1 - 1 / (1 + 10 ** (-(w - l) / 400))) AS gain FROM steps s JOIN g ON g.Season = s.Season AND g.p = s.p
-     JOIN (SELECT s2.i, a.League, a.TeamID, CASE WHEN s2.prev IS NOT NULL AND s2.prev <> s2.Season THEN (a.Elo - 1500) * 0.75 + 1500 ELSE a.Elo END AS w FROM st a JOIN steps s2 ON s2.i = a.i + 1) aw ON aw.i = s.i AND aw.League = g.League AND aw.TeamID = g.WTeamID
-     JOIN (SELECT s3.i, b.League, b.TeamID, CASE WHEN s3.prev IS NOT NULL AND s3.prev <> s3.Season THEN (b.Elo - 1500) * 0.75 + 1500 ELSE b.Elo END AS l FROM st b JOIN steps s3 ON s3.i = b.i + 1) bl ON bl.i = s.i AND bl.League = g.League AND bl.TeamID = g.LTeamID) m
-  ON m.i = x.i AND m.League = x.League AND (m.WTeamID = x.TeamID OR m.LTeamID = x.TeamID) GROUP BY x.i, x.League, x.TeamID, x.base),
-played AS (SELECT DISTINCT League, Season, TeamID FROM (SELECT League, Season, WTeamID AS TeamID FROM g UNION ALL SELECT League, Season, LTeamID FROM g) t)
-SELECT p.League, p.Season, p.TeamID, round(st.Elo, 6) AS Elo FROM played p JOIN (SELECT Season, max(i) AS i FROM steps GROUP BY 1) z ON z.Season = p.Season JOIN st ON st.i = z.i AND st.League = p.League AND st.TeamID = p.TeamID""", recursive=True))
+  (WITH x AS MATERIALIZED (SELECT s.i, Set, k, carry, League, TeamID, CASE WHEN s.prev IS NOT NULL AND s.prev <> s.Season THEN (Elo - 1500) * carry + 1500 ELSE Elo END AS base FROM st JOIN steps s ON s.i = st.i + 1),
+   m AS MATERIALIZED (SELECT w.Set, w.League, WTeamID, LTeamID, gi.g * 2.2 * w.k / (abs(w.base - l.base) * 0.001 + 2.2) * (1 - 1 / (1 + 10 ** (-(w.base - l.base) / 400))) AS gain FROM gi JOIN x w ON w.i = gi.i AND w.League = gi.League AND w.TeamID = gi.WTeamID JOIN x l ON l.i = gi.i AND l.League = gi.League AND l.TeamID = gi.LTeamID AND l.Set = w.Set),
+   d AS (SELECT Set, League, TeamID, sum(gain) AS d FROM (SELECT Set, League, WTeamID AS TeamID, gain FROM m UNION ALL SELECT Set, League, LTeamID, -gain FROM m) t GROUP BY 1, 2, 3)
+   SELECT x.i, x.Set, x.k, x.carry, x.League, x.TeamID, x.base + coalesce(d.d, 0) FROM x LEFT JOIN d ON d.Set = x.Set AND d.League = x.League AND d.TeamID = x.TeamID)),
+played AS (SELECT DISTINCT League, Season, TeamID FROM (SELECT League, Season, WTeamID AS TeamID FROM g UNION ALL SELECT League, Season, LTeamID FROM g) t),
+elo AS (SELECT st.Set, p.League, p.Season, p.TeamID, st.Elo FROM played p JOIN (SELECT Season, max(i) AS i FROM steps GROUP BY 1) z ON z.Season = p.Season JOIN st ON st.i = z.i AND st.League = p.League AND st.TeamID = p.TeamID)"""
+
+
+@query("elo_ratings_by_period", with_views("regular", _elo_sql([("only", 20.0, 0.75)]) + " SELECT League, Season, TeamID, round(Elo, 6) AS Elo FROM elo", recursive=True))
 def elo_ratings_by_period(spark, sf_dir):
-    return rounded(R.elo_by_period(view(spark, sf_dir, "regular"), days=183))
+    return rounded(R.elo_by_period(view(spark, sf_dir, "regular")))
+
+
+GRID = [(f"k{k:g}_c{c:g}", float(k), c) for k in (10, 20, 36) for c in (0.55, 0.75, 0.92)]
+
+
+@query("elo_param_sweep", with_views("regular lab", _elo_sql(GRID) + """, tried AS (SELECT s.Set, b.League, b.Season, avg((1 / (1 + 10 ** (-(coalesce(x.Elo, 1500) - coalesce(y.Elo, 1500)) / 400)) - Label) ** 2) AS b FROM lab b CROSS JOIN sets s LEFT JOIN elo x ON x.Set = s.Set AND x.League = b.League AND x.Season = b.Season AND x.TeamID = T1 LEFT JOIN elo y ON y.Set = s.Set AND y.League = b.League AND y.Season = b.Season AND y.TeamID = T2 WHERE b.Season > (SELECT max(Season) - 7 FROM lab z WHERE z.League = b.League) GROUP BY 1, 2, 3),
+score AS (SELECT Set, League, avg(b) AS Brier, count(*) AS Seasons FROM tried GROUP BY 1, 2) SELECT Set, League, round(Brier, 6) AS Brier, Seasons, CASE WHEN row_number() OVER (PARTITION BY League ORDER BY round(Brier, 9), Set) = 1 THEN 1 ELSE 0 END AS Best FROM score""", recursive=True))
+def elo_param_sweep(spark, sf_dir):
+    sets = spark.createDataFrame([(n, k, 1500.0, c) for n, k, c in GRID], R.SETS)
+    return rounded(R.elo_param_sweep(view(spark, sf_dir, "regular"), view(spark, sf_dir, "lab"), sets))
 
 
 @query("pagerank_strength", with_views("regular glog", """, e AS (SELECT Season, LTeamID AS src, WTeamID AS dst, sum(1 + least(greatest(WScore - LScore, 0), 30) / 20 + CASE WLoc WHEN 'A' THEN 0.15 WHEN 'N' THEN 0.05 ELSE 0.0 END) AS w FROM regular GROUP BY 1, 2, 3), sh AS (SELECT *, w / sum(w) OVER (PARTITION BY Season, src) AS share FROM e),
 n0 AS (SELECT DISTINCT Season, TeamID FROM glog), nd AS (SELECT n0.*, count(*) OVER (PARTITION BY Season) AS n, NOT EXISTS (SELECT 1 FROM sh WHERE sh.Season = n0.Season AND sh.src = n0.TeamID) AS sink FROM n0),
 pr AS (SELECT 0 AS i, Season, TeamID, n, sink, CAST(1 AS DOUBLE) / n AS r FROM nd UNION ALL
-  SELECT x.i + 1, x.Season, x.TeamID, x.n, x.sink, (0.15 + 0.85 * x.m) / x.n + 0.85 * coalesce(sum(y.r * sh.share), 0) FROM (SELECT *, sum(CASE WHEN sink THEN r ELSE 0 END) OVER (PARTITION BY Season) AS m FROM pr WHERE i < 12) x LEFT JOIN sh ON sh.Season = x.Season AND sh.dst = x.TeamID LEFT JOIN pr y ON y.Season = sh.Season AND y.TeamID = sh.src GROUP BY x.i, x.Season, x.TeamID, x.n, x.sink, x.m),
-f AS (SELECT Season, TeamID, r FROM pr WHERE i = 12)
+  SELECT x.i + 1, x.Season, x.TeamID, x.n, x.sink, (0.15 + 0.85 * x.m) / x.n + 0.85 * coalesce(sum(y.r * sh.share), 0) FROM (SELECT *, sum(CASE WHEN sink THEN r ELSE 0 END) OVER (PARTITION BY Season) AS m FROM pr WHERE i < 80) x LEFT JOIN sh ON sh.Season = x.Season AND sh.dst = x.TeamID LEFT JOIN pr y ON y.Season = sh.Season AND y.TeamID = sh.src GROUP BY x.i, x.Season, x.TeamID, x.n, x.sink, x.m),
+f AS (SELECT Season, TeamID, r FROM pr WHERE i = 80)
 SELECT f.Season, f.TeamID, round(r, 6) AS PageRank, round((r - avg(r) OVER w) / greatest(stddev_pop(r) OVER w, 1e-12), 6) AS PageRank_z, round(sos, 6) AS PageRankSOS FROM f LEFT JOIN (SELECT g.Season, g.TeamID, avg(o.r) AS sos FROM glog g JOIN f o ON o.Season = g.Season AND o.TeamID = g.OppID GROUP BY 1, 2) s ON s.Season = f.Season AND s.TeamID = f.TeamID WINDOW w AS (PARTITION BY f.Season)""", recursive=True))
 def pagerank_strength(spark, sf_dir):
-    return rounded(R.pagerank_strength(view(spark, sf_dir, "regular"), iterations=12))
+    return rounded(R.pagerank_strength(view(spark, sf_dir, "regular")))
 
 
 DESC = ", sides AS (SELECT Slot, 'strong' AS Side, StrongSeed AS Node FROM slots UNION ALL SELECT Slot, 'weak', WeakSeed FROM slots), kids AS (SELECT Slot AS Node, StrongSeed AS child FROM slots UNION ALL SELECT Slot, WeakSeed FROM slots), d AS (SELECT Slot, Side, Node FROM sides UNION SELECT d.Slot, d.Side, kids.child FROM d JOIN kids ON kids.Node = d.Node), leaf AS (SELECT * FROM d WHERE Node NOT IN (SELECT Slot FROM slots)), meet AS (SELECT a.Slot, a.Node AS SeedA, b.Node AS SeedB, CAST(substr(a.Slot, 2, 1) AS INT) AS Round FROM leaf a JOIN leaf b ON a.Slot = b.Slot AND a.Side = 'strong' AND b.Side = 'weak')"
@@ -105,9 +121,9 @@ def scan_csv(spark, sf_dir):
     return IO.scan_csv(spark, path, "Season int, DayNum int, WTeamID bigint, LTeamID bigint, WScore double, LScore double").withColumn("Missing", F.lit(None).cast("string"))
 
 
-@query("scan_projected", "SELECT l_orderkey, CAST(l_suppkey AS INT) AS l_suppkey, CAST(l_linenumber AS SMALLINT) AS l_linenumber FROM lineitem WHERE l_linenumber <= 3")
+@query("scan_projected", "SELECT l_orderkey, CAST(l_suppkey AS INT) AS l_suppkey, CAST(l_linenumber AS SMALLINT) AS l_linenumber FROM lineitem")
 def scan_projected(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", F.col("l_suppkey").cast("int").alias("l_suppkey"), F.col("l_linenumber").cast("smallint").alias("l_linenumber"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").cast("int").alias("l_suppkey"), F.col("l_linenumber").cast("smallint").alias("l_linenumber"))
 
 
 @query("scan_jsonl_documents", "SELECT CAST(doc_id AS VARCHAR) AS id, trim(text) AS body, source FROM documents")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,45 @@ def scan_sources(spark: SparkSession, pattern: str, schema: T.StructType | str,
     return rows
 
 
+def external_files(spark: SparkSession, root: str, prefix: str, include: tuple[str, ...], canonical: str | None = None, replaced: str | None = None) -> list[str]:
+    """Paths of CSV files (or folders of them) under root, in order of name: what names say, no contents.
+
+    Names begin with `prefix`, hold one of `include`, and are no templates or examples; case doesn't matter. If the `canonical` one is there, those that
+    hold `replaced` are left out.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*.csv")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    names = sorted((f.getPath().getName().lower(), f.getPath().toString()) for f in (found or []))
+    chosen = [(n, p) for n, p in names if n.startswith(prefix.lower()) and not any(w in n for w in ("template", "example")) and any(k.lower() in n for k in include)]
+    first = canonical.lower() if canonical else None
+    if replaced and any(n == first for n, _ in chosen):
+        chosen = [(n, p) for n, p in chosen if n == first or replaced.lower() not in n]
+    return [p for n, p in sorted(chosen, key=lambda c: (c[0] != first, c[0]))]
+
+
+def scan_external_sources(spark: SparkSession, root: str, prefix: str, include: tuple[str, ...], columns: dict[str, tuple[str, str, tuple[str, ...]]], keys: list[str], canonical: str | None = None, replaced: str | None = None) -> DataFrame:
+    """All external files of one kind as one table, though each has columns of its own.
+
+    columns: output name -> (type, "first" or "number", aliases). "first" takes the first alias that the file has, "number" row by
+    row the first alias with a number; an output that a file lacks is null, columns that nothing asks for are not read. Rows of equal
+    keys in several files: the canonical file's stay, then those of the file whose name comes first (_Source, _Rank);
+    rows of one file all stay, rows without a key value are dropped. No file at all is an empty table.
+    """
+    from ..functions import expressions as X
+    from ..operators.relational import drop_missing_keys
+
+    parts = []
+    for rank, path in enumerate(external_files(spark, root, prefix, include, canonical, replaced)):
+        raw = spark.read.csv(path, header=True)
+        made = {k: (X.coalesce_aliases(raw, names) if how == "number" else X.first_present(raw, names, "string")).cast("string").try_cast(kind) for k, (kind, how, names) in columns.items()}
+        parts.append(raw.select(*(c.alias(k) for k, c in made.items()), F.lit(path.rsplit("/", 1)[-1]).alias("_Source"), F.lit(rank).alias("_Rank")))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{k}` {kind}" for k, (kind, _, _) in columns.items()) + ", _Source string, _Rank int")
+    rows = drop_missing_keys(reduce(DataFrame.unionByName, parts), keys)
+    best = rows.groupBy(*keys).agg(F.min("_Rank").alias("_Rank"))
+    return rows.join(best, [*keys, "_Rank"], "left_semi")
+
+
 def scan_jsonl_documents(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
     """JSON lines with alias fields: lines that don't parse are dropped, each output column is the first alias with text."""
     fields = sorted({a for names in aliases.values() for a in names})
