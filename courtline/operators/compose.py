@@ -2,23 +2,57 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from . import market as M
 from . import relational as R
+from .features import impute_seeds
 
 KEY = ["Season", "TeamID"]
 
 
-def team_features(base: DataFrame, parts: list[DataFrame], momentum: dict[str, tuple[str, str]], fills: dict[str, float]) -> DataFrame:
-    """All feature tables on one key, recent-minus-season differences, and declared values for what is missing."""
-    joined = R.join_left_chain(base, parts, KEY)
-    return joined.withColumns({name: F.col(recent) - F.col(season) for name, (recent, season) in momentum.items()}).fillna(fills)
+#: Rounds whose path features are also averaged.
+STAGES = {"Early": (1, 2), "Middle": (3, 4), "Late": (5, 6)}
+
+
+def path_columns(paths: DataFrame, by: list[str]) -> DataFrame:
+    """Path difficulty and mean seed by round (by..., TeamID, Round, PathDifficulty, PathSeedMean) as columns R1 to R6 and stages."""
+    names = ("PathDifficulty", "PathSeedMean")
+    at = lambda c, r: F.max(F.when(F.col("Round") == r, F.col(c)))
+    wide = paths.groupBy(*by, "TeamID").agg(*(at(c, r).alias(f"{c}R{r}") for c in names for r in range(1, 7)))
+    return wide.withColumns({f"{c}{stage}": X.row_mean(*(f"{c}R{r}" for r in rounds)) for c in names for stage, rounds in STAGES.items()})
+
+
+def team_features(base: DataFrame, parts: list[DataFrame], seeds: DataFrame | None = None, priors: DataFrame | None = None, paths: DataFrame | None = None, strength: str = "Rating") -> DataFrame:
+    """All feature tables of a team and season in one row, with seeds, recent-minus-season differences and declared values for what is missing.
+
+    base and parts have one row for Season and TeamID; of a column in several the first counts. seeds (Season, TeamID, SeedNum): teams without one get it from
+    the rank of `strength`, and SeedImputed. priors (Season, SeedBucket, ...) meet by the seed, cut to 1 to 17; paths are path_columns.
+    Differences come where both columns are there. Counts that are missing are 0, tenures 1, rates of nothing 0.
+    """
+    rows, have = base, list(base.columns)
+    for part in parts:
+        new = [c for c in part.columns if c not in have]
+        rows, have = rows.join(part.select(*KEY, *new), KEY, "left"), have + new
+    if seeds is not None:
+        rows = rows.join(seeds.select(*KEY, "SeedNum"), KEY, "left").withColumn("SeedImputed", F.col("SeedNum").isNull().cast("int"))
+        rows = impute_seeds(rows, strength).withColumn("SeedBucket", F.greatest(F.lit(1), F.least(F.lit(17), F.round("SeedNum"))).cast("int"))
+    if priors is not None:
+        rows = rows.join(priors, [c for c in ("League", "Season", "SeedBucket") if c in priors.columns and c in rows.columns], "left")
+    if paths is not None:
+        rows = rows.join(paths, [c for c in ("League", *KEY) if c in paths.columns and c in rows.columns], "left")
+    late = {"MomentumWinRate": ("Last10WinRate", "WinRate"), "MomentumMargin": ("Last10Margin", "AvgMargin"), "Momentum30WinRate": ("Last30WinRate", "WinRate"), "Momentum30Margin": ("Last30Margin", "AvgMargin")}
+    for new, old in (("Momentum", "RecentEff"), ("Momentum30", "Recent30Eff")):
+        late |= {f"{new}{c}": (f"{old}{c}", c) for c in ("NetRtg", "NetRtg_z", "AdjNetRtg", "AdjNetRtg_z")}
+    rows = rows.withColumns({n: F.col(a) - F.col(b) for n, (a, b) in late.items() if {a, b} <= set(rows.columns)})
+    zero = [c for c in rows.columns if c in ("ConfTourneyWins", "CloseGameCount", "CoachChange", "CoachMidseasonChange", "SeedPriorExpectedWins", "SeedPriorWinPct", "CloseGameWinRate", "RankMomentum", "OWP", "OOWP", "RPIStyle", "RPIStyleSOS", "PageRank", "PageRank_z", "PageRankSOS") or re.match(r"(Last30)?(Top\d+(Games|Wins|WinRate)|Close(Count|WinRate))$|Path(Difficulty|SeedMean)", c)]
+    return rows.fillna(0, zero).fillna(1, [c for c in ("CoachTenure", "CoachCount") if c in rows.columns])
 
 
 def odds_prepare(quotes: DataFrame, odds: tuple[str, str], time: str) -> DataFrame:
@@ -42,10 +76,43 @@ def training_quotes(quotes: DataFrame, games: DataFrame, time: str, start: str)
     return quotes.join(games, M.PAIR).withColumn("Verified", F.coalesce((F.col(time) <= F.col(start)).cast("int"), F.lit(0))).drop(start)
 
 
-def prediction_market_convert(rows: DataFrame, percent: str) -> DataFrame:
-    """Percent to probability, complement and money lines; the last row of a pair, book and time."""
-    p = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col(percent) / 100))
-    return rows.withColumns({"MarketProb": p, "Team1Moneyline": X.prob_to_american(p), "Team2Moneyline": X.prob_to_american(F.lit(1.0) - p)})
+# Names of both sides' prices in prediction market files, and what they are divided by.
+CONTRACTS = (
+    (("Team1Prob", "T1Prob", "Prob1", "YesProb"), ("Team2Prob", "T2Prob", "Prob2", "NoProb"), 1.0),
+    (("Team1Percent", "T1Percent", "Prob1Percent", "YesPercent"), ("Team2Percent", "T2Percent", "Prob2Percent", "NoPercent"), 100.0),
+    (("Team1Cents", "T1Cents", "Prob1Cents", "YesCents", "YesPriceCents"), ("Team2Cents", "T2Cents", "Prob2Cents", "NoCents", "NoPriceCents"), 100.0),
+)
+
+
+def contract_probs(rows: DataFrame) -> tuple[Column, Column]:
+    """Both sides' probabilities from the first kind of price that the table has: probabilities, percents or cents.
+
+    A price that is not strictly between 0 and 1 is none; a missing side is the other's complement.
+    """
+    for left, right, scale in CONTRACTS:
+        if any(c in rows.columns for c in (*left, *right)):
+            side = lambda names: X.number(X.first_present(rows, names)) / scale  # noqa: B023, E731
+            a, b = (F.when((p > 0) & (p < 1), p) for p in (side(left), side(right)))
+            inside = lambda p: F.when(p.isNotNull(), F.greatest(F.lit(0.001), F.least(F.lit(0.999), p)))
+            first, second = F.coalesce(a, F.lit(1.0) - b), F.coalesce(b, F.lit(1.0) - a)
+            return inside(first), inside(second)
+    raise ValueError("no column of probabilities, percents or cents for either side")
+
+
+def prediction_market_convert(rows: DataFrame, *order: Column) -> DataFrame:
+    """Contracts of prediction markets as quotes: one row for each pair, book and time, the last by `order`.
+
+    rows: Season, T1, T2, a price of either side, and perhaps LastSpread, Book, BookCount, SnapshotTime, Source. Pairs are put in order of their ids,
+    prices and spread with them; rows without ids are dropped.
+    """
+    p1, p2 = contract_probs(rows)
+    text = lambda c, other: F.coalesce(F.trim(X.first_present(rows, [c], "string").cast("string")), F.lit(other))
+    made = rows.withColumns({
+        "MarketProb": p1, "Team1Moneyline": X.prob_to_american(p1), "Team2Moneyline": X.prob_to_american(p2), "LastSpread": X.number(X.first_present(rows, ["LastSpread"])), "Book": text("Book", "prediction_market"),
+        "BookCount": F.coalesce(X.number(X.first_present(rows, ["BookCount"])), F.lit(1.0)), "SnapshotTime": X.timestamp(X.first_present(rows, ["SnapshotTime"], "string")), "Source": text("Source", "prediction_market_proxy"),
+    })
+    known = M.canonicalize_pairs(R.drop_missing_keys(made, list(M.PAIR)), complement=("MarketProb",), negate=("LastSpread",), swap=(("Team1Moneyline", "Team2Moneyline"),))
+    return R.keep_last(known, [*M.PAIR, "Book", "SnapshotTime"], *order)
 
 
 def host_structure(rows: DataFrame) -> DataFrame:
@@ -111,16 +178,23 @@ def loss_weights(df: DataFrame, candidates: list[str], losses: list[str], top: i
     return df.withColumn("_b", best).withColumn("Selected", F.try_divide(mixed, total)).drop("_b")
 
 
-def schedule_resume(log: DataFrame, close: float = 5.0) -> DataFrame:
-    """Games and wins against the first two quarters of opponents, close and away rates, best win and worst loss."""
-    q = lambda lo, hi: F.col("OppPct").between(lo, hi)
-    won = F.col("Win") == 1
-    return log.groupBy(*KEY).agg(
-        F.count(F.when(q(0, 0.25), 1)).alias("Q1Games"),
-        F.count(F.when(q(0, 0.25) & won, 1)).alias("Q1Wins"),
-        F.count(F.when((F.col("OppPct") > 0.25) & (F.col("OppPct") <= 0.5), 1)).alias("Q2Games"),
-        F.avg(F.when(F.abs("Margin") <= close, F.col("Win"))).alias("CloseRate"),
-        F.avg(F.when(F.col("IsHome") == 0, F.col("Win"))).alias("AwayRate"),
-        F.min(F.when(won, F.col("OppPct"))).alias("BestWin"),
-        F.max(F.when(~won, F.col("OppPct"))).alias("BadLoss"),
-    )
+def schedule_resume(log: DataFrame, close: float = 5.0, top: int = 5) -> DataFrame:
+    """Games and wins against the first two quarters of opponents, shares of close and neutral games, best wins and worst losses.
+
+    log: Season, TeamID, GameID, Win, Margin, IsNeutral, OppPct (the opponent's rank in its season, 0 best). Quadrants are quarters of OppPct; a game
+    against an unranked opponent is in none. The `top` wins of highest quality (1 - OppPct) and the losses of lowest count as best and worst.
+    """
+    quadrant = F.when(F.col("OppPct") <= 0.25, 1).when(F.col("OppPct") <= 0.5, 2).when(F.col("OppPct") <= 0.75, 3).when(F.col("OppPct").isNotNull(), 4)
+    w = Window.partitionBy(*KEY, "Win")
+    won, quality = F.col("Win") == 1, F.lit(1.0) - F.col("OppPct")
+    rows = log.withColumns({"_q": quadrant, "_good": F.row_number().over(w.orderBy(F.col("OppPct").asc_nulls_last(), "GameID")), "_bad": F.row_number().over(w.orderBy(F.col("OppPct").desc_nulls_last(), "GameID"))})
+    n = lambda c: F.count(F.when(c, 1))
+    near = F.abs("Margin") <= close
+    best, worst = won & (F.col("_good") <= top), ~won & (F.col("_bad") <= top)
+    q = F.col("_q")
+    return rows.groupBy(*KEY).agg(
+        n(q == 1).alias("Q1Games"), n((q == 1) & won).alias("Q1Wins"), n(q == 2).alias("Q2Games"), n((q == 2) & won).alias("Q2Wins"),
+        F.avg(near.cast("double")).alias("CloseGameRate"), F.avg(F.when(near, F.col("Win"))).alias("CloseGameWinRate"), F.avg(F.col("IsNeutral").cast("double")).alias("NeutralGameRate"),
+        F.avg(F.when(best, quality)).alias("BestWinQualityMean"), F.max(F.when(best, quality)).alias("BestWinQualityMax"), n(best & (q == 1)).alias("BestWinQ1Count"),
+        F.avg(F.when(worst, q)).alias("WorstLossQuadrantMean"), n(worst & (q >= 3)).alias("BadLossCountQ3Q4"),
+    )

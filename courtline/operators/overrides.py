@@ -94,7 +94,7 @@ def override_candidates(rows: DataFrame) -> DataFrame:
     known = known.withColumn("_failed", first_reason(order, "")).withColumn("AutoDecision", first_reason([*((n, c("_failed") == n) for n, _ in order), ("FavoriteInjuryVeto", c("FavoriteInjured") & towards)], "AutoApply"))
     known = known.withColumn("AutoNewPred", F.when(c("_failed") == "", c("_moved")).otherwise(c("Pred")))
     manual = c("RealGameScope") & market.isNotNull() & c("MarketSpreadConsistent") & yes(c("Gap") >= LEAST_LOOK) & (c("BaselineCloser") | c("ModelAligned")) & ~c("FavoriteInjured")
-    why = F.when(c("BaselineCloser") & c("ModelAligned"), "BaselineAndModelAgainstHC").when(c("BaselineCloser"), "BaselineCloserToMarket").otherwise("ModelAlignedAgainstHC")
+    why = F.when(c("BaselineCloser") & c("ModelAligned"), "BaselineAndModelAgainstCurrent").when(c("BaselineCloser"), "BaselineCloserToMarket").otherwise("ModelAlignedAgainstCurrent")
     return known.withColumns({"AutoChange": F.abs(c("AutoNewPred") - c("Pred")), "ManualEligible": manual, "ManualReason": F.when(manual, why)}).withColumn("AutoApply", (c("AutoDecision") == "AutoApply") & (c("AutoChange") > 1e-12)).drop("_moved", "_failed")
 
 
@@ -117,3 +117,38 @@ def apply_auto(scored: DataFrame, candidates: DataFrame, manual: DataFrame, key:
     from .release import apply_overrides
 
     return apply_overrides(scored, candidates.where("AutoApply").select(key, F.col("AutoNewPred").alias("NewPred")), R.keep_last(manual, [key], F.desc("NewPred")), key)
+
+
+def review_checklist(rows: DataFrame, tolerance: float = 0.03) -> DataFrame:
+    """Which score is nearer to the market, why a pair is looked at, what to do and how urgent it is.
+
+    rows: Pred, Baseline, MarketProb, SourceCount, BookCountMax, BookCountTotal, RowCount, BothInField, EarlyHost, InjuryRisk. Adds AbsPredDiff,
+    CloserToMarket, ReviewEligible, ReviewReason, RecommendedAction and Priority.
+    """
+    c = F.col
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    flags = {n: F.coalesce(c(n), F.lit(False)) for n in ("BothInField", "EarlyHost", "InjuryRisk")}
+    both, host, hurt = flags.values()
+    own, other = F.abs(c("Pred") - c("MarketProb")), F.abs(c("Baseline") - c("MarketProb"))
+    closer = F.when(c("MarketProb").isNull(), "NoMarket").when(own + tolerance < other, "Current").when(other + tolerance < own, "Baseline").otherwise("Tie")
+    known = rows.withColumns({
+        "AbsPredDiff": F.abs(c("Pred") - c("Baseline")), "CloserToMarket": closer, "ReviewEligible": both | host | hurt, "EffectiveBookCount": F.greatest("BookCountMax", "BookCountTotal", "RowCount"),
+        "ReviewReason": F.concat_ws("|", *(F.when(f, n) for n, f in flags.items())), "RecommendedAction": F.when(closer == "Baseline", "CheckBaseline").when(closer == "Current", "KeepCurrent").otherwise("NeedContext"),
+    })
+    gap, sources = zero(c("AbsPredDiff")), zero(c("SourceCount"))
+    critical = both & (c("CloserToMarket") == "Baseline") & (gap >= 0.08) & (sources >= 2) & (zero(c("EffectiveBookCount")) >= 2)
+    high = (both & (gap >= 0.05) & (sources >= 1)) | (hurt & (gap >= 0.05)) | (host & (gap >= 0.03) & (sources >= 1))
+    return known.withColumn("Priority", F.when(~c("ReviewEligible"), "Skip").when(critical, "Critical").when(high, "High").when(gap >= 0.03, "Medium").otherwise("Low"))
+
+
+def recommend(counts: DataFrame) -> DataFrame:
+    """Which of four tables to publish, from one row of counts for each scope.
+
+    counts: Applied, Changed, InRounds, ModelSupported (overrides), RuntimeActive (live rules of weight), Opposed (urgent pairs in which the
+    market is nearer to the baseline). Overrides if they are few, all in the rounds looked at and at least half backed by the model; else
+    the live rules if any acted; else the baseline if it is backed three times; else the current one.
+    """
+    c = F.col
+    share = F.when(c("Applied") > 0, c("ModelSupported") / c("Applied")).otherwise(F.lit(0.0))
+    few = c("Changed").between(3, 12) & (c("InRounds") == c("Changed")) & (share >= 0.5)
+    return counts.withColumns({"ModelShare": share, "Recommended": F.when(few, "overrides").when(c("RuntimeActive") > 0, "runtime").when(c("Opposed") >= 3, "baseline").otherwise("current")})

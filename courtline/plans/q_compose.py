@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..functions import layouts as LY
 from ..operators import compose as C
 from ..operators import features as FE
 from ..operators import market as M
@@ -21,17 +22,6 @@ ODDS = ("Team1DecimalOdds", "Team2DecimalOdds")
 FIN = f", fin AS (SELECT *, {FINAL} AS FinalProb FROM scored)"
 
 
-@query("team_features", with_views("glog rating conferences", """, wr AS (SELECT Season, TeamID, avg(Win) AS WinRate, avg(Margin) AS AvgMargin, count(*) AS Games FROM glog GROUP BY 1, 2),
-rf AS (SELECT Season, TeamID, sum(Win * exp(-0.14 * (rn - 1))) / sum(exp(-0.14 * (rn - 1))) AS RecentWinRate, sum(Margin * exp(-0.14 * (rn - 1))) / sum(exp(-0.14 * (rn - 1))) AS RecentMargin FROM (SELECT *, row_number() OVER (PARTITION BY Season, TeamID ORDER BY DayNum DESC, GameID DESC) AS rn FROM glog) t WHERE rn <= 15 GROUP BY 1, 2),
-ct AS (SELECT Season, WTeamID AS TeamID, count(*) AS ConfTourneyWins FROM tourney GROUP BY 1, 2), so AS (SELECT g.Season, g.TeamID, avg(r.Rating) AS SOS FROM glog g LEFT JOIN rating r ON r.Season = g.Season AND r.TeamID = g.OppID GROUP BY 1, 2)
-SELECT wr.Season, wr.TeamID, round(WinRate, 6) AS WinRate, round(AvgMargin, 6) AS AvgMargin, Games, round(RecentWinRate, 6) AS RecentWinRate, round(RecentMargin, 6) AS RecentMargin, round(SOS, 6) AS SOS, coalesce(ConfTourneyWins, 0) AS ConfTourneyWins, round(RecentWinRate - WinRate, 6) AS MomentumWinRate, round(RecentMargin - AvgMargin, 6) AS MomentumMargin
-FROM wr LEFT JOIN rf ON rf.Season = wr.Season AND rf.TeamID = wr.TeamID LEFT JOIN so ON so.Season = wr.Season AND so.TeamID = wr.TeamID LEFT JOIN ct ON ct.Season = wr.Season AND ct.TeamID = wr.TeamID""".replace("FROM tourney", "FROM contest WHERE DayNum > 330")))
-def team_features(spark, sf_dir):
-    log = log_of(spark, sf_dir)
-    parts = [FE.recent_form(log), FE.strength_of_schedule(log, view(spark, sf_dir, "rating")), FE.conf_tourney_wins(view(spark, sf_dir, "tourney"))]
-    return rounded(C.team_features(FE.win_rate(log), parts, {"MomentumWinRate": ("RecentWinRate", "WinRate"), "MomentumMargin": ("RecentMargin", "AvgMargin")}, {"ConfTourneyWins": 0}))
-
-
 @query("odds_prepare", with_views("quotes", "SELECT Season, T1, T2, round(avg(greatest(0.001, least(0.999, (1 / Team1DecimalOdds) / (1 / Team1DecimalOdds + 1 / Team2DecimalOdds)))) FILTER (WHERE Team1DecimalOdds IS NOT NULL), 6) AS NoVigProb, round(avg(1 / Team1DecimalOdds + 1 / Team2DecimalOdds - 1), 6) AS Hold, round(avg(LastSpread), 6) AS LastSpread, string_agg(DISTINCT Book, '|' ORDER BY Book) AS Books, count(DISTINCT Book) AS BookCount, max(SnapshotTime) AS SnapshotTime FROM quotes GROUP BY 1, 2, 3"))
 def odds_prepare(spark, sf_dir):
     return rounded(C.odds_prepare(view(spark, sf_dir, "quotes"), ODDS, "SnapshotTime"))
@@ -73,10 +63,20 @@ def historical_odds_snapshot(spark, sf_dir):
     return rounded(last.select(*M.PAIR, "MarketProb", "Source"))
 
 
-@query("prediction_market_convert", "SELECT l_orderkey, l_partkey, l_linenumber, round(p, 6) AS MarketProb, CAST(round_even(CASE WHEN p >= 0.5 THEN p * -100 / (1 - p) ELSE (1 - p) * 100 / p END, 0) AS BIGINT) AS Team1Moneyline FROM (SELECT *, greatest(0.001, least(0.999, l_quantity * 1.9 / 100)) AS p FROM lineitem) t")
+CENTS = """, x AS (SELECT *, CAST(Part % 105 - 2 AS DOUBLE) / 100 AS a, CASE WHEN Part % 3 <> 0 THEN CAST(Part % 97 AS DOUBLE) / 100 END AS b, CASE WHEN Line <> 3 THEN Book ELSE 'prediction_market' END AS bk FROM quotes),
+y AS (SELECT *, CASE WHEN a > 0 AND a < 1 THEN a END AS va, CASE WHEN b > 0 AND b < 1 THEN b END AS vb FROM x), z AS (SELECT *, greatest(0.001, least(0.999, coalesce(va, 1 - vb))) AS p1, greatest(0.001, least(0.999, coalesce(vb, 1 - va))) AS p2, va IS NULL AND vb IS NULL AS no FROM y),
+m AS (SELECT *, {am1} AS m1, {am2} AS m2, T1 > T2 AS f FROM z), k AS (SELECT * FROM (SELECT *, least(T1, T2) AS c1, greatest(T1, T2) AS c2 FROM m) t QUALIFY row_number() OVER (PARTITION BY Season, c1, c2, bk, SnapshotTime ORDER BY GameID DESC, Line DESC, Part DESC) = 1)
+SELECT Season, c1 AS T1, c2 AS T2, bk AS Book, round(CASE WHEN no THEN NULL WHEN f THEN 1 - p1 ELSE p1 END, 6) AS MarketProb, CASE WHEN f THEN m2 ELSE m1 END AS Team1Moneyline, CASE WHEN f THEN m1 ELSE m2 END AS Team2Moneyline, round(CASE WHEN f THEN -LastSpread ELSE LastSpread END, 6) AS LastSpread, Source FROM k""".format(
+    **{f"am{i}": f"CASE WHEN no THEN NULL ELSE CAST(round_even(CASE WHEN p{i} >= 0.5 THEN p{i} * -100 / (1 - p{i}) ELSE (1 - p{i}) * 100 / p{i} END, 0) AS BIGINT) END" for i in (1, 2)}
+)
+
+
+@query("prediction_market_convert", with_views("quotes", CENTS))
 def prediction_market_convert(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").withColumn("Percent", F.col("l_quantity") * 1.9)
-    return rounded(C.prediction_market_convert(rows, "Percent").select("l_orderkey", "l_partkey", "l_linenumber", "MarketProb", "Team1Moneyline"))
+    q = view(spark, sf_dir, "quotes")
+    rows = q.select("Season", "T1", "T2", (F.col("Part") % 105 - 2).alias("YesCents"), F.when(F.col("Part") % 3 != 0, F.col("Part") % 97).alias("NoPriceCents"), "LastSpread", F.when(F.col("Line") != 3, F.concat(F.lit(" "), "Book", F.lit(" "))).alias("Book"), "SnapshotTime", "Source", "GameID", "Line", "Part")
+    out = C.prediction_market_convert(rows, F.desc("GameID"), F.desc("Line"), F.desc("Part"))
+    return rounded(out.select("Season", "T1", "T2", "Book", "MarketProb", "Team1Moneyline", "Team2Moneyline", "LastSpread", "Source"))
 
 
 @query("host_structure", with_views("scored", "SELECT GameID, CASE WHEN Round = 1 THEN 1 ELSE 0 END AS IsRound1, CASE WHEN Round = 2 THEN 1 ELSE 0 END AS IsRound2, CASE WHEN Round IN (1, 2) THEN 1 ELSE 0 END AS IsRound1Or2, CASE WHEN Round IN (1, 2) AND T1_SeedNum <= 4 AND T1_SeedNum < T2_SeedNum THEN 1 WHEN Round IN (1, 2) AND T2_SeedNum <= 4 AND T2_SeedNum < T1_SeedNum THEN -1 ELSE 0 END AS D_HostLikely FROM (SELECT *, CAST(GameID % 4 AS INT) AS Round FROM scored) t"))
@@ -122,11 +122,19 @@ def loss_weighted_selector(spark, sf_dir):
     return rounded(C.loss_weights(rows, ["RawProb", "MarketProb"], ["l1", "l2"]).select("GameID", "Selected"))
 
 
-@query("schedule_resume_summary", with_views("glog rating", ", pc AS (SELECT Season, TeamID AS OppID, (rank() OVER (PARTITION BY Season ORDER BY -Rating) + (count(*) OVER (PARTITION BY Season, Rating) - 1) / 2.0) / count(*) OVER (PARTITION BY Season) AS OppPct FROM rating), x AS (SELECT g.*, CAST(OppPct AS DOUBLE) AS OppPct FROM glog g JOIN pc ON pc.Season = g.Season AND pc.OppID = g.OppID) SELECT Season, TeamID, count(*) FILTER (WHERE OppPct <= 0.25) AS Q1Games, count(*) FILTER (WHERE OppPct <= 0.25 AND Win = 1) AS Q1Wins, count(*) FILTER (WHERE OppPct > 0.25 AND OppPct <= 0.5) AS Q2Games, round(avg(Win) FILTER (WHERE abs(Margin) <= 5), 6) AS CloseRate, round(avg(Win) FILTER (WHERE IsHome = 0), 6) AS AwayRate, round(min(OppPct) FILTER (WHERE Win = 1), 6) AS BestWin, round(max(OppPct) FILTER (WHERE Win = 0), 6) AS BadLoss FROM x GROUP BY 1, 2"))
+RESUME = """, pc AS (SELECT Season, TeamID AS OppID, CAST((rank() OVER (PARTITION BY Season ORDER BY -Rating) + (count(*) OVER (PARTITION BY Season, Rating) - 1) / 2.0) / count(*) OVER (PARTITION BY Season) AS DOUBLE) AS pct FROM rating),
+x AS (SELECT g.*, pct, CASE WHEN r.WLoc = 'N' THEN 1.0 ELSE 0.0 END AS neutral, CASE WHEN pct <= 0.25 THEN 1 WHEN pct <= 0.5 THEN 2 WHEN pct <= 0.75 THEN 3 WHEN pct IS NOT NULL THEN 4 END AS q FROM glog g JOIN regular r ON r.GameID = g.GameID LEFT JOIN pc ON pc.Season = g.Season AND pc.OppID = g.OppID),
+y AS (SELECT *, Win = 1 AND row_number() OVER (PARTITION BY Season, TeamID, Win ORDER BY pct NULLS LAST, GameID) <= 5 AS best, Win = 0 AND row_number() OVER (PARTITION BY Season, TeamID, Win ORDER BY pct DESC NULLS LAST, GameID) <= 5 AS worst FROM x)
+SELECT Season, TeamID, count(*) FILTER (WHERE q = 1) AS Q1Games, count(*) FILTER (WHERE q = 1 AND Win = 1) AS Q1Wins, count(*) FILTER (WHERE q = 2) AS Q2Games, count(*) FILTER (WHERE q = 2 AND Win = 1) AS Q2Wins, round(avg(CASE WHEN abs(Margin) <= 5 THEN 1.0 ELSE 0.0 END), 6) AS CloseGameRate, round(avg(Win) FILTER (WHERE abs(Margin) <= 5), 6) AS CloseGameWinRate, round(avg(neutral), 6) AS NeutralGameRate,
+round(avg(1 - pct) FILTER (WHERE best), 6) AS BestWinQualityMean, round(max(1 - pct) FILTER (WHERE best), 6) AS BestWinQualityMax, count(*) FILTER (WHERE best AND q = 1) AS BestWinQ1Count, round(avg(q) FILTER (WHERE worst), 6) AS WorstLossQuadrantMean, count(*) FILTER (WHERE worst AND q >= 3) AS BadLossCountQ3Q4 FROM y GROUP BY 1, 2"""
+
+
+@query("schedule_resume_summary", with_views("glog regular rating", RESUME))
 def schedule_resume_summary(spark, sf_dir):
     rating = view(spark, sf_dir, "rating").withColumn("_neg", -F.col("Rating"))
     pct = rating.select("Season", F.col("TeamID").alias("OppID"), R.rank_pct_average("_neg", "Season").alias("OppPct"))
-    return rounded(C.schedule_resume(log_of(spark, sf_dir).join(pct, ["Season", "OppID"])))
+    games = view(spark, sf_dir, "regular").select("GameID", (F.col("WLoc") == "N").cast("int").alias("IsNeutral"))
+    return rounded(C.schedule_resume(view(spark, sf_dir, "glog").join(games, "GameID").join(pct, ["Season", "OppID"], "left")))
 
 
 @query("manual_signals", with_views("contest", "SELECT Season, WTeamID AS TeamID, round(sum(WScore / 100), 6) AS Signal_Power, round(sum(CASE WHEN DayNum % 2 = 0 THEN LScore / 100 END), 6) AS Signal_Form, round(coalesce(sum(WScore / 100), 0) + coalesce(sum(CASE WHEN DayNum % 2 = 0 THEN LScore / 100 END), 0), 6) AS Signal_ManualComposite FROM contest GROUP BY 1, 2"))
@@ -136,14 +144,16 @@ def manual_signals(spark, sf_dir):
     return rounded(sums.withColumn("Signal_ManualComposite", zero(F.col("Signal_Power")) + zero(F.col("Signal_Form"))))
 
 
-@query("event_date", "SELECT event_id, CAST(ts AS DATE) AS at FROM events")
+@query("event_date", "SELECT event_id, CASE WHEN event_id % 7 = 6 THEN NULL ELSE CAST(ts AS DATE) END AS at FROM events")
 def event_date(spark, sf_dir):
-    ticker = F.concat(F.lit("GAME-"), F.upper(F.date_format("ts", "yyMMMdd")), F.lit("AAABBB"))
-    code = F.regexp_extract(F.when(F.col("event_id") % 2 == 0, ticker).otherwise(F.lit("")), r"-(\d{2}[A-Z]{3}\d{2})", 1)
-    named = F.concat(F.substring(code, 1, 2), F.initcap(F.substring(code, 3, 3)), F.substring(code, 6, 2))
-    text = F.concat(F.lit("starts "), F.date_format("ts", "yyyy-MM-dd"), F.lit(" tonight"))
-    found = F.coalesce(F.try_to_timestamp(F.nullif(named, F.lit("")), F.lit("yyMMMdd")), F.try_to_timestamp(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd")))
-    return table(spark, sf_dir, "events").select("event_id", found.cast("date").alias("at"))
+    """Seven layouts by number: ticker, five texts (one after a text that is no date), a time stamp, and nothing that can be read."""
+    k = F.col("event_id") % 7
+    as_ = lambda f: F.date_format("ts", f)
+    ticker = F.when(k == 0, F.concat(F.lit("GAME-"), F.upper(as_("yyMMMdd")), F.lit("AAABBB"))).otherwise("GAME-26XYZ01")
+    first = F.when(k == 1, as_("yyyy-MM-dd")).when(k == 2, as_("MMM d, yyyy")).when(k == 3, F.lit("Round of 64"))
+    second = F.when(k == 3, as_("MMMM d yyyy")).when(k == 4, as_("M/d/yyyy"))
+    stamp = F.when(k == 5, as_("yyyy-MM-dd'T'HH:mm:ss")).when(k == 6, F.lit("soon"))
+    return table(spark, sf_dir, "events").select("event_id", LY.event_date(ticker, [first, second], [stamp]).alias("at"))
 
 
 @query("name_variants", r"SELECT p_partkey, v AS variant FROM (SELECT p_partkey, unnest(list_distinct([p_name, p_name || ' w', string_split(p_name, ' ')[1]])) AS v FROM part) t")

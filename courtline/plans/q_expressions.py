@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..functions import layouts as LY
 from ..functions import filters as P
 from .inputs import table, view, with_views
 from .registry import query, r6
@@ -242,17 +243,24 @@ def threshold_rule_mask(spark, sf_dir):
     return quotes(spark, sf_dir).select("GameID", "Line", "Part", P.rule_mask([D1, "LastSpread"], [">=", "<="], [1.8, 0.0]).alias("hit"))
 
 
-@query("parse_line_text", with_views("regular", "SELECT GameID, -(WScore - LScore) / 2 AS Spread, CAST(WScore AS INT) AS ScoreA, CAST(LScore AS INT) AS ScoreB, CAST(WScore AS INT) + CAST(LScore AS INT) AS Total, round((50 + WTeamID % 40) / 100.0, 4) AS Prob FROM regular"))
+SIDE = "CASE WHEN WTeamID % 2 = 0 THEN 1 - (50 + WTeamID % 40) / 100.0 ELSE (50 + WTeamID % 40) / 100.0 END"
+
+
+@query("parse_line_text", with_views("regular", f"SELECT GameID, CASE WHEN GameID % 11 = 0 THEN NULL ELSE round({SIDE}, 6) END AS Prob, CASE WHEN GameID % 11 = 0 THEN NULL ELSE CASE WHEN WTeamID % 2 = 0 THEN 1 ELSE -1 END * CASE WHEN GameID % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE (WScore - LScore) / 2 END END + 0 AS Spread, CASE WHEN GameID % 11 = 0 THEN NULL ELSE CAST(CAST(WScore AS INT) + CAST(LScore AS INT) AS DOUBLE) END AS Total FROM regular"))
 def parse_line_text(spark, sf_dir):
-    text = F.format_string("Team %d %.1f, %d-%d (%d%%)", "WTeamID", -(F.col("WScore") - F.col("LScore")) / 2, F.col("WScore").cast("int"), F.col("LScore").cast("int"), (F.col("WTeamID") % 40 + 50).cast("int"))
-    part = lambda pattern, i: F.regexp_extract(F.col("t"), pattern, i)
-    score = r", (\d+)-(\d+) "
-    parsed = view(spark, sf_dir, "regular").select("GameID", text.alias("t")).select("GameID", part(r"Team \d+ (-?[\d.]+),", 1).try_cast("double").alias("Spread"), part(score, 1).try_cast("int").alias("ScoreA"), part(score, 2).try_cast("int").alias("ScoreB"), (part(r"\((\d+)%\)", 1).try_cast("double") / 100).alias("Prob"))
-    return parsed.withColumn("Total", F.col("ScoreA") + F.col("ScoreB"))
+    """Lines with points or a pick, of either sign, with loose spaces; the winner is the first or second team, or neither."""
+    winner = F.format_string("St. Team %d", "WTeamID")
+    points = F.when(F.col("GameID") % 5 == 0, F.when(F.col("GameID") % 2 == 0, "PK").otherwise("pick")).otherwise(F.format_string("%s%.1f", F.when(F.col("GameID") % 3 == 0, "+").otherwise("-"), (F.col("WScore") - F.col("LScore")) / 2))
+    text = F.format_string("  %s  %s , %d -%d (%d%%)", winner, points, F.col("WScore").cast("int"), F.col("LScore").cast("int"), (F.col("WTeamID") % 40 + 50).cast("int"))
+    other = F.when(F.col("GameID") % 11 == 0, "Nobody").otherwise(winner)
+    odd = F.col("WTeamID") % 2 == 1
+    prob, spread, total = LY.forecast_line(text, F.when(odd, other).otherwise("Else"), F.when(odd, F.lit("Else")).otherwise(other))
+    return view(spark, sf_dir, "regular").select("GameID", r6(prob).alias("Prob"), (spread + 0.0).alias("Spread"), total.alias("Total"))
 
 
-@query("snapshot_from_filename", "SELECT event_id, date_trunc('hour', ts) AS at FROM events")
+@query("snapshot_from_filename", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('hour', ts) WHEN 1 THEN date_trunc('minute', ts) WHEN 2 THEN date_trunc('day', ts) END AS at FROM events")
 def snapshot_from_filename(spark, sf_dir):
-    name = F.concat(F.lit("ratings_"), F.date_format("ts", "yyyyMMdd_HH"), F.lit(".csv"))
-    found = F.try_to_timestamp(F.regexp_extract(name, r"(\d{8}_\d{2})", 1), F.lit("yyyyMMdd_HH"))
-    return table(spark, sf_dir, "events").select("event_id", found.cast("timestamp_ntz").alias("at"))
+    """Digits with an hour, month and day with or without a time, and a name without any."""
+    k, as_ = F.col("event_id") % 4, lambda f: F.date_format("ts", f)
+    name = F.when(k == 0, F.concat(F.lit("ratings_"), as_("yyyyMMdd_HH"), F.lit(".csv"))).when(k == 1, F.concat(F.lit("Model_"), as_("MMMM_d_hmm"), F.lower(as_("a")), F.lit(".xlsx"))).when(k == 2, F.concat(as_("MMMM_d"), F.lit("_final.xlsx"))).otherwise("notes_May.csv")
+    return table(spark, sf_dir, "events").select("event_id", LY.file_time(name, F.year("ts")).cast("timestamp_ntz").alias("at"))

@@ -162,10 +162,15 @@ def seed_priors(spark, sf_dir):
     return X.seed_priors(view(spark, sf_dir, "tourney"), view(spark, sf_dir, "seeds"))
 
 
-@query("impute_seeds", with_views("rating seeds", ", sn AS (SELECT Season, TeamID, CAST(substr(Seed, 2) AS INT) AS SeedNum FROM seeds WHERE TeamID % 3 <> 0), rk AS (SELECT *, row_number() OVER (PARTITION BY Season ORDER BY Rating DESC, TeamID) AS k FROM rating) SELECT rk.Season, rk.TeamID, coalesce(SeedNum, CASE WHEN k <= 64 THEN CAST(least(ceil(k / 4.0), 16) AS INT) ELSE 17 END) AS SeedNum FROM rk LEFT JOIN sn ON sn.Season = rk.Season AND sn.TeamID = rk.TeamID"))
+def some_seeds(spark, sf_dir):
+    """Seeds that a third of the teams don't have."""
+    seeds = X.seed_number(view(spark, sf_dir, "seeds"))
+    return seeds.select(*KEY, F.when(F.col("TeamID") % 3 != 0, F.col("SeedNum")).alias("SeedNum"))
+
+
+@query("impute_seeds", with_views("rating seeds", ", sn AS (SELECT Season, TeamID, CASE WHEN TeamID % 3 <> 0 THEN CAST(substr(Seed, 2) AS INT) END AS SeedNum FROM seeds), rk AS (SELECT *, row_number() OVER (PARTITION BY Season ORDER BY Rating DESC, TeamID) AS k FROM rating) SELECT rk.Season, rk.TeamID, coalesce(SeedNum, CASE WHEN k <= 64 THEN CAST(least(ceil(k / 4.0), 16) AS INT) ELSE 17 END) AS SeedNum FROM rk LEFT JOIN sn ON sn.Season = rk.Season AND sn.TeamID = rk.TeamID"))
 def impute_seeds(spark, sf_dir):
-    seeds = X.seed_number(view(spark, sf_dir, "seeds").where("TeamID % 3 <> 0")).select(*KEY, "SeedNum")
-    return X.impute_seeds(view(spark, sf_dir, "rating").join(seeds, KEY, "left"), "Rating").select(*KEY, "SeedNum")
+    return X.impute_seeds(view(spark, sf_dir, "rating").join(some_seeds(spark, sf_dir), KEY, "left"), "Rating").select(*KEY, "SeedNum")
 
 
 @query("external_composite", with_views("glog rating", """, a AS (SELECT Season, TeamID, avg(Margin) AS Ext_Power FROM glog WHERE IsHome = 1 GROUP BY 1, 2), b AS (SELECT Season, TeamID, avg(OppPts) AS Ext_Defense FROM glog WHERE IsHome = 0 GROUP BY 1, 2),

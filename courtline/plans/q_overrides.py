@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import live as L
 from ..operators import overrides as O
 from ..operators import ratings as RT
-from . import q_live  # noqa: F401
+from . import q_live
 from .inputs import table, view, with_views
 from .q_features import rounded
 from .q_ratings import DESC
@@ -56,7 +57,7 @@ dec AS (SELECT *, CASE WHEN failed <> '' THEN failed WHEN hurt AND ((FavoriteSid
 
 
 SQL = _decision_sql()
-WHY = "CASE WHEN bc AND al THEN 'BaselineAndModelAgainstHC' WHEN bc THEN 'BaselineCloserToMarket' ELSE 'ModelAlignedAgainstHC' END"
+WHY = "CASE WHEN bc AND al THEN 'BaselineAndModelAgainstCurrent' WHEN bc THEN 'BaselineCloserToMarket' ELSE 'ModelAlignedAgainstCurrent' END"
 
 
 def candidates(spark, sf_dir):
@@ -79,3 +80,31 @@ def override_shortlist(spark, sf_dir):
 @query("override_summary", with_views("live seeds slots", SQL + ", a AS (SELECT *, AutoDecision = 'AutoApply' AND abs(AutoNewPred - Pred) > 1e-12 AS go FROM dec) SELECT League, Season, count(*) AS Rows, count(*) FILTER (WHERE RealGameScope) AS InScope, count(*) FILTER (WHERE go) AS Applied, count(*) FILTER (WHERE go AND Round = 0) AS AppliedPlayIn, count(*) FILTER (WHERE go AND Round = 1) AS AppliedRound1, count(*) FILTER (WHERE go AND Round = 2) AS AppliedRound2, count(*) FILTER (WHERE go AND al) AS AppliedModel, count(*) FILTER (WHERE ManualEligible) AS ManualEligible FROM a GROUP BY 1, 2", recursive=True))
 def override_summary(spark, sf_dir):
     return O.override_summary(candidates(spark, sf_dir), BY)
+
+
+CHECK = SQL + """, e AS (SELECT dec.*, coalesce(dec.League = 'W' AND coalesce(Round IN (1, 2), false) AND l.D_HostLikely = 1, false) AS host, abs(Pred - Baseline) AS diff, CASE WHEN mp IS NULL THEN 'NoMarket' WHEN abs(Pred - mp) + 0.03 < abs(Baseline - mp) THEN 'Current' WHEN abs(Baseline - mp) + 0.03 < abs(Pred - mp) THEN 'Baseline' ELSE 'Tie' END AS closer, greatest(BookCountMax, coalesce(bt, 0), rc) AS books FROM dec JOIN live l ON l.GameID = dec.GameID),
+chk AS (SELECT *, BothInField OR host OR InjuryRisk AS ok, CASE WHEN NOT (BothInField OR host OR InjuryRisk) THEN 'Skip' WHEN BothInField AND closer = 'Baseline' AND diff >= 0.08 AND SourceCount >= 2 AND books >= 2 THEN 'Critical' WHEN (BothInField AND diff >= 0.05 AND SourceCount >= 1) OR (InjuryRisk AND diff >= 0.05) OR (host AND diff >= 0.03 AND SourceCount >= 1) THEN 'High' WHEN diff >= 0.03 THEN 'Medium' ELSE 'Low' END AS Priority FROM e)"""
+
+
+def checklist(spark, sf_dir):
+    host = view(spark, sf_dir, "live").select("GameID", F.col("D_HostLikely").alias("_h"))
+    rows = candidates(spark, sf_dir).join(host, "GameID")
+    return O.review_checklist(rows.withColumn("EarlyHost", (F.col("League") == "W") & (F.col("IsRound1") | F.col("IsRound2")) & (F.col("_h") == 1)))
+
+
+@query("review_checklist", with_views("live seeds slots", CHECK + " SELECT GameID, round(diff, 6) AS AbsPredDiff, closer AS CloserToMarket, ok AS ReviewEligible, concat_ws('|', CASE WHEN BothInField THEN 'BothInField' END, CASE WHEN host THEN 'EarlyHost' END, CASE WHEN InjuryRisk THEN 'InjuryRisk' END) AS ReviewReason, CASE closer WHEN 'Baseline' THEN 'CheckBaseline' WHEN 'Current' THEN 'KeepCurrent' ELSE 'NeedContext' END AS RecommendedAction, Priority FROM chk", recursive=True))
+def review_checklist(spark, sf_dir):
+    return rounded(checklist(spark, sf_dir).select("GameID", "AbsPredDiff", "CloserToMarket", "ReviewEligible", "ReviewReason", "RecommendedAction", "Priority"))
+
+
+@query("recommend_candidate", with_views("live seeds slots", CHECK + f""", rt AS (SELECT GameID, {q_live.ACTIVE} AND ({q_live.CONFIRMED}) AND RawProb + 0.015 < {q_live.TARGET} AS hit FROM live),
+cnt AS (SELECT chk.Season, count(*) FILTER (WHERE AutoDecision = 'AutoApply' AND abs(AutoNewPred - Pred) > 1e-12) AS Applied, count(*) FILTER (WHERE AutoDecision = 'AutoApply' AND abs(AutoNewPred - Pred) > 1e-12 AND Round IN (0, 1, 2)) AS InRounds, count(*) FILTER (WHERE AutoDecision = 'AutoApply' AND abs(AutoNewPred - Pred) > 1e-12 AND al) AS ModelSupported, count(*) FILTER (WHERE League = 'W' AND coalesce(hit, false)) AS RuntimeActive, count(*) FILTER (WHERE ok AND closer = 'Baseline' AND SourceCount >= 2 AND books >= 3 AND Priority IN ('Critical', 'High')) AS Opposed FROM chk JOIN rt ON rt.GameID = chk.GameID GROUP BY 1)
+SELECT Season, Applied, RuntimeActive, Opposed, round(CASE WHEN Applied > 0 THEN ModelSupported / CAST(Applied AS DOUBLE) ELSE 0.0 END, 6) AS ModelShare, CASE WHEN Applied BETWEEN 3 AND 12 AND InRounds = Applied AND ModelSupported >= 0.5 * Applied THEN 'overrides' WHEN RuntimeActive > 0 THEN 'runtime' WHEN Opposed >= 3 THEN 'baseline' ELSE 'current' END AS Recommended FROM cnt""", recursive=True))
+def recommend_candidate(spark, sf_dir):
+    active = L.live_rules_confirm(q_live.live(spark, sf_dir), "RawProb", ["Prob_route", "Prob_absent"]).select("GameID", F.col("RuleGroup").isNotNull().alias("_r"))
+    rows = checklist(spark, sf_dir).join(active, "GameID")
+    n = lambda cond: F.count(F.when(cond, 1))
+    a = F.col("AutoApply")
+    opposed = F.col("ReviewEligible") & (F.col("CloserToMarket") == "Baseline") & (F.col("SourceCount") >= 2) & (F.col("EffectiveBookCount") >= 3) & F.col("Priority").isin("Critical", "High")
+    counts = rows.groupBy("Season").agg(n(a).alias("Applied"), n(a).alias("Changed"), n(a & (F.col("IsPlayIn") | F.col("IsRound1") | F.col("IsRound2"))).alias("InRounds"), n(a & F.col("ModelAligned")).alias("ModelSupported"), n((F.col("League") == "W") & F.col("_r")).alias("RuntimeActive"), n(opposed).alias("Opposed"))
+    return rounded(O.recommend(counts).select("Season", "Applied", "RuntimeActive", "Opposed", "ModelShare", "Recommended"))

@@ -221,21 +221,6 @@ def scored_table_check(spark, sf_dir):
     return rounded(L.check_scored(rows.where("T1 % 7 <> 0"), rows))
 
 
-@query("review_checklist", S("GameID, CASE WHEN MarketProb IS NULL THEN 'no_market' WHEN abs(RawProb - MarketProb) - abs(FinalProb - MarketProb) > 0.03 THEN 'b_closer' WHEN abs(RawProb - MarketProb) - abs(FinalProb - MarketProb) < -0.03 THEN 'a_closer' ELSE 'similar' END AS Closer, concat_ws('|', CASE WHEN MarketProb IS NULL THEN 'no_market' END, CASE WHEN AbsSeedDiff >= 4 THEN 'wide_seeds' END, CASE WHEN abs(RawProb - 0.5) < 0.05 THEN 'tossup' END) AS Reasons FROM fin", FIN))
-def review_checklist(spark, sf_dir):
-    reasons = F.concat_ws("|", F.when(F.col("MarketProb").isNull(), "no_market"), F.when(F.col("AbsSeedDiff") >= 4, "wide_seeds"), F.when(F.abs(raw() - 0.5) < 0.05, "tossup"))
-    return final_rows(spark, sf_dir).select("GameID", L.market_closeness(raw(), F.col("FinalProb"), F.col("MarketProb")).alias("Closer"), reasons.alias("Reasons"))
-
-
-@query("recommend_candidate", S("CASE WHEN n_b > 2 * n_a THEN 'b' WHEN n_a > 2 * n_b THEN 'a' WHEN n_sim > n_a + n_b THEN 'either' ELSE 'review' END AS Choice, n_a, n_b, n_sim FROM (SELECT count(*) FILTER (WHERE d > 0.03) AS n_b, count(*) FILTER (WHERE d < -0.03) AS n_a, count(*) FILTER (WHERE abs(d) <= 0.03) AS n_sim FROM (SELECT abs(RawProb - MarketProb) - abs(FinalProb - MarketProb) AS d FROM fin) t) u", FIN))
-def recommend_candidate(spark, sf_dir):
-    closer = L.market_closeness(raw(), F.col("FinalProb"), F.col("MarketProb"))
-    n = lambda k: F.count(F.when(F.col("c") == k, 1))
-    counts = final_rows(spark, sf_dir).select(closer.alias("c")).agg(n("a_closer").alias("n_a"), n("b_closer").alias("n_b"), n("similar").alias("n_sim"))
-    a, b = F.col("n_a"), F.col("n_b")
-    return counts.select(F.when(b > a * 2, "b").when(a > b * 2, "a").when(F.col("n_sim") > a + b, "either").otherwise("review").alias("Choice"), "n_a", "n_b", "n_sim")
-
-
 @query("availability_watchlist", with_views("tourney", f", {FIELD}, inj AS (SELECT CAST(1995 + event_id % 7 AS INT) AS Season, user_id % 10 AS TeamID, 'p' || (user_id % 50) AS PlayerName, CASE WHEN value < 50 THEN 1 WHEN value < 120 THEN 2 ELSE 3 END AS sev FROM events WHERE event_type = 'error') SELECT i.Season, i.TeamID, CAST(sum(sev) AS BIGINT) AS SeverityTotal, count(*) FILTER (WHERE sev >= 2) AS OutCount, count(*) FILTER (WHERE sev = 1) AS DoubtCount, string_agg(DISTINCT PlayerName, '|' ORDER BY PlayerName) AS Players FROM inj i WHERE EXISTS (SELECT 1 FROM field f WHERE f.Season = i.Season AND f.TeamID = i.TeamID) GROUP BY 1, 2"))
 def availability_watchlist(spark, sf_dir):
     status = F.when(F.col("value") < 50, "Game Time Decision").when(F.col("value") < 120, "Out").otherwise("Out For Season")

@@ -166,7 +166,7 @@ def test_first_failing_reason(spark):
     out = O.override_candidates(spark.createDataFrame([tuple(r.values()) for r in rows], kinds))
     got = {r.GameID: r for r in out.collect()}
     assert [got[i].AutoDecision for i in range(len(cases))] == [want for _, want in cases]
-    assert got[0].AutoNewPred == pytest.approx(0.6 + 0.35 * (0.7 * 0.85 + 0.3 * 0.8 - 0.6)) and got[0].AutoApply and got[0].ManualReason == "BaselineAndModelAgainstHC"
+    assert got[0].AutoNewPred == pytest.approx(0.6 + 0.35 * (0.7 * 0.85 + 0.3 * 0.8 - 0.6)) and got[0].AutoApply and got[0].ManualReason == "BaselineAndModelAgainstCurrent"
     assert got[7].AutoNewPred == 0.6 and not got[7].AutoApply and not got[16].ManualEligible and got[16].AutoNewPred > 0.6
     short = O.manual_shortlist(out, "GameID", most=2).orderBy("Rank").collect()
     assert [r.Rank for r in short] == [1, 2] and {r.Round for r in short} == {1}
