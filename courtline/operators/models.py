@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..sources.files import checkpoint
+from .relational import exact_quantiles
 
 KEY = ["GameID", "Season"]
 
@@ -150,6 +151,6 @@ def binned_margin_curve(rows: DataFrame, margin: str, bins: int = 24, least: int
     Small tables get fewer bins, so that a bin can hold `least` rows.
     """
     bins = max(1, min(bins, rows.where(F.col(margin).isNotNull()).count() // (2 * least)))
-    edges = rows.agg(F.percentile(margin, [i / bins for i in range(1, bins)] or [1.0]).alias("_e"))
+    edges = exact_quantiles(rows, margin, [i / bins for i in range(1, bins)] or [1.0], "_e")
     placed = rows.crossJoin(F.broadcast(edges)).withColumn("Bin", F.size(F.filter("_e", lambda e: e < F.col(margin))))
     return placed.groupBy("Bin").agg(F.avg(margin).alias("Margin"), F.avg("Label").alias("Rate"), F.count("*").alias("n")).where(F.col("n") >= least)

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import checkpoint
+
 #: Rows up to which a lookup table is broadcast, when its size was counted.
 BROADCAST_ROWS = 200_000
 
@@ -159,3 +161,27 @@ def streaks(df: DataFrame, key: str, period: str, value: str) -> DataFrame:
 def keep_last(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row a key, the last in a total order."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
+def exact_quantiles(rows: DataFrame, column: str, probs: list[float], out: str = "q") -> DataFrame:
+    """One row with an array of the column's exact quantiles, interpolated between neighbours; null values don't count.
+
+    Values alone are dealt by range and numbered through counts of the partitions; the two neighbours of each quantile are looked
+    up by number, so no task holds more than its range. Without a value all are null.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    values = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_v"))
+    split = checkpoint(values.repartitionByRange(parts, "_v").sortWithinPartitions("_v").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = split.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))  # a row for each partition
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_total"))
+    asked = total.select(F.inline(F.array(*(F.struct(F.lit(i).alias("_i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("_r")) for i, p in enumerate(probs)))))
+    low = F.floor("_r").cast("long")
+    share = F.col("_r") - low
+    ends = asked.select("_i", F.inline(F.array(F.struct(low.alias("_k"), (F.lit(1.0) - share).alias("_w")), F.struct((low + 1).alias("_k"), share.alias("_w"))))).where("_w > 0")  # two rows for each quantile
+    numbered = split.join(F.broadcast(starts), part == F.col("_p")).select("_v", (F.col("_s") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("_k"))
+    found = numbered.join(F.broadcast(ends), "_k").groupBy("_i").agg(F.sum(F.col("_v") * F.col("_w")).alias("_q"))
+    pick = lambda i: F.max(F.when(F.col("_i") == i, F.col("_q")))
+    return found.agg(F.array(*(pick(i) for i in range(len(probs)))).alias(out))

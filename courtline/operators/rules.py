@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.filters import rule_mask
+from ..sources.files import checkpoint
+
+#: Parameter sets of one grid search.
+MOST_SETS = 20_000
 
 
 def both_ways(p: Column, high: Column, low: Column, floor: Column | float) -> Column:
@@ -110,9 +114,11 @@ def apply_postrules(p: Column) -> Column:
 def grid_search(scored: DataFrame, grid: DataFrame, key: str, rule: Column, base: str = "RawProb", label: str = "Label", min_rows: int = 1) -> DataFrame:
     """Mean seasonal Brier score of every parameter set that changes enough rows, and the gain over the base.
 
-    The grid is a small table (thousands of rows at most) by construction; each scored row
-    meets it once and partial sums leave the scan, a row for each parameter set and season.
+    The grid is broadcast, and counted first; each scored row meets it once and partial sums leave the
+    scan, a row for each parameter set and season.
     """
+    if (sets := grid.count()) > MOST_SETS:
+        raise ValueError(f"{sets} parameter sets; search at most {MOST_SETS} at once")
     tried = scored.crossJoin(F.broadcast(grid)).withColumn("_p", rule)
     loss = lambda c: F.pow(F.col(c) - F.col(label), 2)
     seasons = tried.groupBy(key, "Season").agg(F.avg(loss("_p")).alias("b"), F.avg(loss(base)).alias("b0"), F.sum((F.abs(F.col("_p") - F.col(base)) > 1e-12).cast("int")).alias("n"))
@@ -148,6 +154,8 @@ def mine_rules(train: DataFrame, rules: list[Rule], min_support: float = 0.02, m
     Returns rule, conditions, support, target_mean, edge, direction.
     """
     rows = []
+    if len(rules) > chunk:  # read once for each chunk
+        train = checkpoint(train.select("Label", *sorted({c for r in rules for c in r.columns if c in train.columns})))
     for i in range(0, len(rules), chunk):
         part = rules[i : i + chunk]
         counts = train.agg(F.count("*").alias("n"), F.avg("Label").alias("m"), *(c for k, r in enumerate(part) for c in (F.sum(r.mask().cast("long")).alias(f"s{k}"), F.avg(F.when(r.mask(), F.col("Label"))).alias(f"t{k}"))))

@@ -87,14 +87,31 @@ def bracket_field(spark, sf_dir):
     return R.bracket_reach(view(spark, sf_dir, "slots"), seeds, win, by), win
 
 
-@query("bracket_reach")
+def _reach_sql(rounds: int = 6) -> str:
+    """One view a round: a team's chance to come out of a slot, by the chances of whom it can meet there."""
+    win = "SELECT a.League, a.Season, a.TeamID, b.TeamID AS OppID, 1 / (1 + exp(-CAST(u.Wins - v.Wins AS DOUBLE) / 8)) AS p FROM seeds a JOIN seeds b ON b.League = a.League AND b.Season = a.Season AND b.TeamID <> a.TeamID JOIN wins u ON u.League = a.League AND u.Season = a.Season AND u.TeamID = a.TeamID JOIN wins v ON v.League = b.League AND v.Season = b.Season AND v.TeamID = b.TeamID"
+    parts = [f"win AS ({win})", "m0 AS (SELECT League, Season, Seed AS Node, TeamID, CAST(1 AS DOUBLE) AS q FROM seeds)"]
+    for r in range(1, rounds + 1):
+        m = f"m{r - 1}"
+        sides = f"SELECT a.League, a.Season, Slot, a.TeamID, a.q, o.TeamID AS OppID, o.q AS oq FROM slots JOIN {m} a ON a.Node IN (StrongSeed, WeakSeed) LEFT JOIN {m} o ON o.League = a.League AND o.Season = a.Season AND o.Node = CASE WHEN a.Node = StrongSeed THEN WeakSeed ELSE StrongSeed END WHERE Slot LIKE 'R{r}%'"
+        parts.append(f"m{r} AS (SELECT x.League, x.Season, Slot AS Node, x.TeamID, sum(q * CASE WHEN x.OppID IS NULL THEN 1 ELSE oq * p END) AS q FROM ({sides}) x LEFT JOIN win w ON w.League = x.League AND w.Season = x.Season AND w.TeamID = x.TeamID AND w.OppID = x.OppID GROUP BY 1, 2, 3, 4)")
+    every = " UNION ALL ".join(f"SELECT League, Season, Node AS Slot, TeamID, q, {r} AS Round FROM m{r}" for r in range(1, rounds + 1))
+    return ", " + ", ".join(parts) + f", reach AS ({every})"
+
+
+REACH = _reach_sql()
+
+
+@query("bracket_reach", with_views("slots seeds wins", REACH + " SELECT League, Season, Slot, TeamID, round(q, 6) AS q, Round FROM reach"))
 def bracket_reach(spark, sf_dir):
-    """Rows only in SQL: the test checks that each slot's probabilities add up to 1."""
+    """Every team's chance to come out of every slot; a test checks that each slot's add up to 1."""
     reach, _ = bracket_field(spark, sf_dir)
     return rounded(reach)
 
 
-@query("bracket_expected_brier")
+@query("bracket_expected_brier", with_views("slots seeds wins", REACH + """, mass AS (SELECT League, Season, Slot, TeamID, q, Round FROM reach UNION ALL SELECT League, Season, Node, TeamID, q, 0 FROM m0),
+met AS (SELECT a.League, a.Season, a.Round + 1 AS Round, a.q * b.q AS w, p FROM slots s JOIN mass a ON a.Slot = StrongSeed JOIN mass b ON b.Slot = WeakSeed AND b.League = a.League AND b.Season = a.Season JOIN win ON win.League = a.League AND win.Season = a.Season AND win.TeamID = a.TeamID AND win.OppID = b.TeamID)
+SELECT League, Season, Round, round(sum(w), 6) AS Games, round(sum(w * p * (1 - p)) / sum(w), 6) AS ExpectedBrier FROM met GROUP BY 1, 2, 3"""))
 def bracket_expected_brier(spark, sf_dir):
     """Expected Brier score of the pair probabilities in every round, weighted by the chance of the meeting."""
     reach, win = bracket_field(spark, sf_dir)

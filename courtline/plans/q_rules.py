@@ -215,10 +215,20 @@ def scored_table_update(spark, sf_dir):
     return rounded(L.update_scored(rows.select("ID", "Pred"), changes))
 
 
-@query("scored_table_check", with_views("tourney wins", PAIRS + ", sub AS (SELECT * FROM pairs WHERE T1 % 7 <> 0) SELECT count(*) AS n_rows, count(DISTINCT ID) AS n_ids, count(*) FILTER (WHERE Pred IS NULL) AS n_null, count(*) FILTER (WHERE Pred < 0 OR Pred > 1) AS n_out_of_range, count(*) FILTER (WHERE Pred <= 0.001) AS n_near_0, count(*) FILTER (WHERE Pred >= 0.999) AS n_near_1, count(*) FILTER (WHERE abs(Pred - 0.5) < 1e-6) AS n_half, count(DISTINCT round(Pred, 6)) AS n_values, round(avg(Pred), 6) AS mean, round(stddev_samp(Pred), 6) AS sd, round(quantile_cont(Pred, 0.05), 6) AS q05, round(quantile_cont(Pred, 0.5), 6) AS q50, round(quantile_cont(Pred, 0.95), 6) AS q95, (SELECT count(*) FROM pairs WHERE T1 % 7 = 0) AS n_missing, CAST(0 AS BIGINT) AS n_extra FROM sub"))
+CHECKED = PAIRS + """, sub AS (SELECT Season, T1, T2, Pred FROM pairs UNION ALL SELECT Season, T1, T2, NULL FROM pairs WHERE T1 % 11 = 0 UNION ALL SELECT Season - 100, T1, T2, 1.5 - Pred FROM pairs WHERE T2 % 13 = 0),
+due AS (SELECT Season, T1, T2 FROM pairs UNION ALL SELECT Season + 100, T1, T2 FROM pairs WHERE T1 % 7 = 0), ids AS (SELECT Season, T1, T2, sum(o) AS o, max(d) AS d FROM (SELECT Season, T1, T2, 1 AS o, 0 AS d FROM sub UNION ALL SELECT Season, T1, T2, 0, 1 FROM due) t GROUP BY 1, 2, 3)
+SELECT count(*) AS n_rows, (SELECT count(*) FROM ids WHERE o > 0) AS n_ids, (SELECT count(*) FROM ids WHERE o > 1) AS n_repeated_ids, count(*) FILTER (WHERE Pred IS NULL) AS n_null, count(*) FILTER (WHERE Pred < 0 OR Pred > 1) AS n_out_of_range, count(*) FILTER (WHERE Pred <= 0.001) AS n_near_0, count(*) FILTER (WHERE Pred >= 0.999) AS n_near_1, count(*) FILTER (WHERE abs(Pred - 0.5) < 1e-6) AS n_half, count(DISTINCT round(Pred, 6)) AS n_values,
+round(avg(Pred), 6) AS mean, round(stddev_samp(Pred), 6) AS sd, round(quantile_cont(Pred, 0.05), 6) AS q05, round(quantile_cont(Pred, 0.5), 6) AS q50, round(quantile_cont(Pred, 0.95), 6) AS q95, (SELECT count(*) FROM ids WHERE o = 0) AS n_missing, (SELECT count(*) FROM ids WHERE d = 0) AS n_extra FROM sub"""
+
+
+@query("scored_table_check", with_views("tourney wins", CHECKED.replace("count(DISTINCT round(Pred, 6))", "count(DISTINCT round(Pred,6))")))
 def scored_table_check(spark, sf_dir):
-    rows = pairs(spark, sf_dir)
-    return rounded(L.check_scored(rows.where("T1 % 7 <> 0"), rows))
+    """All pairs, with rows that repeat an id, have no value, are not expected or out of range; and ids that are missing."""
+    rows = pairs(spark, sf_dir).drop("ID")
+    again = rows.where("T1 % 11 = 0").withColumn("Pred", F.lit(None).cast("double"))
+    strange = rows.where("T2 % 13 = 0").withColumns({"Season": F.col("Season") - 100, "Pred": F.lit(1.5) - F.col("Pred")})
+    due = rows.unionByName(rows.where("T1 % 7 = 0").withColumn("Season", F.col("Season") + 100))
+    return rounded(L.check_scored(rows.unionByName(again).unionByName(strange), due, ["Season", "T1", "T2"]))
 
 
 @query("availability_watchlist", with_views("tourney", f", {FIELD}, inj AS (SELECT CAST(1995 + event_id % 7 AS INT) AS Season, user_id % 10 AS TeamID, 'p' || (user_id % 50) AS PlayerName, CASE WHEN value < 50 THEN 1 WHEN value < 120 THEN 2 ELSE 3 END AS sev FROM events WHERE event_type = 'error') SELECT i.Season, i.TeamID, CAST(sum(sev) AS BIGINT) AS SeverityTotal, count(*) FILTER (WHERE sev >= 2) AS OutCount, count(*) FILTER (WHERE sev = 1) AS DoubtCount, string_agg(DISTINCT PlayerName, '|' ORDER BY PlayerName) AS Players FROM inj i WHERE EXISTS (SELECT 1 FROM field f WHERE f.Season = i.Season AND f.TeamID = i.TeamID) GROUP BY 1, 2"))
@@ -228,9 +238,10 @@ def availability_watchlist(spark, sf_dir):
     return L.availability_watchlist(reports, field(spark, sf_dir))
 
 
-@query("dataset_fingerprint")
+@query("dataset_fingerprint", S("count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS a, CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS b FROM (SELECT sha256(concat_ws(chr(31), CAST(GameID AS VARCHAR), CAST(Label AS VARCHAR), CAST(T1 AS VARCHAR), CAST(T2 AS VARCHAR))) AS h FROM scored) t"))
 def dataset_fingerprint(spark, sf_dir):
-    return L.fingerprint(scored(spark, sf_dir), "GameID", "Label", "T1", "T2")
+    out = L.fingerprint(scored(spark, sf_dir), "GameID", "Label", "T1", "T2")
+    return out.select("n_rows", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
 
 
 @query("input_completeness", with_views("contest", "SELECT League, min(Season) AS FirstSeason, max(Season) AS LastSeason, count(*) AS n, count(DISTINCT Season) AS Seasons FROM contest GROUP BY 1"))
