@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,21 +79,37 @@ def find_parts(text: str, hexes: bool = True, bare: bool = True) -> list[tuple[i
     return sorted(parts)
 
 
+def _reach(spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """For each prefix of spans in order of their starts: the furthest end, its start, and the furthest end of the others."""
+    out, far, at, other = [], -1, -1, -1
+    for s, e in spans:
+        if e > far:
+            far, at, other = e, s, far
+        else:
+            other = max(other, e)
+        out.append((far, at, other))
+    return out
+
+
 def link_parts(parts: list[tuple[int, int, int]], scope: int) -> list[tuple[int, int, int]]:
-    """The weak parts that have their complement within `scope` characters."""
+    """The weak parts that have their complement within `scope` characters.
+
+    A span lies near if it starts no later than `scope` after the part's end and ends no earlier than `scope` before its start: of those
+    that start in time the one that reaches furthest decides, so each part costs one search.
+    """
     if not any(k > 2 for _, k, _ in parts):
         return []
     spans = {k: [(s, e) for s, kind, e in parts if kind == k] for k in range(len(KINDS))}
     starts = {k: [s for s, _ in v] for k, v in spans.items()}
-    longest = {k: max((e - s for s, e in v), default=0) for k, v in spans.items()}
+    reach = {k: _reach(v) for k, v in spans.items()}
 
     def near(start: int, end: int, kinds: tuple[int, ...]) -> bool:
         for k in kinds:
-            i = bisect_left(starts[k], start - scope - longest[k])
-            while i < len(starts[k]) and starts[k][i] <= end + scope:
-                if spans[k][i][1] >= start - scope and (k < 3 or spans[k][i] != (start, end)):
+            i = bisect_right(starts[k], end + scope)
+            if i:
+                far, at, other = reach[k][i - 1]
+                if (other if k > 2 and (at, far) == (start, end) else far) >= start - scope:
                     return True
-                i += 1
         return False
 
     wanted = {3: ((0, 2, 4),), 4: ((1, 3, 5),), 5: ((1, 3), (0, 2))}
@@ -128,7 +144,10 @@ def _scan(scope: int):
 
 
 def secret_scan(docs: DataFrame, scope: int = 400) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), n_linked."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, comma-joined), n_linked for every row of docs.
+
+    Only doc_id and text are read; a null text is empty, repeated rows are scanned alike, an empty table gives no rows.
+    """
     return docs.select("doc_id", "text").mapInArrow(_scan(scope), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_linked long")
 
 
