@@ -56,7 +56,7 @@ VIEWS = {
         SELECT GameID, League, Season, DayNum, LTeamID, WTeamID, LScore, WScore, CAST(0 AS DOUBLE), CASE WHEN WLoc = 'A' THEN 1 ELSE 0 END, LScore - WScore FROM regular""",
     "lab": "SELECT GameID, League, Season, DayNum, least(WTeamID, LTeamID) AS T1, greatest(WTeamID, LTeamID) AS T2, CASE WHEN WTeamID < LTeamID THEN 1 ELSE 0 END AS Label, CASE WHEN WTeamID < LTeamID THEN WScore - LScore ELSE LScore - WScore END AS MarginLabel FROM tourney",
     "mk": """
-        SELECT Season, least(T1, T2) AS T1, greatest(T1, T2) AS T2, avg(CASE WHEN T1 > T2 THEN 1 - q ELSE q END) AS MarketProb, avg(CASE WHEN T1 > T2 THEN -LastSpread ELSE LastSpread END) AS LastSpread
+        SELECT Season, least(T1, T2) AS T1, greatest(T1, T2) AS T2, round(avg(CASE WHEN T1 > T2 THEN 1 - q ELSE q END), 9) AS MarketProb, round(avg(CASE WHEN T1 > T2 THEN -LastSpread ELSE LastSpread END), 9) AS LastSpread
         FROM (SELECT *, CASE WHEN Book NOT LIKE 'R%' THEN (1 / Team1DecimalOdds) / (1 / Team1DecimalOdds + 1 / Team2DecimalOdds) END AS q FROM quotes) t GROUP BY 1, 2, 3""",
     "seednum": "SELECT League, Season, TeamID, CAST(substr(Seed, 2) AS INT) AS SeedNum FROM seeds",
     "scored": """

@@ -35,7 +35,7 @@ def _rule(name: str, sql: str, rule):
 
 
 _rule("rule_seed_floor", "CASE WHEN T1_SeedNum <= 3 AND T2_SeedNum >= 8 THEN greatest(RawProb, 0.7) WHEN T2_SeedNum <= 3 AND T1_SeedNum >= 8 THEN least(RawProb, 0.3) ELSE RawProb END", lambda: P.seed_floor(raw(), 3, 8, 0.7))
-_rule("rule_market_floor", "CASE WHEN AbsSeedDiff >= 2 AND MarketProb >= 0.55 THEN greatest(RawProb, 0.8) WHEN AbsSeedDiff >= 2 AND MarketProb <= 1 - 0.55 THEN least(RawProb, 0.2) ELSE RawProb END", lambda: P.market_floor(raw(), 0.55, 0.8, gap=2))
+_rule("rule_market_floor", "CASE WHEN AbsSeedDiff >= 2 AND MarketProb >= 0.55 THEN greatest(RawProb, 0.8) WHEN AbsSeedDiff >= 2 AND MarketProb <= 1 - CAST(0.55 AS DOUBLE) THEN least(RawProb, 0.2) ELSE RawProb END", lambda: P.market_floor(raw(), 0.55, 0.8, gap=2))
 _rule("rule_spread_floor", "CASE WHEN LastSpread <= -2 THEN greatest(RawProb, 0.75) WHEN LastSpread >= 2 THEN least(RawProb, 0.25) ELSE RawProb END", lambda: P.spread_floor(raw(), 2.0, 0.75))
 WEIGHT = "CASE WHEN coalesce(AbsSeedDiff, 99) >= 6 THEN 0.1 WHEN AbsSeedDiff <= 2 THEN 0.6 ELSE 0.3 END"
 _rule("adaptive_market_blend", f"CASE WHEN MarketProb IS NOT NULL THEN (1 - {WEIGHT}) * RawProb + {WEIGHT} * MarketProb ELSE RawProb END", lambda: P.market_blend(raw(), P.adaptive_weight(0.3, 2, 0.6, 6, 0.1)))
@@ -65,7 +65,8 @@ def apply_postprocess(spark, sf_dir):
 
 
 @query("rule_grid_search", with_views("scored", """, grid AS (SELECT a.range AS t, b.range AS f, a.range * 10 + b.range AS id FROM range(5) a CROSS JOIN range(5) b),
-tried AS (SELECT id, Season, Label, RawProb, CASE WHEN MarketProb >= 0.5 + 0.02 * t THEN greatest(RawProb, 0.55 + 0.05 * f) WHEN MarketProb <= 1 - (0.5 + 0.02 * t) THEN least(RawProb, 1 - (0.55 + 0.05 * f)) ELSE RawProb END AS p FROM scored CROSS JOIN grid),
+up AS (SELECT *, CAST(0.5 AS DOUBLE) + CAST(0.02 AS DOUBLE) * t AS at FROM scored CROSS JOIN grid), hi AS (SELECT *, CASE WHEN MarketProb >= at THEN greatest(RawProb, 0.55 + 0.05 * f) ELSE RawProb END AS h FROM up),
+tried AS (SELECT id, Season, Label, RawProb, CASE WHEN MarketProb <= 1 - at THEN least(h, 1 - (0.55 + 0.05 * f)) ELSE h END AS p FROM hi),
 s AS (SELECT id, Season, avg((p - Label) ** 2) AS b, avg((RawProb - Label) ** 2) AS b0, sum(CASE WHEN abs(p - RawProb) > 1e-12 THEN 1 ELSE 0 END) AS n FROM tried GROUP BY 1, 2)
 SELECT id, round(avg(b), 6) AS Brier, round(avg(b0) - avg(b), 6) AS Gain, CAST(sum(n) AS BIGINT) AS Changed FROM s GROUP BY 1 HAVING sum(n) >= 5"""))
 def rule_grid_search(spark, sf_dir):
