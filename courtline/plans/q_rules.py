@@ -65,8 +65,8 @@ def apply_postprocess(spark, sf_dir):
 
 
 @query("rule_grid_search", with_views("scored", """, grid AS (SELECT a.range AS t, b.range AS f, a.range * 10 + b.range AS id FROM range(5) a CROSS JOIN range(5) b),
-up AS (SELECT *, CAST(0.5 AS DOUBLE) + CAST(0.02 AS DOUBLE) * t AS at FROM scored CROSS JOIN grid), hi AS (SELECT *, CASE WHEN MarketProb >= at THEN greatest(RawProb, 0.55 + 0.05 * f) ELSE RawProb END AS h FROM up),
-tried AS (SELECT id, Season, Label, RawProb, CASE WHEN MarketProb <= 1 - at THEN least(h, 1 - (0.55 + 0.05 * f)) ELSE h END AS p FROM hi),
+up AS (SELECT *, CAST(0.5 AS DOUBLE) + CAST(0.02 AS DOUBLE) * t AS lvl FROM scored CROSS JOIN grid), hi AS (SELECT *, CASE WHEN MarketProb >= lvl THEN greatest(RawProb, 0.55 + 0.05 * f) ELSE RawProb END AS h FROM up),
+tried AS (SELECT id, Season, Label, RawProb, CASE WHEN MarketProb <= 1 - lvl THEN least(h, 1 - (0.55 + 0.05 * f)) ELSE h END AS p FROM hi),
 s AS (SELECT id, Season, avg((p - Label) ** 2) AS b, avg((RawProb - Label) ** 2) AS b0, sum(CASE WHEN abs(p - RawProb) > 1e-12 THEN 1 ELSE 0 END) AS n FROM tried GROUP BY 1, 2)
 SELECT id, round(avg(b), 6) AS Brier, round(avg(b0) - avg(b), 6) AS Gain, CAST(sum(n) AS BIGINT) AS Changed FROM s GROUP BY 1 HAVING sum(n) >= 5"""))
 def rule_grid_search(spark, sf_dir):
