@@ -95,7 +95,7 @@ def scan_external_sources(spark: SparkSession, root: str, prefix: str, include:
         return spark.createDataFrame([], ", ".join(f"`{k}` {kind}" for k, (kind, _, _) in columns.items()) + ", _Source string, _Rank int")
     rows = drop_missing_keys(reduce(DataFrame.unionByName, parts), keys)
     best = rows.groupBy(*keys).agg(F.min("_Rank").alias("_Rank"))
-    return rows.join(best, [*keys, "_Rank"], "left_semi")
+    return rows.join(best, [*keys, "_Rank"], "left_semi").select(*rows.columns)
 
 
 def scan_jsonl_documents(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
