@@ -20,7 +20,11 @@ def elo_ratings(spark, sf_dir):
     return rounded(R.elo_ratings(view(spark, sf_dir, "regular")))
 
 
-def _elo_sql(sets: list[tuple[str, float, float]], days: int = 7) -> str:
+#: Days of a registered period; the operators' default is 7, which makes some 330 steps of about half a second on these tables.
+DAYS = 28
+
+
+def _elo_sql(sets: list[tuple[str, float, float]], days: int = DAYS) -> str:
     """Ratings of every parameter set and period by recursion over the periods; each step reads the games of its period."""
     rows = ", ".join(f"('{n}', CAST({k} AS DOUBLE), CAST({c} AS DOUBLE))" for n, k, c in sets)
     return f""", g AS (SELECT League, Season, CAST(floor(DayNum / {days}.0) AS INT) AS p, WTeamID, LTeamID, ln(abs(WScore - LScore) + 1) AS g FROM regular),
@@ -40,7 +44,7 @@ elo AS (SELECT st.Set, p.League, p.Season, p.TeamID, st.Elo FROM played p JOIN (
 
 @query("elo_ratings_by_period", with_views("regular", _elo_sql([("only", 20.0, 0.75)]) + " SELECT League, Season, TeamID, round(Elo, 6) AS Elo FROM elo", recursive=True))
 def elo_ratings_by_period(spark, sf_dir):
-    return rounded(R.elo_by_period(view(spark, sf_dir, "regular")))
+    return rounded(R.elo_by_period(view(spark, sf_dir, "regular"), DAYS))
 
 
 GRID = [(f"k{k:g}_c{c:g}", float(k), c) for k in (10, 20, 36) for c in (0.55, 0.75, 0.92)]
@@ -50,7 +54,7 @@ GRID = [(f"k{k:g}_c{c:g}", float(k), c) for k in (10, 20, 36) for c in (0.55, 0.
 score AS (SELECT Set, League, avg(b) AS Brier, count(*) AS Seasons FROM tried GROUP BY 1, 2) SELECT Set, League, round(Brier, 6) AS Brier, Seasons, CASE WHEN row_number() OVER (PARTITION BY League ORDER BY round(Brier, 9), Set) = 1 THEN 1 ELSE 0 END AS Best FROM score""", recursive=True))
 def elo_param_sweep(spark, sf_dir):
     sets = spark.createDataFrame([(n, k, 1500.0, c) for n, k, c in GRID], R.SETS)
-    return rounded(R.elo_param_sweep(view(spark, sf_dir, "regular"), view(spark, sf_dir, "lab"), sets))
+    return rounded(R.elo_param_sweep(view(spark, sf_dir, "regular"), view(spark, sf_dir, "lab"), sets, DAYS))
 
 
 @query("pagerank_strength", with_views("regular glog", """, e AS (SELECT Season, LTeamID AS src, WTeamID AS dst, sum(1 + least(greatest(WScore - LScore, 0), 30) / 20 + CASE WLoc WHEN 'A' THEN 0.15 WHEN 'N' THEN 0.05 ELSE 0.0 END) AS w FROM regular GROUP BY 1, 2, 3), sh AS (SELECT *, w / sum(w) OVER (PARTITION BY Season, src) AS share FROM e),
