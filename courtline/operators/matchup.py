@@ -119,7 +119,8 @@ def field_kernel_weights(rows: DataFrame, profile: DataFrame, names: list[str],
     pick = lambda c, v: F.max(F.when(F.col("Feature") == c, F.col(v)))
     wide = profile.groupBy(F.col("Season").alias("TargetSeason")).agg(*(pick(c, v).alias(f"_{v[0]}{i}") for i, c in enumerate(names) for v in ("Mean", "Scale")))
     tried = rows.join(F.broadcast(wide), F.col("Season") < F.col("TargetSeason"))  # a row for each season
-    z = {f"_z{i}": F.greatest(F.lit(-clip), F.least(F.lit(clip), (F.abs(F.col(f"D_{c}")) - F.col(f"_M{i}")) / F.greatest(F.col(f"_S{i}"), F.lit(0.15)))) for i, c in enumerate(names)}
+    off = lambda i, c: (F.abs(F.col(f"D_{c}")) - F.col(f"_M{i}")) / F.greatest(F.col(f"_S{i}"), F.lit(0.15))
+    z = {f"_z{i}": F.when(off(i, c).isNotNull(), F.greatest(F.lit(-clip), F.least(F.lit(clip), off(i, c)))) for i, c in enumerate(names)}  # bounds alone would pass over a null
     tried = tried.withColumns(z)
     usable = tried.groupBy("TargetSeason").agg(*((F.count(k) >= least_rows).alias(f"_u{k[2:]}") for k in z))
     marked = tried.join(F.broadcast(usable), "TargetSeason")  # a row for each season
