@@ -212,7 +212,7 @@ def pair_template(spark, sf_dir):
 
 @query("field_profile", with_views("tourney glog", TF + f", {FIELD}, d AS (SELECT x.Season, a.WinRate - b.WinRate AS w, a.AvgMargin - b.AvgMargin AS m FROM field x JOIN field y ON x.Season = y.Season AND x.TeamID < y.TeamID LEFT JOIN tf a ON a.Season = x.Season AND a.TeamID = x.TeamID LEFT JOIN tf b ON b.Season = y.Season AND b.TeamID = y.TeamID) SELECT Season, 'WinRate' AS Feature, round(avg(w), 6) AS FieldMean, round(CASE WHEN stddev_samp(w) IS NOT NULL THEN greatest(stddev_samp(w), 0.1) END, 6) AS FieldStd FROM d GROUP BY 1 UNION ALL SELECT Season, 'AvgMargin', round(avg(m), 6), round(CASE WHEN stddev_samp(m) IS NOT NULL THEN greatest(stddev_samp(m), 0.1) END, 6) FROM d GROUP BY 1"))
 def field_profile(spark, sf_dir):
-    return rounded(U.field_profile(R.join_pairs(field(spark, sf_dir)), team_rows(spark, sf_dir).select("Season", "TeamID", "WinRate", "AvgMargin")))
+    return rounded(U.field_profile(field(spark, sf_dir), team_rows(spark, sf_dir).select("Season", "TeamID", "WinRate", "AvgMargin")))
 
 
 def _text_sql() -> str:

@@ -155,3 +155,31 @@ def test_vectors_are_pooled_whole(spark):
     assert found[2].D_Mean3 == pytest.approx(out[3].Mean3) and found[2].Mean_Mean3 == pytest.approx(np.array(out[3].Mean3) / 2) and found[2].DocCountMin == 0
     assert found[1].AbsD_Mean3 == pytest.approx(np.abs(np.array(out[1].Mean3) - out[2].Mean3)) and found[1].D_DocCount == 5 and set(names) <= set(both.columns)
     assert both.where(F.col("T1") == 1).count() == 1
+
+
+def test_field_profiles_count_no_pairs(spark):
+    from courtline.operators import matchup as U
+
+    rng = random.Random(4)
+    field = [(s, t) for s, n in ((2001, 30), (2002, 2), (2003, 1), (2004, 9)) for t in range(n)] + [(2001, None), (None, 3), (2001, 5)]
+    feats = [(s, t, rng.choice([None, rng.gauss(500, 2)]), float(rng.randint(0, 3)) if s != 2004 else None) for s in (2001, 2002, 2003, 2004) for t in range(30) if t != 7]
+    f, x = spark.createDataFrame(field, "Season int, TeamID long"), spark.createDataFrame(feats, "Season int, TeamID long, a double, b double")
+    pairs = U.R.join_pairs(f)
+    plain = U.matchup_diffs(U.R.join_twice_prefixed(pairs, x), ["a", "b"]).groupBy("Season").agg(*(g(f"D_{c}").alias(f"{g.__name__}_{c}") for c in "ab" for g in (F.avg, F.stddev_samp)))
+    want = {(r.Season, c): (r[f"avg_{c}"], None if r[f"stddev_samp_{c}"] is None else max(r[f"stddev_samp_{c}"], 0.1)) for r in plain.collect() for c in "ab"}
+    got = {(r.Season, r.Feature): (r.FieldMean, r.FieldStd) for r in U.field_profile(f, x).collect()}
+    assert got.keys() == want.keys() and all(g == pytest.approx(want[k]) for k, g in got.items())
+    key = lambda r: (r.Season, r.Feature)
+    own, old = ({key(r): (r.Mean, r.Scale) for r in q.collect()} for q in (U.field_kernel_profile(f, x), U.kernel_profile(pairs, x)))
+    assert own.keys() == old.keys() and all(v == pytest.approx(old[k]) for k, v in own.items())
+
+
+def test_field_profile_of_many_teams(spark):
+    """200,000 teams make 20 billion pairs; ids as values have mean differences of a third of their number."""
+    from courtline.operators import matchup as U
+
+    n = 200_000
+    field = spark.range(n).select(F.lit(2000).alias("Season"), F.col("id").alias("TeamID"))
+    row = U.field_profile(field, field.withColumn("x", F.col("TeamID").cast("double"))).collect()[0]
+    assert row.FieldMean == pytest.approx(-(n + 1) / 3) and row.FieldStd == pytest.approx((n * n / 18) ** 0.5, rel=1e-4)
+    assert U.field_kernel_profile(field, field.withColumn("x", F.col("TeamID").cast("double"))).collect()[0].Mean == pytest.approx((n + 1) / 3)
