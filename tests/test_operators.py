@@ -1,6 +1,7 @@
 """Hand-made cases of nulls, ties, swaps and sequences."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,21 @@ def test_market_residual_without_active_seasons(spark):
 
     out = FU.market_residual_model(_forward_rows(spark)[0], ["D_x"])
     assert out.count() == 0 and "Prob_residual" in out.columns
+
+
+def test_pairs_are_dealt_by_blocks_and_not_shuffled(spark):
+    rng = random.Random(11)
+    rows = [(s, t, rng.choice([None, t * 0.5])) for s, n in ((2001, 23), (2002, 1), (2003, 8), (2004, 9)) for t in rng.sample(range(-50, 50), n)]
+    known = [(s, a, b, a * 1000.0 + b) for s, a, _ in rows for q, b, _ in rows if s == q and a < b and rng.random() < 0.2] + [(1999, 1, 2, 0.0), (2001, 777, 778, 0.0)]
+    df = spark.createDataFrame([*rows, (2001, None, 1.0), (None, 4, 1.0)], "Season int, TeamID long, x double")
+    at = {(s, a, b): v for s, a, b, v in known}
+    want = sorted((s, a, b, str(x), str(y), str(at.get((s, a, b)))) for s, a, x in rows for q, b, y in rows if s == q and a < b)
+    out = K.pair_rows(df, known=spark.createDataFrame(known, "Season int, T1 long, T2 long, v double"), block=8)
+    assert sorted((r.Season, r.T1, r.T2, str(r.T1_x), str(r.T2_x), str(r._known and r._known.v)) for r in out.collect()) == want
+    plain = K.join_pairs(df.unionByName(df)).where("Season > 0")
+    assert sorted(map(tuple, plain.collect())) == [w[:3] for w in want]
+    big = K.pair_rows(spark.range(20_000).select(F.lit(2001).alias("Season"), F.col("id").alias("TeamID"))).withColumn("ID", F.col("T1") * 100_000 + F.col("T2"))
+    tasks = big.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.sum(F.col("T2") - F.col("T1")).alias("d")).collect()
+    n = 20_000
+    assert sum(t.n for t in tasks) == n * (n - 1) // 2 and sum(t.d for t in tasks) == (n**3 - n) // 6  # each pair once
+    assert len(tasks) > 8 and max(t.n for t in tasks) < n * n / 8  # no task has a whole season
