@@ -250,3 +250,39 @@ def test_pairs_are_dealt_by_blocks_and_not_shuffled(spark):
     n = 20_000
     assert sum(t.n for t in tasks) == n * (n - 1) // 2 and sum(t.d for t in tasks) == (n**3 - n) // 6  # each pair once
     assert len(tasks) > 8 and max(t.n for t in tasks) < n * n / 8  # no task has a whole season
+
+
+def test_scored_table_is_checked_without_shuffling_ids(spark):
+    import statistics
+
+    from courtline.operators import release as L
+
+    rng = random.Random(5)
+    teams = [(s, t) for s in (1995, 2095) for t in rng.sample(range(100), 40)]  # ids a century apart meet
+    dealt = K.pair_rows(spark.createDataFrame(teams, "Season int, TeamID long").withColumn("_y", F.col("Season") % 100), "_y", block=7, dealt=True).where("T1_Season = T2_Season")
+    at, key = ["_y", "_i", "_j"], ["Season", "T1", "T2"]
+    score = F.when(F.col("T1") % 9 != 0, (F.col("T1") * 7 + F.col("T2")) % 50 / 40.0)
+    rows = dealt.select(*at, F.col("T1_Season").alias("Season"), "T1", "T2", score.alias("Pred"))
+    own = rows.unionByName(rows.where("T2 % 13 = 0").withColumn("Season", F.col("Season") - 100)).unionByName(rows.where("T1 % 11 = 0"))
+    due = rows.unionByName(rows.where("T1 % 7 = 0").withColumn("Season", F.col("Season") + 100))
+    pairs = [(s, a, b) for s, a in teams for q, b in teams if s == q and a < b]
+    value = lambda a, b: None if a % 9 == 0 else (a * 7 + b) % 50 / 40.0
+    mine = [((s, a, b), value(a, b)) for s, a, b in pairs] + [((s - 100, a, b), value(a, b)) for s, a, b in pairs if b % 13 == 0] + [((s, a, b), value(a, b)) for s, a, b in pairs if a % 11 == 0]
+    want = set(pairs) | {(s + 100, a, b) for s, a, b in pairs if a % 7 == 0}
+    times = {}
+    for i, _ in mine:
+        times[i] = times.get(i, 0) + 1
+    known = [v for _, v in mine if v is not None]
+    checked = L.check_scored(own, due, key, within=at)
+    got = checked.first()
+    assert (got.n_rows, got.n_ids, got.n_repeated_ids) == (len(mine), len(times), sum(n > 1 for n in times.values()))
+    assert (got.n_missing, got.n_extra) == (len(want - set(times)), len(set(times) - want))
+    assert (got.n_null, got.n_out_of_range, got.n_near_0, got.n_half) == (len(mine) - len(known), sum(v > 1 for v in known), sum(v <= 0.001 for v in known), sum(v == 0.5 for v in known))
+    assert got.n_values == len(set(known)) and abs(got.mean - statistics.fmean(known)) < 1e-12 and abs(got.sd - statistics.stdev(known)) < 1e-12
+    cut = statistics.quantiles(known, n=20, method="inclusive")
+    assert all(abs(a - b) < 1e-12 for a, b in zip((got.q05, got.q50, got.q95), (cut[0], cut[9], cut[18])))
+    assert got == L.check_scored(own.drop(*at), due.drop(*at), key).first()
+    none = L.check_scored(own.where("false"), due.where("false"), key).first()
+    assert (none.n_rows, none.n_ids, none.n_missing, none.mean, none.sd, none.q50) == (0, 0, 0, None, None, None)
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(Season" not in plan  # no id is shuffled
