@@ -286,3 +286,31 @@ def test_scored_table_is_checked_without_shuffling_ids(spark):
     assert (none.n_rows, none.n_ids, none.n_missing, none.mean, none.sd, none.q50) == (0, 0, 0, None, None, None)
     plan = checked._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(Season" not in plan  # no id is shuffled
+
+
+def test_a_query_makes_its_contests_once(spark, tmp_path):
+    from courtline.plans import inputs
+    from courtline import catalog
+
+    for name in ("orders", "supplier"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    odd = lines.where("l_orderkey % 5 = 0").withColumn("l_linenumber", (F.col("l_linenumber") * 2).cast("int"))  # gaps
+    odd = odd.unionByName(lines.where("l_orderkey % 7 = 0").withColumn("l_orderkey", F.lit(None).cast("long")))
+    odd = odd.unionByName(lines.where("l_orderkey % 11 = 0").withColumn("l_linenumber", F.lit(None).cast("int")))
+    odd = odd.unionByName(lines.where("l_orderkey % 5 > 0")).unionByName(lines.where("l_orderkey % 13 = 0"))  # repeated lines
+    odd.write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = {name: sorted(map(str, view(spark, str(tmp_path), name).collect())) for name in ("contest", "seeds", "scored")}
+    assert len(plain["contest"]) > 500
+    with inputs.shared_views():
+        first = view(spark, str(tmp_path), "contest")
+        assert view(spark, str(tmp_path), "contest") is first
+        assert all(sorted(map(str, view(spark, str(tmp_path), name).collect())) == rows for name, rows in plain.items())
+        assert all("lineitem" not in view(spark, str(tmp_path), n)._jdf.queryExecution().optimizedPlan().toString() for n in ("seeds", "glog"))
+        assert first.schema == view(spark, str(tmp_path), "contest").schema and [t for t in first.dtypes] == view(spark, SF, "contest").dtypes
+    assert inputs._tables.get() is None  # the next query sees what the tables hold then
+    before = catalog.queries()["input_completeness"](spark, str(tmp_path)).collect()
+    odd.where("l_orderkey % 2 = 0").write.mode("overwrite").parquet(f"{tmp_path}/lineitem2.parquet")
+    spark.read.parquet(f"{tmp_path}/lineitem2.parquet").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    after = catalog.queries()["input_completeness"](spark, str(tmp_path)).collect()
+    assert sum(r.n for r in after) < sum(r.n for r in before)
