@@ -30,8 +30,8 @@ def choose_probability(existing: Column, corrected: Column, mode: str, live: Col
 
 def market_standardize(quotes: DataFrame, existing: Column, mode: str, live_from: int, odds: tuple[str, str] = ("Team1DecimalOdds", "Team2DecimalOdds")) -> DataFrame:
     """Pair means of the chosen probability (0.5 where unknown) and spread, with logit and |p - 0.5|."""
-    p = choose_probability(existing, X.bias_corrected_prob(*odds), mode, F.col("Season") >= live_from)
-    rows = quotes.select(*PAIR, X.clip_prob(F.coalesce(p, F.lit(0.5))).alias("MarketProb"), "LastSpread")
+    p = choose_probability(existing, F.col("_corrected"), mode, F.col("Season") >= live_from)
+    rows = X.with_bias_corrected_prob(quotes, *odds, "_corrected").select(*PAIR, X.clip_prob(F.coalesce(p, F.lit(0.5))).alias("MarketProb"), "LastSpread")
     means = canonicalize_pairs(rows, complement=("MarketProb",), negate=("LastSpread",)).groupBy(*PAIR).agg(F.avg("MarketProb").alias("MarketProb"), F.avg("LastSpread").alias("LastSpread"))
     return means.withColumns({"MarketLogit": X.logit("MarketProb"), "MarketConfidence": F.abs(F.col("MarketProb") - 0.5)})
 

@@ -57,7 +57,7 @@ bias AS (SELECT GameID, Season, T1, T2, League, Line, Part, LastSpread, CASE WHE
 
 @query("bias_corrected_prob", with_views("quotes", BIAS + " SELECT GameID, Line, Part, round(p, 6) AS p FROM bias"))
 def bias_corrected_prob(spark, sf_dir):
-    return quotes(spark, sf_dir).select("GameID", "Line", "Part", r6(X.bias_corrected_prob(D1, D2)).alias("p"))
+    return X.with_bias_corrected_prob(quotes(spark, sf_dir), D1, D2).select("GameID", "Line", "Part", r6("p").alias("p"))
 
 
 @query("clip_logit_shrink", "SELECT l_orderkey, l_partkey, l_linenumber, round(c, 6) AS clipped, round(ln(c / (1 - c)), 6) + 0 AS logit, round(greatest(0.000001, least(0.999999, 1 / (1 + exp(-(ln(c / (1 - c)) + 0.2))))), 6) AS shifted, round(0.5 + (c - 0.5) * (1 - 0.06), 6) AS shrunk FROM (SELECT *, greatest(0.000001, least(0.999999, l_discount * 10)) AS c FROM lineitem) t")
@@ -74,8 +74,8 @@ def margin_to_prob(spark, sf_dir):
 
 @query("temperature_soften", with_views("quotes", BIAS + " SELECT GameID, Line, Part, round(1 / (1 + exp(-(ln(p / (1 - p)) / 1.75))), 6) AS p175, round(p, 6) AS p1 FROM bias"))
 def temperature_soften(spark, sf_dir):
-    p = X.bias_corrected_prob(D1, D2)
-    return quotes(spark, sf_dir).select("GameID", "Line", "Part", r6(X.temperature_soften(p, 1.75)).alias("p175"), r6(X.temperature_soften(p, 1.0)).alias("p1"))
+    rows = X.with_bias_corrected_prob(quotes(spark, sf_dir), D1, D2)
+    return rows.select("GameID", "Line", "Part", r6(X.temperature_soften("p", 1.75)).alias("p175"), r6(X.temperature_soften("p", 1.0)).alias("p1"))
 
 
 @query("possessions", with_views("boxscore", "SELECT GameID, round(greatest(WFGA - WOR + WTO + WFTA * CAST(0.475 AS DOUBLE), 1), 6) AS WPoss, round(greatest(LFGA - LOR + LTO + LFTA * CAST(0.475 AS DOUBLE), 1), 6) AS LPoss FROM boxscore"))

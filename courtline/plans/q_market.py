@@ -25,7 +25,7 @@ def quotes(spark, sf_dir):
 
 @query("canonicalize_pairs", with_views("quotes", BIAS + " SELECT GameID, Line, Part, least(T1, T2) AS T1, greatest(T1, T2) AS T2, round(CASE WHEN T1 > T2 THEN 1 - p ELSE p END, 6) AS p, CASE WHEN T1 > T2 THEN -LastSpread ELSE LastSpread END + 0 AS LastSpread FROM bias"))
 def canonicalize_pairs(spark, sf_dir):
-    rows = quotes(spark, sf_dir).withColumn("p", X.bias_corrected_prob(*ODDS))
+    rows = X.with_bias_corrected_prob(quotes(spark, sf_dir), *ODDS)
     out = M.canonicalize_pairs(rows.select("GameID", "Line", "Part", "T1", "T2", "p", "LastSpread"), complement=("p",), negate=("LastSpread",))
     return out.withColumns({"p": r6("p"), "LastSpread": F.col("LastSpread") + F.lit(0.0)})
 

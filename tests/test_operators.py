@@ -314,3 +314,13 @@ def test_a_query_makes_its_contests_once(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/lineitem2.parquet").write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
     after = catalog.queries()["input_completeness"](spark, str(tmp_path)).collect()
     assert sum(r.n for r in after) < sum(r.n for r in before)
+
+
+def test_bias_correction_of_a_table_computes_each_step_once(spark):
+    odds = [(a, b) for a in (None, 0.0, 1.0, 1.01, 1.5, 2.6, 3.0, 50.0) for b in (None, -1.0, 1.0, 1.3, 2.6, 40.0)]
+    df = spark.createDataFrame(odds, "a double, b double")
+    both = X.with_bias_corrected_prob(df.withColumn("whole", X.bias_corrected_prob("a", "b")), "a", "b", "p")
+    assert both.columns == ["a", "b", "whole", "p"]
+    assert all(r.whole == r.p for r in both.collect())
+    plan = X.with_bias_corrected_prob(df, "a", "b").select(X.temperature_soften("p", 1.75).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT") == 2  # one for each side, however often later steps mention them
