@@ -183,3 +183,18 @@ def test_field_profile_of_many_teams(spark):
     row = U.field_profile(field, field.withColumn("x", F.col("TeamID").cast("double"))).collect()[0]
     assert row.FieldMean == pytest.approx(-(n + 1) / 3) and row.FieldStd == pytest.approx((n * n / 18) ** 0.5, rel=1e-4)
     assert U.field_kernel_profile(field, field.withColumn("x", F.col("TeamID").cast("double"))).collect()[0].Mean == pytest.approx((n + 1) / 3)
+
+
+def test_known_terms_equal_full_counts(spark):
+    texts = corpus()
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "team zone"), (None, "Ball ball"), (None, "guard")]  # rows of one key, or of none, are one document
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    full = V.term_counts(docs, "doc_id", "text")
+    want = V.vocabulary(full, len(texts) + 1, 30)
+    terms, counts, n = V.known_terms(docs, "doc_id", "text", 30)
+    assert n == len(texts) + 1 and counts.columns == ["doc_id", "tid", "tf"]
+    assert sorted(map(tuple, terms.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    lists = lambda c: sorted(map(str, V.tfidf(c, want, "doc_id").collect()))
+    assert lists(counts) == lists(full)
+    none, no_counts, m = V.known_terms(docs.where("false"), "doc_id", "text", 30)
+    assert (none.count(), no_counts.count(), m) == (0, 0, 0)
