@@ -8,6 +8,7 @@ from ..functions import expressions as X
 from ..operators import fusion as U
 from ..operators import market as M
 from ..operators import ratings as RT
+from ..sources.files import checkpoint
 from .inputs import view, with_views
 from .q_features import rounded
 from .q_live import live
@@ -140,8 +141,8 @@ def _bracket_sql(rounds: int = 6) -> str:
 @query("bracket_resolve", with_views("slots seeds rating", _bracket_sql()))
 def bracket_resolve(spark, sf_dir):
     by = ["League", "Season"]
-    seeds = view(spark, sf_dir, "seeds")
-    rated = seeds.join(view(spark, sf_dir, "rating"), ["Season", "TeamID"]).select(*by, "TeamID", "Rating")
-    both = rated.join(rated.select(*by, F.col("TeamID").alias("OppID"), F.col("Rating").alias("_o")), by).where("TeamID <> OppID")  # a field holds 64 teams at most
+    seeds = checkpoint(view(spark, sf_dir, "seeds").join(view(spark, sf_dir, "rating"), ["Season", "TeamID"], "left"))  # a field holds 64 teams at most
+    rated = seeds.where("Rating is not null").select(*by, "TeamID", "Rating")
+    both = rated.join(rated.select(*by, F.col("TeamID").alias("OppID"), F.col("Rating").alias("_o")), by).where("TeamID <> OppID")
     win = both.select(*by, "TeamID", "OppID", ((F.col("Rating") - F.col("_o")) / 2 + 0.5).alias("p"))
     return RT.bracket_resolve(view(spark, sf_dir, "slots"), seeds, win, by)

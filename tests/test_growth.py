@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
+import pytest
+
+from courtline.operators import models as M
+from courtline.operators import ratings as R
+from courtline.plans import q_models
 from courtline.sources import files as IO
 
+SF = "/root/testdata/sf0.001"
+
 
 def planned(df) -> str:
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
+def counted(df):
+    """The same rows, and an accumulator of how many were made."""
+    made = df.sparkSession.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(pass_on, df.schema), made
+
+
 def test_external_files_are_read_once(spark, tmp_path):
     columns = {"Season": ("int", "first", ("Season",)), "p": ("double", "number", ("Prob", "MarketProb"))}
     for name, rows in {"MOdds_a": [(1, "0.1"), (1, "0.2"), (2, "x")], "MLines_b": [(1, "0.3"), (3, "0.4"), (None, "0.5")]}.items():
@@ -16,3 +35,27 @@ def test_external_files_are_read_once(spark, tmp_path):
     out = IO.scan_external_sources(spark, str(tmp_path), "M", ("odds", "lines"), columns, ["Season"])
     assert planned(out).count("FileScan csv") == 2
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([(1, 0.3, "MLines_b.csv", 0), (3, 0.4, "MLines_b.csv", 0), (2, None, "MOdds_a.csv", 1)], key=repr)
+
+
+@pytest.mark.parametrize("run", [R.bracket_reach, R.bracket_resolve])
+def test_bracket_makes_its_field_once(spark, run):
+    slots = spark.createDataFrame([("R1W1", "W01", "W04"), ("R1W2", "W02", "W03"), ("R2W1", "R1W1", "R1W2")], "Slot string, StrongSeed string, WeakSeed string")
+    seeds, seeds_made = counted(spark.createDataFrame([(1, f"W0{i}", i) for i in range(1, 5)], "g int, Seed string, TeamID long"))
+    win, win_made = counted(spark.createDataFrame([(1, a, b, 0.5 + (b - a) / 10) for a in range(1, 5) for b in range(1, 5) if a != b], "g int, TeamID long, OppID long, p double"))
+    assert run(slots, seeds, win, ["g"], 2).where("Round = 2").count() > 0
+    assert (seeds_made.value, win_made.value) == (4, 12)
+
+
+def test_full_fit_makes_its_rows_once(spark):
+    train, made = counted(spark.createDataFrame([(i, i % 2, float(i % 7)) for i in range(40)], "GameID long, Label int, x double"))
+    new = spark.createDataFrame([(100, 1.0)], "GameID long, x double")
+    assert M.full_fit_and_score(train, new, ["x"], M.linear).count() == 1
+    assert made.value == 40
+
+
+def test_calibration_fits_only_the_model_it_reads(spark, monkeypatch):
+    def unwanted(features, weight=None):
+        raise AssertionError("a model that nothing reads was fitted")
+
+    monkeypatch.setattr(q_models, "MODELS", q_models.MODELS | {"gbt": unwanted, "margin": unwanted})
+    assert "Calibrated" in q_models.calibrate_isotonic(spark, SF).columns
