@@ -140,8 +140,8 @@ def stack_meta(oof: DataFrame, columns: list[str], min_prior: int = 1) -> DataFr
 
 
 def full_fit_and_score(train: DataFrame, new: DataFrame, features: list[str], make: Callable[..., Pipeline], weight: str | None = None) -> DataFrame:
-    """A fit on all rows, scored on new pairs."""
-    scored = make(features, weight).fit(train.fillna(0.0, features)).transform(new.fillna(0.0, features))
+    """A fit on all rows, scored on new pairs; a fit takes many passes over rows that are made once."""
+    scored = make(features, weight).fit(checkpoint(train.fillna(0.0, features))).transform(new.fillna(0.0, features))
     return scored.select(*new.columns, X.clip_prob(probability(scored)).alias("Prob"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import models as M
+from ..sources.files import checkpoint
 from .inputs import view, with_views
 from .q_features import rounded
 from .q_market import team_rows
@@ -20,8 +21,12 @@ def matchups(spark, sf_dir):
     return rows.select("GameID", "Season", "T1", "T2", "Label", "MarginLabel", *(F.col(c).cast("double").alias(c) for c in FEATURES))
 
 
-def oof(spark, sf_dir):
-    return M.season_forward_oof(matchups(spark, sf_dir), FEATURES, {"lr": M.linear, "gbt": M.trees, "margin": M.margins})
+MODELS = {"lr": M.linear, "gbt": M.trees, "margin": M.margins}
+
+
+def oof(spark, sf_dir, models=tuple(MODELS)):
+    """Season-forward probabilities of these models; each is fitted by itself, so what is not asked for is not fitted."""
+    return M.season_forward_oof(matchups(spark, sf_dir), FEATURES, {m: MODELS[m] for m in models})
 
 
 @query("season_forward_oof")
@@ -46,7 +51,7 @@ def stack_meta(spark, sf_dir):
 
 @query("full_fit_and_score")
 def full_fit_and_score(spark, sf_dir):
-    rows = matchups(spark, sf_dir)
+    rows = checkpoint(matchups(spark, sf_dir))
     return rounded(M.full_fit_and_score(rows.where("Season < 2000"), rows.where("Season >= 2000"), FEATURES, M.linear).select("GameID", "Season", "Prob"))
 
 
