@@ -36,12 +36,12 @@ def season_forward_oof(spark, sf_dir):
 
 @query("calibrate_platt")
 def calibrate_platt(spark, sf_dir):
-    return rounded(M.calibrate(oof(spark, sf_dir), "Prob_lr", "platt"))
+    return rounded(M.calibrate(oof(spark, sf_dir, ("lr",)), "Prob_lr", "platt"))
 
 
 @query("calibrate_isotonic")
 def calibrate_isotonic(spark, sf_dir):
-    return rounded(M.calibrate(oof(spark, sf_dir), "Prob_lr", "isotonic"))
+    return rounded(M.calibrate(oof(spark, sf_dir, ("lr",)), "Prob_lr", "isotonic"))
 
 
 @query("stack_meta")
