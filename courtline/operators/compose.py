@@ -107,11 +107,14 @@ def prediction_market_convert(rows: DataFrame, *order: Column) -> DataFrame:
     """
     p1, p2 = contract_probs(rows)
     text = lambda c, other: F.coalesce(F.trim(X.first_present(rows, [c], "string").cast("string")), F.lit(other))
-    made = rows.withColumns({
-        "MarketProb": p1, "Team1Moneyline": X.prob_to_american(p1), "Team2Moneyline": X.prob_to_american(p2), "LastSpread": X.number(X.first_present(rows, ["LastSpread"])), "Book": text("Book", "prediction_market"),
-        "BookCount": F.coalesce(X.number(X.first_present(rows, ["BookCount"])), F.lit(1.0)), "SnapshotTime": X.timestamp(X.first_present(rows, ["SnapshotTime"], "string")), "Source": text("Source", "prediction_market_proxy"),
+    told = X.first_present(rows, ["SnapshotTime"], "string")
+    time = told if dict(rows.dtypes).get("SnapshotTime") == "timestamp" else X.timestamp(told)  # only text is parsed
+    priced = rows.withColumns({"_p1": p1, "_p2": p2})  # a projection of their own, as prices name them many times
+    made = priced.withColumns({
+        "MarketProb": F.col("_p1"), "Team1Moneyline": X.prob_to_american("_p1"), "Team2Moneyline": X.prob_to_american("_p2"), "LastSpread": X.number(X.first_present(rows, ["LastSpread"])), "Book": text("Book", "prediction_market"),
+        "BookCount": F.coalesce(X.number(X.first_present(rows, ["BookCount"])), F.lit(1.0)), "SnapshotTime": time, "Source": text("Source", "prediction_market_proxy"),
     })
-    known = M.canonicalize_pairs(R.drop_missing_keys(made, list(M.PAIR)), complement=("MarketProb",), negate=("LastSpread",), swap=(("Team1Moneyline", "Team2Moneyline"),))
+    known = M.canonicalize_pairs(R.drop_missing_keys(made.drop("_p1", "_p2"), list(M.PAIR)), complement=("MarketProb",), negate=("LastSpread",), swap=(("Team1Moneyline", "Team2Moneyline"),))
     return R.keep_last(known, [*M.PAIR, "Book", "SnapshotTime"], *order)
 
 
