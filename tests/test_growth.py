@@ -59,3 +59,40 @@ def test_calibration_fits_only_the_model_it_reads(spark, monkeypatch):
 
     monkeypatch.setattr(q_models, "MODELS", q_models.MODELS | {"gbt": unwanted, "margin": unwanted})
     assert "Calibrated" in q_models.calibrate_isotonic(spark, SF).columns
+
+
+def test_edges_keep_their_places(spark, monkeypatch):
+    plans, cut = [], R.checkpoint
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(R, "checkpoint", noted)
+    games = spark.createDataFrame([(2000, i % 5, (i + 1 + i % 3) % 5, 70.0, 60.0) for i in range(30)], "Season int, WTeamID long, LTeamID long, WScore double, LScore double")
+    assert R.pagerank_strength(games, iterations=1).count() == 5
+    step = plans[2].split("InMemoryRelation")[0]  # after the edges and the first ranks; what is kept was dealt before
+    left = step[step.index("ShuffledHashJoin") :].splitlines()[1:4]
+    assert "Window" not in step and any("InMemoryTableScan" in at for at in left) and not any("Exchange" in at for at in left), step
+
+
+def test_lookback_deals_no_period_to_one_task(spark):
+    from courtline.operators import relational as RK
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = RK.lookback_days(spark.range(100).selectExpr("id % 2 AS Season", "id AS DayNum"), 10)
+        assert "SortMergeJoin" not in planned(out) and out.count() == 12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_text_is_parsed_as_time(spark):
+    from courtline.operators import compose as C
+
+    at = "2001-02-03 04:05:06.123456"
+    rows = spark.createDataFrame([(2001, 2, 1, 40.0, at), (2001, 2, 1, 30.0, at)], "Season int, T1 long, T2 long, YesCents double, SnapshotTime string")
+    read = lambda df: [(r.T1, r.T2, round(r.MarketProb, 6), str(r.SnapshotTime)) for r in C.prediction_market_convert(df, "YesCents").collect()]
+    typed = rows.withColumn("SnapshotTime", rows.SnapshotTime.cast("timestamp"))
+    assert read(rows) == read(typed) == [(1, 2, 0.7, at)]
+    assert "gettimestamp" not in planned(C.prediction_market_convert(typed, "YesCents")).lower()
