@@ -76,6 +76,25 @@ def test_edges_keep_their_places(spark, monkeypatch):
     assert "Window" not in step and any("InMemoryTableScan" in at for at in left) and not any("Exchange" in at for at in left), step
 
 
+def test_sweep_steps_read_their_period_and_broadcast_nothing(spark, monkeypatch):
+    plans, write = [], R.written
+
+    def noted(df, *by):
+        run = df._jdf.queryExecution()
+        plans.append((planned(df), int(str(run.optimizedPlan().stats().sizeInBytes()))))
+        return write(df, *by)
+
+    monkeypatch.setattr(R, "written", noted)
+    rows = [(s * 1000 + i, "M", s, i % 12, i % 5, (i + 1 + i % 3) % 5, 70 + i % 7, 60) for s in (2000, 2001) for i in range(24)]
+    games = spark.createDataFrame(rows, "GameID long, League string, Season int, DayNum int, WTeamID long, LTeamID long, WScore int, LScore int")
+    assert R.elo_sweep(games, spark.createDataFrame([("a", 20.0, 1500.0, 0.75), ("b", 36.0, 1400.0, 0.5)], R.SETS), days=4).count() == 20
+    steps = plans[3:]  # after the games, the teams of each season and the first ratings
+    assert len(steps) == 6
+    for plan, size in steps:
+        assert plan.count("ShuffledHashJoin") == 2 and "Broadcast" not in plan and "PartitionFilters: [isnotnull(Season" in plan, plan
+        assert size < 1 << 64  # not multiplied from step to step
+
+
 def test_lookback_deals_no_period_to_one_task(spark):
     from courtline.operators import relational as RK
 
