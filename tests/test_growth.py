@@ -95,6 +95,20 @@ def test_sweep_steps_read_their_period_and_broadcast_nothing(spark, monkeypatch)
         assert size < 1 << 64  # not multiplied from step to step
 
 
+def test_scored_joins_lines_of_its_pairs_alone(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from courtline.plans import inputs
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(planned(self._df)), write(self, *a, **k))[1])
+    plain = inputs.view(spark, SF, "scored")
+    with inputs.shared_views():
+        out = inputs.view(spark, SF, "scored")
+    assert sum("LeftSemi" in p for p in plans) == 1
+    assert out.where("MarketProb is not null").count() > 0 and out.exceptAll(plain).count() == plain.exceptAll(out).count() == 0
+
+
 def test_lookback_deals_no_period_to_one_task(spark):
     from courtline.operators import relational as RK
 
