@@ -129,3 +129,19 @@ def test_only_text_is_parsed_as_time(spark):
     typed = rows.withColumn("SnapshotTime", rows.SnapshotTime.cast("timestamp"))
     assert read(rows) == read(typed) == [(1, 2, 0.7, at)]
     assert "gettimestamp" not in planned(C.prediction_market_convert(typed, "YesCents")).lower()
+
+
+def test_json_documents_keep_odd_texts(spark, tmp_path):
+    import duckdb
+
+    from courtline import catalog
+
+    odd = [(None, "no id", " a "), (1, "", "w"), (2, "   ", "w"), (3, "\u00a0x\u3000", "w"), (4, None, "w"), (5, "t", ""), (6, "t", None), (-3, "\n x \t\r\n", "n"), (8, " a\u0000b\u0085\ufeff", "n"), (10, "\\u0041 \"{}\" \x1f", "n"), (None, None, None)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, source string")
+    long = spark.range(1).selectExpr("11L AS doc_id", "repeat('abcdefghi ', 2100000) AS text", "'w' AS source")  # more than the parser takes by itself
+    docs.unionByName(long).write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.queries()["scan_jsonl_documents"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["scan_jsonl_documents"]).fetchall()
+    assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
