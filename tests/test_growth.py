@@ -145,3 +145,34 @@ def test_json_documents_keep_odd_texts(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.sql(catalog.oracle_sql()["scan_jsonl_documents"]).fetchall()
     assert sorted(map(repr, (tuple(r) for r in out.collect()))) == sorted(map(repr, want))
+
+
+def test_bracket_scores_every_world_with_its_play_in(spark):
+    """Against all outcomes of four games: a play-in, two first games and a final."""
+    from itertools import product
+    from math import exp, log
+
+    slots = spark.createDataFrame([("W04", "W04a", "W04b"), ("R1W1", "W01", "W04"), ("R1W2", "W02", "W03"), ("R2W1", "R1W1", "R1W2")], "Slot string, StrongSeed string, WeakSeed string")
+    seeds = {"W01": 1, "W02": 2, "W03": 3, "W04a": 4, "W04b": 5}
+    score = lambda a, b: 1 / (1 + exp((a - b) * 0.4))
+    pairs = [("M", a, b, score(a, b)) for a in range(1, 6) for b in range(1, 6) if a != b]
+    field = spark.createDataFrame([("M", s, t) for s, t in seeds.items()], "League string, Seed string, TeamID long")
+    out = R.bracket_expected_brier(slots, field, spark.createDataFrame(pairs, "League string, TeamID long, OppID long, p double"), {"plain": 1.0, "close": 1.75}, ["League"], 2)
+    got = {(r.Scenario, r.Temperature, r.League, r.Round): (r.Games, r.ExpectedBrier, r.FavoriteRate) for r in out.collect()}
+    for name, t in (("plain", 1.0), ("close", 1.75)):
+        sums = {r: [0.0, 0.0, 0.0] for r in (0, 1, 2)}
+        for wins in product((True, False), repeat=4):
+            chance, games, at = 1.0, [], dict(seeds)
+            for (slot, a, b, r), first in zip((("W04", "W04a", "W04b", 0), ("R1W1", "W01", "W04", 1), ("R1W2", "W02", "W03", 1), ("R2W1", "R1W1", "R1W2", 2)), wins, strict=True):
+                s = score(at[a], at[b])
+                q = 1 / (1 + exp(-log(s / (1 - s)) / t))
+                chance *= q if first else 1 - q
+                games.append((r, (s - first) ** 2, first == (s >= 0.5)))
+                at[slot] = at[a] if first else at[b]
+            for r, brier, favourite in games:
+                sums[r] = [x + chance * y for x, y in zip(sums[r], (1, brier, favourite), strict=True)]
+        sums[None] = [sum(v[i] for v in sums.values()) for i in range(3)]
+        for r, (n, b, f) in sums.items():
+            assert got[name, t, "M", r] == pytest.approx((n, b / n, f / n))
+        assert got[name, t, None, None] == pytest.approx(got[name, t, "M", None])
+    assert len(got) == 2 * 5
