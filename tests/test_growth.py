@@ -176,3 +176,21 @@ def test_bracket_scores_every_world_with_its_play_in(spark):
             assert got[name, t, "M", r] == pytest.approx((n, b / n, f / n))
         assert got[name, t, None, None] == pytest.approx(got[name, t, "M", None])
     assert len(got) == 2 * 5
+
+
+def test_ranks_keep_their_places(spark, monkeypatch):
+    plans, cut = [], R.checkpoint
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(R, "checkpoint", noted)
+    monkeypatch.setattr(R, "EDGES", 10)
+    games = spark.createDataFrame([(2000, i % 5, (i + 1 + i % 3) % 5, 70.0, 60.0) for i in range(30)], "Season int, WTeamID long, LTeamID long, WScore double, LScore double")
+    before = [spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")]
+    assert R.pagerank_strength(games, iterations=2).count() == 5
+    assert before == [spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")]
+    for step in plans[2:]:
+        dealt = [at for at in step.split("InMemoryRelation")[0].splitlines() + step.split("Scan ExistingRDD")[-1].splitlines() if "Exchange hashpartitioning" in at and "TeamID" in at]
+        assert not dealt and "hashpartitioning(Season" in step, step
