@@ -194,3 +194,17 @@ def test_ranks_keep_their_places(spark, monkeypatch):
     for step in plans[2:]:
         dealt = [at for at in step.split("InMemoryRelation")[0].splitlines() + step.split("Scan ExistingRDD")[-1].splitlines() if "Exchange hashpartitioning" in at and "TeamID" in at]
         assert not dealt and "hashpartitioning(Season" in step, step
+
+
+def test_pairs_deal_a_row_a_bounded_number_of_times(spark, monkeypatch):
+    from courtline.operators import relational as RK
+
+    placed, cut = [], RK.checkpoint
+    monkeypatch.setattr(RK, "checkpoint", lambda df: placed.append(cut(df)) or placed[-1])
+    monkeypatch.setattr(RK, "BLOCKS", 4)
+    rows = spark.range(100).selectExpr("2001 AS Season", "id * 3 AS TeamID").unionByName(spark.range(5).selectExpr("2002 AS Season", "id AS TeamID"))
+    known = spark.createDataFrame([(2001, 0, 297, 1.0), (2002, 0, 4, 2.0)], "Season int, T1 long, T2 long, v double")
+    pairs = RK.pair_rows(rows, known=known, block=2).collect()
+    assert len({(r.Season, r.T1, r.T2) for r in pairs}) == len(pairs) == 100 * 99 // 2 + 10 and all(r.T1 < r.T2 for r in pairs)
+    assert sorted((r.Season, r.T1, r.T2, r._known.v) for r in pairs if r._known) == [(2001, 0, 297, 1.0), (2002, 0, 4, 2.0)]
+    assert [(r.Season, r.n) for r in placed[0].groupBy("Season").agg({"_last": "max"}).withColumnRenamed("max(_last)", "n").orderBy("Season").collect()] == [(2001, 3), (2002, 2)]
