@@ -208,3 +208,13 @@ def test_pairs_deal_a_row_a_bounded_number_of_times(spark, monkeypatch):
     assert len({(r.Season, r.T1, r.T2) for r in pairs}) == len(pairs) == 100 * 99 // 2 + 10 and all(r.T1 < r.T2 for r in pairs)
     assert sorted((r.Season, r.T1, r.T2, r._known.v) for r in pairs if r._known) == [(2001, 0, 297, 1.0), (2002, 0, 4, 2.0)]
     assert [(r.Season, r.n) for r in placed[0].groupBy("Season").agg({"_last": "max"}).withColumnRenamed("max(_last)", "n").orderBy("Season").collect()] == [(2001, 3), (2002, 2)]
+
+
+def test_scored_table_check_makes_its_pairs_once_a_pass(spark, monkeypatch):
+    from courtline import catalog
+    from courtline.operators import release as L
+
+    passes, cut = [], L.checkpoint
+    monkeypatch.setattr(L, "checkpoint", lambda df: passes.append(planned(df)) or cut(df))
+    passes.append(planned(catalog.queries()["scored_table_check"](spark, SF)))
+    assert [p.count("Generate explode(_right") for p in passes] == [1, 1]
